@@ -94,18 +94,18 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
         a, b = a[np.argsort(quarter(a), kind="stable")], b[np.argsort(quarter(b), kind="stable")]
         qa, qb = quarter(a), quarter(b)
         xs, ys, held = [], [], 0
-        for k in range(0, len(a), 128):
-            part = a[k : k + 128]
-            lo_b, hi_b = np.searchsorted(qb, qa[k] - radius), np.searchsorted(qb, qa[min(k + 127, len(a) - 1)] + radius, "right")
-            for m in range(lo_b, hi_b, 8192):
-                other = b[m : min(m + 8192, hi_b)]
+        for k in range(0, len(a), 64):
+            part = a[k : k + 64]
+            lo_b, hi_b = np.searchsorted(qb, qa[k] - radius), np.searchsorted(qb, qa[min(k + 63, len(a) - 1)] + radius, "right")
+            for m in range(lo_b, hi_b, 4096):
+                other = b[m : min(m + 4096, hi_b)]
                 i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, :]) <= radius)
                 x, y = part[i], other[j]
                 keep = x != y
                 xs.append(x[keep])
                 ys.append(y[keep])
                 held += int(keep.sum())
-                if held > 1_000_000:
+                if held > 200_000:
                     x, y = forest(np.concatenate(xs).view(np.int64), np.concatenate(ys).view(np.int64))
                     xs, ys, held = [x.view(np.uint64)], [y.view(np.uint64)], len(x)
         if held:
