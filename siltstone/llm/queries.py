@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, lines, mixing, simhash, vectors
+from siltstone.llm import decontaminate, language, lines, mixing, simhash, transducer, vectors
 from siltstone.session import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), Path(public_tokenizers.path(model)).read_bytes())
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +39,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_benchmark_decontamination, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
