@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, language, lines, mixing, simhash, transducer, vectors
+from siltstone.llm import decontaminate, language, lines, mixing, pii, simhash, transducer, vectors
 from siltstone.session import table
 
 
@@ -23,6 +23,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_benchmark_decontamination, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
