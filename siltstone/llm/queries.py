@@ -7,10 +7,14 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, language, lines, mixing, pii, simhash, transducer, vectors
+from siltstone.llm import decontaminate, katz, language, lines, mixing, pii, simhash, transducer, vectors
 from siltstone.session import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
