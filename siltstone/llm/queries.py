@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, katz, language, lines, mixing, pii, simhash, transducer, vectors
+from siltstone.llm import decontaminate, katz, language, lines, mixing, pii, quotes, simhash, transducer, vectors
 from siltstone.session import table
 
 
@@ -35,6 +35,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
