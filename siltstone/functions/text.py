@@ -62,7 +62,7 @@ def parent(path: Column) -> Column:
 
 def split_list(value: Column) -> Column:
     """Items of a comma-separated text, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_tags(value: Column) -> Column:

@@ -17,10 +17,10 @@ def context_windows(messages: DataFrame, scope: Sequence[str], order: Sequence[s
     scopes cannot reach), so a long conversation streams through its window.
     """
     w = W.partitionBy(*scope).orderBy(*order)
-    me = F.struct(F.col(key).alias("id"), F.col(time).cast("double").alias("t"))
+    me = F.struct(F.col(key).alias("id"), F.col(time).cast("timestamp").cast("double").alias("t"))
     said = F.when(F.coalesce(F.trim(F.col(text)), F.lit("")) != "", me)
     full = messages.withColumns({
-        "_b": F.collect_list(me).over(w.rowsBetween(-before, -1)), "_a": F.collect_list(me).over(w.rowsBetween(1, after)), "_t": F.col(time).cast("double"),
+        "_b": F.collect_list(me).over(w.rowsBetween(-before, -1)), "_a": F.collect_list(me).over(w.rowsBetween(1, after)), "_t": F.col(time).cast("timestamp").cast("double"),
         "_nb": F.last(said, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_na": F.last(said, ignorenulls=True).over(W.partitionBy(*scope).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)),
     })
     far = lambda x: F.abs(x["t"] - F.col("_t"))

@@ -20,7 +20,7 @@ def elect(df: DataFrame, order: Sequence[str], key: str = "doc_id") -> DataFrame
 
     The election is a minimum, combined before the shuffle, and joins back; no window has to hold a large group.
     """
-    first = df.where("content_hash is not null").groupBy("size_bytes", "content_hash").agg(F.min(F.struct(*order, key)).alias("first"))
+    first = df.where("content_hash is not null").groupBy("size_bytes", "content_hash").agg(F.min(F.struct(*dict.fromkeys([*order, key]))).alias("first"))
     joined = df.join(first, ["size_bytes", "content_hash"], "left")
     canon = F.coalesce(F.col(f"first.{key}"), F.col(key))
     return joined.select(*df.columns, canon.alias("canonical_doc_id"), F.when(canon == F.col(key), "canonical").otherwise("duplicate").alias("dedupe_status"))

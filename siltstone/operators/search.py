@@ -77,9 +77,9 @@ def bm25(df: DataFrame, query: str, k: int = 50, key: str = "id", text: str = "t
     rows = (df if where is None else df.where(where)).select(key, tokens(F.col(text)).alias("t"))
     dl = F.size("t").cast("double")
     score = F.lit(0.0)
+    times = lambda t: F.size(F.filter("t", lambda x: x == t)).cast("double")
     for i, t in enumerate(terms):
-        have = stats[f"df_{i}"]
-        tf = F.size(F.filter("t", lambda x, t=t: x == t)).cast("double")
+        have, tf = stats[f"df_{i}"], times(t)
         score = score + F.lit(float(np.log(1 + (n - have + 0.5) / (have + 0.5)))) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
     hit = rows.where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in terms])))
     return hit.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)

@@ -1,10 +1,714 @@
-"""The registered queries of the engine's own operators and the SQL that each is held against."""
+"""The registered queries of the engine's own operators and the SQL that each is held against.
+
+Every query runs over its whole tables; limits stand only where they are the feature (top-k, pages). Timestamps of `events`
+stand in for modification times, `conversations` for messages, `documents` for records and chunks, `labels` for importance.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as T
+from siltstone.operators import browse, context, dedupe, evaluate, filters, incremental, lookup, search, sqlguard, taxonomy
+from siltstone.session import table
+from siltstone.sources import files
+from siltstone.sources.snapshots import SnapshotTable
+from siltstone.streaming import index as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+NOW = 1706659200.0  # 2024-01-31T00:00:00Z, the day after the last event
+WORDS = "thing der queue licensed apache"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- browsing -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, max(ts) AS ts, max(event_type) AS event_type, max(value) AS value FROM events GROUP BY user_id ORDER BY ts DESC, user_id LIMIT 20")
+def recent_docs(spark, d):
+    return browse.recent_documents(table(spark, d, "events"), ["event_type", "value"], 20, "ts", "user_id")
+
+
+@query("SELECT doc_id, source, lang, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY source, doc_id LIMIT 50 OFFSET 100")
+def list_documents_page(spark, d):
+    return browse.page(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), [F.col("source"), F.col("doc_id")], 50, 100)
+
+
+@query("""WITH t AS (SELECT doc_id, lang, source, concat(lang, ', ', source, ',', lang) AS tags FROM documents),
+v AS (SELECT 'lang' AS field, lang AS raw FROM t UNION ALL SELECT 'source', source FROM t UNION ALL SELECT 'tags', tags FROM t)
+SELECT field, value, count(*) AS n FROM (SELECT field, trim(unnest(string_split(raw, ','))) AS value FROM v) WHERE value <> '' GROUP BY ALL""")
+def facets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.concat("lang", F.lit(", "), "source", F.lit(","), "lang").alias("tags"), F.lit("c:0").alias("loc"))
+    return browse.facets(docs, ["lang", "source", "tags"])
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def doc_counts_by_source(spark, d):
+    return browse.counts_by(table(spark, d, "documents"), "source", "source")
+
+
+@query("SELECT event_type, max(ts) AS latest FROM events GROUP BY event_type")
+def latest_by_source(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("latest"))
+
+
+@query(r"""SELECT CASE WHEN p = '' THEN '.' ELSE p END AS folder, count(*) AS n
+FROM (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '/?[^/]*$', '') AS p FROM pages) GROUP BY 1""")
+def folder_counts(spark, d):
+    return browse.folder_counts(table(spark, d, "pages").withColumn("p", F.regexp_replace("url", "^https?://", "")), "p")
+
+
+@query("SELECT DISTINCT conv_id FROM conversations")
+def distinct_doc_ids(spark, d):
+    return table(spark, d, "conversations").select("conv_id").distinct()
+
+
+@query("SELECT count(*) AS n FROM documents")
+def count_chunks(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH h AS (SELECT source AS source_name, sha256(text) AS content_hash, octet_length(encode(text)) AS size_bytes, doc_id, n_chars FROM documents),
+e AS (SELECT *, min(doc_id) OVER (PARTITION BY size_bytes, content_hash) <> doc_id AS dup FROM h),
+g AS (SELECT source_name, content_hash, count(*) AS n, count(*) FILTER (dup) AS dups, max(n_chars) AS seen FROM e GROUP BY ALL)
+SELECT source_name, sum(n)::BIGINT AS n_docs, count(*) AS n_groups, sum(n - 1)::BIGINT AS hash_dups, sum(dups)::BIGINT AS n_duplicates, max(seen) AS latest_seen FROM g GROUP BY 1""")
+def registry_statistics(spark, d):
+    docs = dedupe.with_identity(table(spark, d, "documents").withColumnRenamed("source", "source_name"), "text")
+    return browse.registry_statistics(dedupe.elect(docs, ["doc_id"]).withColumn("last_seen", F.col("n_chars")))
+
+
+@query("""SELECT d.source AS source_name, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' WHEN e.vec_id IS NOT NULL THEN 'embedded' ELSE 'missing' END AS bucket, count(*) AS n
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY ALL""")
+def coverage(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_name"))
+    return browse.coverage(docs, {"labelled": table(spark, d, "labels"), "embedded": table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))})
+
+
+@query("""SELECT provider, kind, count(*) FILTER (NOT ok) AS n, max(severity) FILTER (NOT ok) AS worst, arg_max(message, ts) FILTER (NOT ok) AS sample,
+max(ts) FILTER (NOT ok) AS last_failure, max(ts) FILTER (ok) AS last_success, coalesce(max(ts) FILTER (ok) > max(ts) FILTER (NOT ok), false) AS recovered
+FROM (SELECT ts, user_id % 7 AS provider, user_id % 3 AS kind, value AS severity, event_type <> 'error' AS ok, event_id AS message FROM events) GROUP BY 1, 2 HAVING count(*) FILTER (NOT ok) > 0""")
+def provider_failures(spark, d):
+    e = table(spark, d, "events")
+    return browse.provider_failures(e.select("ts", (F.col("user_id") % 7).alias("provider"), (F.col("user_id") % 3).alias("kind"), F.col("value").alias("severity"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("message")))
+
+
+@query("SELECT split_part(p_type, ' ', 1) AS kind, count(*) AS n FROM part GROUP BY 1")
+def warning_counts(spark, d):
+    return browse.warning_counts(table(spark, d, "part").select(F.replace("p_type", F.lit(" "), F.lit(":")).alias("warning")))
+
+
+@query("SELECT o_orderpriority, CASE max(CASE WHEN o_totalprice > 400000 THEN 2 WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS state FROM orders GROUP BY 1")
+def health_rollup(spark, d):
+    return browse.health(table(spark, d, "orders"), "o_orderpriority", [(F.col("o_totalprice") > 400000, "error"), (F.col("o_orderstatus") == "P", "warning")])
+
+
+@query("SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 25")
+def audit_log_page(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", "user_id", F.col("event_type").alias("action"))
+    return browse.audit_page(log, action="error", limit=25, offset=25).select(F.col("id").alias("event_id"), "ts", "user_id")
+
+
+@query("SELECT conv_id AS doc_id FROM conversations GROUP BY 1 HAVING bool_and(length(text) < 400)")
+def only_stub_documents(spark, d):
+    return browse.only_stubs(table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id"), F.length("text") < 400)
+
+
+# ---- filters ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE (lower(p_brand) = 'brand#12' OR lower(p_type) LIKE '%steel%') AND NOT (lower(p_type) LIKE 'large%')")
+def filter_ast_and_or_not(spark, d):
+    ast = {"and": [{"or": [{"eq": {"p_brand": "BRAND#12"}}, {"contains": {"p_type": "Steel"}}]}, {"not": {"prefix": {"p_type": "LARGE"}}}]}
+    return table(spark, d, "part").where(filters.compile_filter(ast)).select("p_partkey", "p_brand", "p_type", "p_size")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery')")
+def filter_in(spark, d):
+    return table(spark, d, "customer").where(filters.compile_filter({"in": {"c_mktsegment": ["Building", "MACHINERY"]}})).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(regexp_replace(url, '^https?://', ''), 's')")
+def filter_prefix(spark, d):
+    p = table(spark, d, "pages").withColumn("rel_path", F.regexp_replace("url", "^https?://", ""))
+    return filters.where(p, filters.named_filters(prefix="s")).select("page_id", "url")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')")
+def filter_contains(spark, d):
+    return table(spark, d, "documents").where(filters.compile_filter({"contains": {"text": "Apache License"}})).select("doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lower(lang) <> 'en'")
+def filter_ne(spark, d):
+    return table(spark, d, "documents").where(filters.compile_filter({"ne": {"lang": "EN"}})).select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat(lang, ',', source)), 'fr') OR contains(lower(concat(lang, ',', source)), 'src1')")
+def tags_or_contains(spark, d):
+    docs = table(spark, d, "documents").withColumn("tags", F.concat_ws(",", "lang", "source"))
+    return filters.where(docs, filters.named_filters(tags="fr, SRC1")).select("doc_id")
+
+
+@query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://[^/]*/.*[02468][^/]*$') AND NOT regexp_matches(url, '^.*1[^/]*$')")
+def glob_match(spark, d):
+    p = F.regexp_replace("url", "^https?://", "")
+    kept = filters.glob_filter(p, [f"*/**/*{k}*" for k in "02468"], ["**1*"])
+    return table(spark, d, "pages").where(kept).select("page_id")
+
+
+# ---- guarded SQL --------------------------------------------------------------------------------------------------
+
+
+def _sql(name: str, sql: str, limit: int = 1000) -> None:
+    """A query of which the guarded SQL is the operator; the oracle runs the same text with the same cap."""
+
+    def run(spark, d):
+        sqlguard.register(spark, d, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"])
+        return sqlguard.guarded(spark, sql, limit)[0]
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_sql("sor_join_agg", "SELECT n_name, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderstatus")
+_sql("sor_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, grouping(l_returnflag) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql("sor_window_rank", "WITH t AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) SELECT * FROM t WHERE r <= 3")
+_sql("sor_setops", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 UNION SELECT r_regionkey FROM region")
+_sql("sor_semi_anti", "SELECT p_partkey, p_brand FROM part WHERE p_size < 10 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 48)")
+_sql("sor_range_join", "SELECT r_name, n_name, x.n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 50 AND s_acctbal + 50 GROUP BY c_nationkey) x ON x.c_nationkey = n_nationkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 11)")
+def sor_limit_wrap(spark, d):
+    sqlguard.register(spark, d, ["orders"])
+    return sqlguard.guarded(spark, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey;", 10)[0]
+
+
+# ---- retrieval ----------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_vector(spark, d) -> list[float]:
+    return _vectors(spark, d).where("id = 0").first()["vector"]
+
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {_Q} ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 50")
+def knn_cosine(spark, d):
+    return search.nearest(_vectors(spark, d), _query_vector(spark, d), 50).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT vec_id AS id, round(1 - list_distance(embedding::DOUBLE[], q) ** 2, 6) AS score FROM embeddings, {_Q} ORDER BY list_distance(embedding::DOUBLE[], q), vec_id LIMIT 50")
+def knn_l2(spark, d):
+    return search.nearest(_vectors(spark, d), _query_vector(spark, d), 50, "l2").withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {_Q} WHERE label IN (1, 3) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+def knn_prefiltered(spark, d):
+    return search.nearest(_vectors(spark, d).where(F.col("label").isin(1, 3)), _query_vector(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id AS id, embedding AS vector FROM embeddings WHERE vec_id IN (1, 5, 7, 11)")
+def vectors_by_ids(spark, d):
+    return search.vectors_of(_vectors(spark, d), [1, 5, 7, 11])
+
+
+_TERMS = WORDS.split()
+_BM25 = r"""WITH t AS (SELECT doc_id AS id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+st AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS mean, """ + ", ".join(f"count(*) FILTER (list_contains(t, '{w}')) AS df_{k}" for k, w in enumerate(_TERMS)) + """ FROM t),
+s AS (SELECT id, """ + " + ".join(f"ln(1 + (n - df_{k} + 0.5) / (df_{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * len(t) / mean))" for k in range(len(_TERMS))) + """ AS score
+FROM (SELECT *, """ + ", ".join(f"len(list_filter(t, lambda x: x = '{w}'))::DOUBLE AS f{k}" for k, w in enumerate(_TERMS)) + """ FROM t {where}), st)
+SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT {k}"""
+
+
+def _docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+
+
+@query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "").replace("{k}", "50") + ")")
+def bm25_topk(spark, d):
+    return search.bm25(_docs(spark, d), WORDS, 50).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'de')").replace("{k}", "20") + ")")
+def bm25_prefiltered(spark, d):
+    return search.bm25(_docs(spark, d), WORDS, 20, where=F.col("lang") == "de").withColumn("score", F.round("score", 6))
+
+
+@query(r"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def term_df(spark, d):
+    per = _docs(spark, d).select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+_FUSED = f"""a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, {_Q} ORDER BY 2 DESC, 1 LIMIT 50)),
+b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_BM25.replace("{where}", "").replace("{k}", "50")})),
+f AS (SELECT id, sum(1 / (60 + r)) AS score, min(no * 1000 + r) AS first FROM (SELECT *, 0 AS no FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY id),
+p AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, first) AS pos FROM f)"""
+
+
+def _fused(spark, d) -> DataFrame:
+    docs = _docs(spark, d)
+    return search.fuse([search.nearest(_vectors(spark, d), _query_vector(spark, d), 50), search.bm25(docs, WORDS, 50)])
+
+
+@query(f"WITH {_FUSED} SELECT id, round(score, 6) AS score, pos::INT AS pos FROM p")
+def rrf_fusion(spark, d):
+    return _fused(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT doc_id, round(CASE WHEN length(text) > 800 THEN 1 / (1 + 0.5 * log2(length(text) / 800)) ELSE 1 END, 6) AS score FROM documents")
+def length_norm(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(search.length_norm(F.lit(1.0), F.length("text")), 6).alias("score"))
+
+
+@query("SELECT doc_id, round(0.7 + 0.3 * CASE WHEN quality IS NULL THEN 0.5 ELSE greatest(0, least(1, quality)) END, 6) AS score FROM documents LEFT JOIN labels USING (doc_id)")
+def importance_weight(spark, d):
+    j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("importance")), "doc_id", "left")
+    return j.select("doc_id", F.round(search.importance_weight(F.lit(1.0), F.col("importance")), 6).alias("score"))
+
+
+@query(f"SELECT event_id, round(value * (0.5 + 0.5 * f) + 0.3 * f, 6) AS score FROM (SELECT *, exp(-greatest(({NOW} - epoch(ts)) / 86400, 0) / 90) AS f FROM events)")
+def recency_boost(spark, d):
+    e = table(spark, d, "events").withColumn("mtime", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return e.select("event_id", F.round(search.recency(F.col("value"), F.col("mtime"), NOW), 6).alias("score"))
+
+
+@query("SELECT event_id, value AS score FROM events WHERE value >= 50")
+def min_score(spark, d):
+    return filters.min_score(table(spark, d, "events").select("event_id", F.col("value").alias("score")), 50.0)
+
+
+@query("SELECT event_id, round(value * CASE WHEN event_type = 'view' THEN 1.35 ELSE 1 END, 6) AS score FROM events")
+def media_boost(spark, d):
+    kind = F.when(F.col("event_type") == "view", "video").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", F.round(search.media_boost(F.col("value"), kind, "the video walkthrough"), 6).alias("score"))
+
+
+@query(f"""WITH {_FUSED}, r AS (SELECT p.*, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(left(text, 4000)), '\\s+')), ['apache', 'der', 'licensed', 'queue', 'thing'])) / 5.0, 6) AS rr FROM p JOIN documents ON doc_id = id WHERE pos <= 60),
+n AS (SELECT *, 0.6 * CASE WHEN max(rr) OVER () > min(rr) OVER () THEN (rr - min(rr) OVER ()) / (max(rr) OVER () - min(rr) OVER ()) ELSE 1 END + 0.4 * CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS s FROM r)
+SELECT id, round(s, 6) AS score FROM n""")
+def rerank_blend(spark, d):
+    x = _docs(spark, d).select("id", "text").join(F.broadcast(_fused(spark, d)), "id")
+    return search.rerank_blend(x, search.overlap_rerank_score(WORDS, F.col("text")), 60).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, round(0.7 * 0.5 + 0.3 * list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {_Q}")
+def cosine_fallback(spark, d):
+    return _vectors(spark, d).select("id", F.round(search.cosine_fallback(F.lit(0.5), F.col("vector"), _query_vector(spark, d)), 6).alias("score"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    """Documents that have a vector, with quality as importance and a time from the day of their number."""
+    docs = _docs(spark, d).select("id", "text", "source", "lang")
+    quality = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("importance"))
+    kind = F.element_at(F.array(F.lit("md"), F.lit("video"), F.lit("pdf"), F.lit("img")), (F.col("id") % 4 + 1).cast("int"))
+    return docs.join(_vectors(spark, d).select("id", "vector"), "id").join(quality, "id", "left").withColumns({"mtime": NOW - (F.col("id") % 200) * 86400.0, "source_type": kind})
+
+
+@query()
+def hybrid_search(spark, d):
+    out = search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, now=NOW)
+    return out.select("id", "pos", F.round("score", 6).alias("score"), "source_type", "deferred_by", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query()
+def hybrid_search_media(spark, d):
+    return search.hybrid_search(_chunks(spark, d), WORDS + " video walkthrough", _query_vector(spark, d), 10, now=NOW).select("id", "pos", F.round("score", 6).alias("score"), "source_type")
+
+
+@query()
+def sort_recent(spark, d):
+    return search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, sort="recent", where=F.col("lang") == "en").select("id", "pos", "mtime")
+
+
+@query()
+def mmr_diversity(spark, d):
+    v = search.nearest(_vectors(spark, d), _query_vector(spark, d), 40)
+    x = v.join(_vectors(spark, d), "id")
+    ranked = search.fuse([v]).select("id", "pos").join(x, "id")
+    return search.diversify(ranked, 20, threshold=0.3).select("id", "pos", "deferred_by", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH p AS (SELECT event_id, event_type AS source_type, value AS score, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM (SELECT * FROM events WHERE user_id = 1 ORDER BY value DESC, event_id LIMIT 40)) SELECT count(*) AS n FROM p WHERE pos <= 10""")
+def media_quota(spark, d):
+    e = table(spark, d, "events").where("user_id = 1").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "signup", "video").otherwise(F.col("event_type")).alias("source_type"), F.col("value").alias("score"))
+    pool = search.reposition(e.orderBy(F.desc("score"), "id").limit(40).withColumn("pos", F.col("id")))
+    return search.media_quota(pool, "video", 10).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- ingest -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents WHERE trim(text) <> ''),
+c AS (SELECT doc_id, body, unnest(range(0, greatest(ceil((length(body) - 200) / 1600.0), 1)::BIGINT)) AS i FROM t)
+SELECT doc_id, concat('c:', i) AS loc, '' AS section, substring(body, i * 1600 + 1, 1800) AS text, concat(doc_id, '::c:', i) AS chunk_uid FROM c WHERE trim(substring(body, i * 1600 + 1, 1800)) <> ''""")
+def chunk_documents(spark, d):
+    return files.chunks(table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, concat('[Document: ', doc_id, ' | Topics: ', lang, ' | Page: 3]', chr(10), 'Summary: ', source, chr(10), chr(10)) AS header FROM documents")
+def chunk_header(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.chunk_header(F.col("doc_id").cast("string"), F.col("lang"), F.lit(3), F.lit(""), F.col("source")).alias("header"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS snippet FROM documents")
+def snippet(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS title FROM pages")
+def title_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", T.title(F.lit(""), F.col("url")).alias("title"))
+
+
+@query("SELECT page_id, CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '' END AS folder FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)")
+def folder_derive(spark, d):
+    return table(spark, d, "pages").select("page_id", T.folder(F.regexp_replace("url", "^https?://", "")).alias("folder"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_type, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> ''), ',') AS tags FROM part")
+def normalize_tags(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.normalize_tags(F.replace("p_type", F.lit(" "), F.lit(" , "))).alias("tags"))
+
+
+@query("SELECT page_id, CASE WHEN e IN ('htm', 'html') THEN 'html' WHEN e IN ('md', 'pdf', 'csv', 'epub', 'txt') THEN e WHEN e = '' THEN 'other' ELSE e END AS source_type FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '^https?://[^/]*', ''), '\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)")
+def source_type(spark, d):
+    ext = F.regexp_extract(F.regexp_replace("url", "^https?://[^/]*", ""), r"\.([A-Za-z0-9]+)$", 1)
+    return table(spark, d, "pages").select("page_id", T.source_type(ext).alias("source_type"))
+
+
+@query()
+def heading_sections(spark, d):
+    page = F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-3])[^>]*>(.*?)</h\1>", "\n### $2\n"), r"<[^>]*>", " ")
+    return table(spark, d, "pages").select("page_id", F.posexplode(files.headings(page)).alias("no", "s")).select("page_id", "no", "s.breadcrumb", "s.body")
+
+
+@query()
+def repetition_collapse(spark, d):
+    return files.collapse_repetition(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+@query()
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+# ---- duplicates ---------------------------------------------------------------------------------------------------
+
+
+def _elected(spark, d) -> DataFrame:
+    return dedupe.elect(dedupe.with_identity(table(spark, d, "documents"), "text"), ["n_chars"])
+
+
+_ELECTED = "SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY sha256(text)) AS canonical_doc_id FROM documents"
+
+
+@query(f"SELECT doc_id, canonical_doc_id, CASE WHEN doc_id = canonical_doc_id THEN 'canonical' ELSE 'duplicate' END AS dedupe_status FROM ({_ELECTED})")
+def exact_dedupe_election(spark, d):
+    return _elected(spark, d).select("doc_id", "canonical_doc_id", "dedupe_status")
+
+
+@query(f"SELECT canonical_doc_id, list_sort(list(doc_id)) AS duplicates, count(*) AS n FROM ({_ELECTED}) WHERE doc_id <> canonical_doc_id GROUP BY 1")
+def duplicate_refs(spark, d):
+    return dedupe.duplicate_refs(_elected(spark, d))
+
+
+@query(f"""WITH e AS ({_ELECTED}), x AS (SELECT canonical_doc_id AS doc_id, list_sort(list_distinct(list(source))) AS s, count(*) AS n FROM e WHERE doc_id <> canonical_doc_id GROUP BY 1)
+SELECT e.doc_id, array_to_string(coalesce(s, []), ',') AS dup_sources, coalesce(n, 0)::BIGINT AS dup_count FROM e LEFT JOIN x USING (doc_id) WHERE e.doc_id = canonical_doc_id""")
+def canonical_merge(spark, d):
+    e = _elected(spark, d)
+    canon = e.where("dedupe_status = 'canonical'").select("doc_id", "lang")
+    m = dedupe.merge_provenance(canon, e, ["source"])
+    return m.select("doc_id", F.array_join("dup_sources", ",").alias("dup_sources"), F.col("dup_count").cast("long").alias("dup_count"))
+
+
+@query("SELECT source, sum(n - 1)::BIGINT AS hash_dups FROM (SELECT source, sha256(text) AS h, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+def hash_dup_count(spark, d):
+    return dedupe.hash_duplicates(dedupe.with_identity(table(spark, d, "documents"), "text"), "source")
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey AS k, concat('a', o_orderdate::DATE) AS t FROM orders WHERE o_totalprice > 430000 UNION SELECT o_custkey, concat('b', o_custkey % 97) FROM orders WHERE o_totalprice > 430000),
+e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM n a JOIN n b USING (t)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, min(b) AS group_id FROM r GROUP BY 1""")
+def content_groups(spark, d):
+    from siltstone.sources.snapshots import checkpoint_folder
+
+    checkpoint_folder(spark)
+    o = table(spark, d, "orders").where("o_totalprice > 430000").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("a"), (F.col("o_custkey") % 97).alias("b"))
+    return dedupe.content_groups(o, ["a", "b"])
+
+
+# ---- incremental runs ---------------------------------------------------------------------------------------------
+
+
+def _scan_and_store(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    key = F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("doc_id")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    scanned = docs.where("doc_id % 7 <> 0").select(key, F.sha2(text, 256).alias("change_hash"), F.lit(1.0).alias("mtime"))
+    stored = docs.where("doc_id % 10 <> 0").select(key, F.when(F.col("doc_id") % 3 != 0, F.sha2("text", 256)).otherwise("").alias("change_hash"), (F.col("doc_id") % 2).cast("double").alias("mtime"))
+    return scanned, stored
+
+
+_DIFF = """s AS (SELECT concat(source, '::', doc_id) AS doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN concat(text, '!') ELSE text END) AS h, 1.0 AS m FROM documents WHERE doc_id % 7 <> 0),
+t AS (SELECT concat(source, '::', doc_id) AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) ELSE '' END AS h, doc_id % 2 AS m FROM documents WHERE doc_id % 10 <> 0),
+c AS (SELECT doc_id, CASE WHEN t.h IS NULL THEN 'add' WHEN s.h IS NULL THEN 'delete' WHEN s.h <> '' AND t.h <> '' THEN CASE WHEN s.h <> t.h THEN 'update' ELSE 'same' END WHEN s.m <> t.m THEN 'update' ELSE 'same' END AS change FROM s FULL JOIN t USING (doc_id))"""
+
+
+@query(f"WITH {_DIFF} SELECT doc_id, change FROM c")
+def diff_index(spark, d):
+    return incremental.diff(*_scan_and_store(spark, d))
+
+
+@query(f"""WITH {_DIFF}, g AS (SELECT split_part(doc_id, '::', 1) AS source, count(*) AS have FROM t GROUP BY 1), x AS (SELECT split_part(doc_id, '::', 1) AS source, count(*) AS gone FROM c WHERE change = 'delete' GROUP BY 1)
+SELECT c.doc_id, CASE WHEN change = 'delete' AND have >= 20 AND gone > 0.14 * have THEN 'kept' ELSE change END AS change FROM c LEFT JOIN g ON g.source = split_part(doc_id, '::', 1) LEFT JOIN x ON x.source = g.source""")
+def mass_delete_guard(spark, d):
+    scanned, stored = _scan_and_store(spark, d)
+    return incremental.guarded_deletes(incremental.diff(scanned, stored), stored, ratio=0.14)
+
+
+@query()
+def skip_ledger_exclude(spark, d):
+    scanned, _ = _scan_and_store(spark, d)
+    ledger = scanned.where(F.crc32(F.col("doc_id").cast("binary")) % 11 == 0).select("doc_id", F.col("change_hash").alias("change_key"), F.lit(NOW - 130000.0).alias("skipped_at"))
+    return incremental.not_skipped(scanned, ledger, NOW).select("doc_id")
+
+
+@query(f"""WITH {_DIFF}, l AS (SELECT concat(source, '::', doc_id) AS doc_id, doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'old' END AS ck FROM documents)
+SELECT l.doc_id, CASE WHEN s.doc_id IS NULL THEN 'gone' WHEN t.doc_id IS NOT NULL AND n % 5 >= 3 THEN 'resolved' WHEN s.h <> ck THEN 'changed' WHEN n % 14 >= 12 THEN 'exhausted'
+WHEN n * 10 + least(300 * 2 ** (n % 14), 21600) > 9000 THEN 'waiting' ELSE 'due' END AS bucket FROM l LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def degraded_buckets(spark, d):
+    scanned, stored = _scan_and_store(spark, d)
+    key = F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("doc_id")
+    ck = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("old").alias("change_key")
+    ledger = table(spark, d, "documents").select(key, ck, (F.col("doc_id") % 5).alias("unresolved_runs"), (F.col("doc_id") % 14).alias("attempts"), (F.col("doc_id") * 10.0).alias("last_try"))
+    return incremental.degraded_buckets(ledger, scanned, stored.select("doc_id"), 9000.0)
+
+
+@query("""WITH l AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 = 0 AND doc_id % 10 = 0), g AS (SELECT source, count(*) AS have FROM documents GROUP BY 1), x AS (SELECT source, count(*) AS gone FROM l GROUP BY 1)
+SELECT l.doc_id FROM l JOIN g USING (source) JOIN x USING (source) WHERE have < 20 OR gone <= 0.02 * have""")
+def registry_reap(spark, d):
+    reg = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_name"))
+    return incremental.reap(reg, reg.where("doc_id % 7 <> 0"), reg.where("doc_id % 10 <> 0"), ratio=0.02)
+
+
+@query("SELECT event_type AS target, count(*) AS revision, min(ts) AS created_at FROM events GROUP BY 1")
+def request_queue(spark, d):
+    r = table(spark, d, "events").select(F.lit("t").alias("table_name"), F.lit("s").alias("source"), F.col("event_type").alias("target"), F.col("ts").alias("created_at"), F.lit(False).alias("force"))
+    return incremental.latest_requests(r).select("target", "revision", "created_at")
+
+
+# ---- conversations ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT conv_id, turn, lag(turn) OVER w AS p, lead(turn) OVER w AS x, CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, last_value(CASE WHEN t <> '' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said_before,
+first_value(CASE WHEN t <> '' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS said_after FROM m""")
+def asof_before_after(spark, d):
+    m = table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text")))
+    return context.nearest_said(m, ["conv_id"], ["turn"], "turn")
+
+
+_AROUND = """WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type <> 'error' AS said FROM events),
+n AS (SELECT a.user_id, a.event_id, b.event_id AS o, b.r - a.r AS k, abs(b.t - a.t) AS far FROM e a JOIN e b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 5 AND a.r + 5 AND a.r <> b.r WHERE abs(b.t - a.t) <= 36000),
+k AS (SELECT *, min(far) OVER (PARTITION BY event_id) AS m FROM n), w AS (SELECT * FROM k WHERE far <= greatest(m * 3, m + 60)),
+z AS (SELECT a.user_id, a.event_id, b.event_id AS o, b.r - a.r AS k, abs(b.t - a.t) AS far FROM (SELECT *, max(CASE WHEN said THEN r END) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, min(CASE WHEN said THEN r END) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e) a JOIN e b ON a.user_id = b.user_id AND (b.r = a.p OR b.r = a.q) WHERE abs(b.t - a.t) <= 36000),
+u AS (SELECT user_id, event_id, o, k FROM w UNION SELECT user_id, event_id, o, k FROM z)
+SELECT e.user_id, e.event_id, coalesce(array_to_string(list(o ORDER BY k) FILTER (k < 0), ','), '') AS before, coalesce(array_to_string(list(o ORDER BY k) FILTER (k > 0), ','), '') AS after FROM e LEFT JOIN u USING (user_id, event_id) GROUP BY 1, 2"""
+
+
+@query(_AROUND)
+def context_window(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"))
+    w = context.context_windows(e, ["user_id"], ["ts", "event_id"], minutes=600, key="event_id", time="ts")
+    return w.select("user_id", "event_id", F.array_join(F.col("before").cast("array<string>"), ",").alias("before"), F.array_join(F.col("after").cast("array<string>"), ",").alias("after"))
+
+
+# ---- lookups ------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '\+?\d[\d\s().\-]{5,}\d'), lambda x: regexp_replace(x, '\D', '', 'g')), lambda x: length(x) >= 7), lambda x: right(x, 10)))), ',') AS keys FROM documents""")
+def phone_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.phone_keys(F.col("text")), ",").alias("keys"))
+
+
+_EVIDENCE = r"""SELECT doc_id, m AS matched, round(m / 3.0, 6) AS overlap, p AS phone_match, m / 3.0 >= 0.34 OR m >= 2 OR p AS is_real
+FROM (SELECT doc_id, (regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])thing')::INT + regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])queue')::INT + regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])zuq')::INT) AS m, contains(regexp_replace(lower(text), '\D', '', 'g'), '9745553436') AS p FROM documents)"""
+_ASK = "the thing queue and zuq +1 (974) 555-3436"
+
+
+@query(_EVIDENCE)
+def evidence_score(spark, d):
+    e = lookup.evidence(table(spark, d, "documents"), _ASK, F.col("text"))
+    return e.select("doc_id", "matched", F.round("overlap", 6).alias("overlap"), "phone_match", "is_real")
+
+
+@query()
+def comm_verdict(spark, d):
+    """Verdicts of three questions: one that is answered, one about a call, one about nothing."""
+    docs = _docs(spark, d).withColumn("score", F.lit(1.0))
+    out = None
+    for q in ("thing queue tion", "missed call about the thing", "zzzq unobtanium"):
+        one = lookup.verdict(lookup.evidence(docs, q, F.col("text")), q).select(F.lit(q).alias("question"), "verdict", "top", "n_real", "sql_needed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- taxonomy -----------------------------------------------------------------------------------------------------
+
+
+def _taxonomy(spark, d) -> DataFrame:
+    """Part types as tags, with their first word as an alias of the smallest; brands as folders."""
+    p = table(spark, d, "part")
+    tags = p.select(F.lit("tag").alias("kind"), F.col("p_type").alias("name"), F.array(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("aliases")).distinct()
+    folders = p.select(F.lit("folder").alias("kind"), F.concat("p_brand", F.lit("/")).alias("name"), F.array().cast("array<string>").alias("aliases")).distinct()
+    both = tags.unionByName(folders)
+    return both.select(F.concat_ws(":", "kind", "name").alias("id"), "kind", "name", F.concat(F.lit("about "), "name").alias("description"), "aliases", F.lit("active").alias("status"), F.lit(0).cast("long").alias("usage_count"))
+
+
+@query("""WITH a AS (SELECT lower(split_part(p_type, ' ', 1)) AS alias, min(p_type) AS canonical FROM part GROUP BY 1)
+SELECT p_partkey AS id, CASE WHEN p_type = canonical THEN p_type ELSE concat(p_type, ',', canonical) END AS resolved FROM part JOIN a ON alias = lower(split_part(p_type, ' ', 1))""")
+def alias_resolve(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.upper("p_type"), F.split_part("p_type", F.lit(" "), F.lit(1))).alias("names"))
+    return taxonomy.resolve(items, _taxonomy(spark, d), "tag").select("id", F.array_join("resolved", ",").alias("resolved"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat(p_type, '?') ELSE p_type END AS tag, p_partkey % 3 <> 0 AS known FROM part")
+def tag_validate(spark, d):
+    items = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("?"))).otherwise(F.col("p_type")).alias("tag"))
+    return taxonomy.validate_tags(items, _taxonomy(spark, d)).select("p_partkey", "tag", "known")
+
+
+@query("SELECT p_partkey, p_brand AS folder, concat(p_brand, '/') AS suggested FROM part")
+def folder_suggest(spark, d):
+    return taxonomy.suggest_folder(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("folder")), _taxonomy(spark, d)).select("p_partkey", "folder", "suggested")
+
+
+@query("SELECT concat('tag:', p_type) AS id, count(*) AS usage_count FROM part GROUP BY 1 UNION ALL SELECT DISTINCT concat('folder:', p_brand, '/'), 0 FROM part")
+def usage_increment(spark, d):
+    uses = table(spark, d, "part").select(F.concat(F.lit("tag:"), "p_type").alias("id")).union(spark.createDataFrame([("tag:none",)], "id string"))
+    return taxonomy.count_usage(_taxonomy(spark, d), uses).select("id", "usage_count")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_type AS n FROM part), f AS (SELECT DISTINCT concat(p_brand, '/') AS n FROM part)
+SELECT concat('## Available Tags', chr(10), (SELECT string_agg(concat('- ', n, ': about ', n), chr(10) ORDER BY n) FROM t), chr(10), chr(10), '## Available Folders', chr(10), (SELECT string_agg(concat('- ', n, ': about ', n), chr(10) ORDER BY n) FROM f)) AS text""")
+def prompt_render(spark, d):
+    return taxonomy.prompt(_taxonomy(spark, d))
+
+
+# ---- evaluation ---------------------------------------------------------------------------------------------------
+
+
+def _turn_pairs(spark, d) -> DataFrame:
+    """Each turn with the next one, as prediction and gold."""
+    c = table(spark, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
+    pairs = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "text", "gold")
+    return pairs.withColumns({"a": evaluate.token_set(F.col("text")), "b": evaluate.token_set(F.col("gold"))})
+
+
+_STEM = "CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN concat(left(x, length(x) - 3), 'y') WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END"
+_SET = f"list_distinct(list_transform(regexp_extract_all(regexp_replace(lower(text), '[_-]', ' ', 'g'), '[a-z0-9]+'), lambda x: {_STEM}))"
+_PAIRS = f"WITH s AS (SELECT conv_id, turn, {_SET} AS t FROM conversations), p AS (SELECT x.conv_id, x.turn, x.t AS a, y.t AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) AS n, len(y.t) AS m FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+
+
+@query(_PAIRS + " SELECT conv_id, turn, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE 2.0 * i / (n + m) END, 6) AS f1, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE i / (n + m - i) END, 6) AS jaccard, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE greatest(2.0 * i / (n + m), i / m) END, 6) AS summary FROM p")
+def token_scores(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _turn_pairs(spark, d).select("conv_id", "turn", F.round(evaluate.token_f1(a, b), 6).alias("f1"), F.round(evaluate.jaccard(a, b), 6).alias("jaccard"), evaluate.summary_score(a, b).alias("summary"))
+
+
+@query("SELECT event_id, round(1 - abs(greatest(0, least(1, floor(value) / 100)) - greatest(0, least(1, user_id / 100))), 6) AS score FROM events")
+def importance_distance(spark, d):
+    return table(spark, d, "events").select("event_id", evaluate.importance_score((F.floor("value") / 100).cast("decimal(10,2)").cast("string"), (F.col("user_id") / 100).cast("decimal(10,2)").cast("string")).alias("score"))
+
+
+@query()
+def phrase_matching(spark, d):
+    lists = _turn_pairs(spark, d).select("conv_id", "turn", F.split("text", r"\.").alias("p"), F.split("gold", r"\.").alias("q"))
+    return lists.select("conv_id", "turn", evaluate.phrase_match("p", "q").alias("score"))
+
+
+def _results(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    flags = evaluate.hard_flags(F.col("value") * 300, F.col("props"), F.col("event_type"), F.col("event_type") != "error", F.col("value") * 250, F.col("user_id") % 4 > 0)
+    return e.select(F.col("event_id").alias("case_id"), (F.col("value") / 100).alias("score"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("latency_ms"), flags.alias("flags"), "event_type")
+
+
+@query("SELECT count(*) AS n, round(avg(value / 100), 6) AS mean_score, round(avg((event_type = 'error')::INT), 6) AS failure_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
+def summary_percentiles(spark, d):
+    return evaluate.summary(_results(spark, d))
+
+
+_FLAGS = r"""SELECT event_id AS case_id, value / 100 AS score, event_type = 'error' AS failed, list_filter([CASE WHEN value * 300 >= 25000 THEN 'long_prompt' END, CASE WHEN value * 300 >= 250000 THEN 'huge_prompt' END,
+CASE WHEN contains(props, 'NEARBY SAME-CHANNEL CONTEXT CANDIDATES') OR contains(props, 'BEFORE MESSAGES') THEN 'nearby_context' END, CASE WHEN contains(props, '## Available Tags') OR contains(props, '## Available Folders') THEN 'taxonomy_bloat' END,
+CASE WHEN regexp_matches(props, 'https?://') THEN 'link_noise' END, CASE WHEN regexp_matches(props, '(?i)\b(payment|billing|rent|collection|cleared|failed|invoice|charge|tenant|lease|eviction|maintenance|damage|urgent|scam)\b') THEN 'business_critical' END,
+CASE WHEN event_type <> 'error' AND value * 250 >= 10000 THEN 'slow_success' END, CASE WHEN event_type <> 'error' AND value * 250 >= 25000 THEN 'very_slow_success' END, CASE WHEN event_type <> 'error' AND user_id % 4 = 0 THEN 'parse_suspect' END], lambda x: x IS NOT NULL) AS flags FROM events"""
+
+
+@query(f"SELECT case_id, array_to_string(flags, ',') AS flags FROM ({_FLAGS})")
+def hard_flags(spark, d):
+    return _results(spark, d).select("case_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"SELECT flag, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(failed::INT), 6) AS failure_rate FROM (SELECT unnest(flags) AS flag, score, failed FROM ({_FLAGS})) GROUP BY 1")
+def flag_breakdown(spark, d):
+    return evaluate.by_flag(_results(spark, d))
+
+
+@query("SELECT event_id AS case_id, value / 100 AS score FROM events ORDER BY 2, 1 LIMIT 5")
+def worst_cases(spark, d):
+    return evaluate.worst(_results(spark, d)).select("case_id", "score")
+
+
+@query()
+def round_robin_select(spark, d):
+    return evaluate.round_robin(_results(spark, d), "event_type", 25, seed=7).select("case_id", "event_type", "turn")
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, max(ts) AS mtime, count(*) OVER () AS n_users FROM events GROUP BY user_id")
+def stream_upsert(spark, d):
+    from siltstone.sources.snapshots import shared_folder
+
+    root = shared_folder(spark)
+    # A pattern serves for a table that is one file as for one that is a folder.
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    target = SnapshotTable(spark, f"{root}/index")
+    streams.upsert_stream(src.select("user_id", F.col("ts").alias("mtime")), target, f"{root}/state", key="user_id").awaitTermination()
+    out = target.read()
+    return out.join(F.broadcast(out.agg(F.count(F.lit(1)).alias("n_users"))), how="cross")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_counts(spark, d):
+    return streams.window_counts(table(spark, d, "events"), "ts", "1 hour", "event_type")
+
+
+@query("""SELECT user_id AS doc_id, least(count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)), 12)::INT AS attempts, max(ts) FILTER (NOT ok) AS last_try, count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)) >= 12 AS exhausted
+FROM (SELECT user_id, ts, event_type = 'purchase' AS ok, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) AS o FROM events) GROUP BY user_id""")
+def retry_states(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return streams.retry_states(e)

@@ -140,3 +140,19 @@ def _evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     kinds = dict(both.dtypes)
     lacking = (set(old.columns) ^ set(new.columns)) & {c for c, t in kinds.items() if t == "string"}
     return both.na.fill("", sorted(lacking)) if lacking else both
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes sure that there is a checkpoint folder; the cluster's own stays."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
