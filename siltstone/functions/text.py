@@ -217,7 +217,7 @@ def html_text(html: Column) -> Column:
     plain = F.regexp_replace(lines, r"<[^>]*>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def phone_keys(text: Column) -> Column:

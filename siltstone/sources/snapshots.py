@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,7 @@ class SnapshotTable:
             try:
                 df = self.read(v)
                 df.limit(1).collect()
-            except (AnalysisException, Exception) as e:
-                if "SparkException" not in type(e).__name__ and not isinstance(e, AnalysisException) and "Py4J" not in type(e).__name__:
-                    raise
+            except (PySparkException, Py4JJavaError):  # missing or broken files
                 continue
             self._write_text("CURRENT", str(v))
             return df
@@ -101,7 +100,7 @@ class SnapshotTable:
     def delete(self, keys: DataFrame, key: str = "doc_id") -> int:
         return self.replace(self.read().join(keys.select(key).distinct(), key, "left_anti"))
 
-    def compare_and_set(self, row_key: str, value: str, expected: Column, changes: dict[str, Column], field: str = "chunk_uid") -> bool:
+    def compare_and_set(self, value: str, expected: Column, changes: dict[str, Column], field: str = "chunk_uid") -> bool:
         """Changes one row if it still is as expected; says whether it was."""
         old = self.read()
         hit = (F.col(field) == value) & expected
