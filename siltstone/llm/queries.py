@@ -24,7 +24,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_3
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +53,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Queries that SQL can express; the others are tested against brute force, the library or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), b AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(t), 10) AS n, array_to_string(t[k : k + 9], ' ') AS win FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 9, 1) + 1)) AS k FROM b WHERE len(t) > 0)),
+p AS (SELECT doc_id, k, n, array_to_string(t[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS k FROM d) CROSS JOIN (SELECT DISTINCT n FROM g) WHERE k + n - 1 <= len(t)),
+h AS (SELECT p.doc_id, p.k, p.n, g.item_id FROM p JOIN g USING (n, win)),
+w AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM h GROUP BY 1)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op8_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), n AS (SELECT x, count(*) AS n FROM p GROUP BY 1), c AS (SELECT x, min(y) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+}
