@@ -61,7 +61,7 @@ ORACLE_SQL: dict[str, str] = {
 g AS (SELECT DISTINCT item_id, least(len(t), 10) AS n, array_to_string(t[k : k + 9], ' ') AS win FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 9, 1) + 1)) AS k FROM b WHERE len(t) > 0)),
 p AS (SELECT doc_id, k, n, array_to_string(t[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS k FROM d) CROSS JOIN (SELECT DISTINCT n FROM g) WHERE k + n - 1 <= len(t)),
 h AS (SELECT p.doc_id, p.k, p.n, g.item_id FROM p JOIN g USING (n, win)),
-w AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM h) GROUP BY 1),
+w AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM h) GROUP BY 1),
 i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM h GROUP BY 1)
 SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id)""",
