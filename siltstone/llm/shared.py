@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A table written to the shared folder, which cuts the lineage: lost executors cost nothing that was written."""
+    """A table written to the shared folder, which cuts the lineage: lost executors cost nothing that was written.
 
-    def __init__(self, df: DataFrame):
+    It lies in a folder of the application's id, to be deleted with the application, or earlier by scope().
+    """
+
+    def __init__(self, df: DataFrame, *partition_by: str):
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
+        self.path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/t-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path).select(*[F.col(f"`{c}`") for c in df.columns])
+        if _scopes:
+            _scopes[-1].append(self)
 
     def drop(self) -> None:
         """Deletes the files; the frame must not be read any more."""
@@ -39,9 +46,23 @@ class Stored:
         p.getFileSystem(self.df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+_scopes: list[list[Stored]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[Stored]]:
+    """Tables stored within are deleted at the end, but for those taken off the list; frames made within must not be read after."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for t in _scopes.pop():
+            t.drop()
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
-    return Stored(df).df
+    return Stored(df, *partition_by).df
 
 
 def lower_ascii(c: Column) -> Column:
@@ -81,8 +102,8 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of a chain. Links and labels stay distributed; each round is a table in the shared folder, and the
     only value that reaches the driver is the number of labels that changed.
     """
-    ab = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    both = stored(ab.union(ab.select(F.col("b"), F.col("a"))).distinct())
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).select(F.explode(ends).alias("e")).select("e.*").distinct())
     now = Stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
         far = both.join(now.df.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
