@@ -686,6 +686,70 @@ def round_robin_select(spark, d):
     return evaluate.round_robin(_results(spark, d), "event_type", 25, seed=7).select("case_id", "event_type", "turn")
 
 
+# ---- scalar functions ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, array_to_string(list_transform([4, 3, 2, 1, 0], lambda k: '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'[(o_orderkey // (62 ** k)::BIGINT) % 62 + 1]), '') AS id, o_orderkey AS back FROM orders")
+def base62_ids(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", T.base62(F.col("o_orderkey")).alias("id"))
+    return o.withColumn("back", T.from_base62(F.col("id")))
+
+
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS us, strftime(l_shipdate, '%Y-%m-%d') AS words FROM lineitem")
+def date_normalisation(spark, d):
+    day = F.col("l_shipdate").cast("date")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evaluate.iso_date(F.date_format(day, "M/d/yyyy")).alias("us"), evaluate.iso_date(F.concat(F.date_format(day, "MMMM d"), F.lit("th, "), F.date_format(day, "yyyy"))).alias("words"))
+
+
+@query("""SELECT a.p_partkey, CASE WHEN a.p_type = b.p_type THEN 1.0 WHEN split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1) AND len(string_split(a.p_type, ' ')) = 1 THEN 0.5 END AS score
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey WHERE a.p_type IS NOT NULL""")
+def folder_scores(spark, d):
+    path = F.replace("p_type", F.lit(" "), F.lit("/"))
+    return table(spark, d, "part").select("p_partkey", evaluate.folder_score(path, F.upper(path)).alias("score"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at, concat_ws(':', event_type, user_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ')) AS batch, least(300.0 * 2 ** (user_id % 10), 21600.0) AS delay, CASE WHEN user_id % 2 = 0 THEN concat('mtime:', user_id) ELSE event_type END AS ck FROM events")
+def record_keys(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    at = T.timestamp_utc(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+    ck = T.change_key(F.when(F.col("user_id") % 2 == 0, "").otherwise(F.col("event_type")), F.col("user_id"))
+    return table(spark, d, "events").select("event_id", T.iso_utc(at).alias("at"), T.batch_key(F.col("event_type"), F.col("user_id").cast("string"), ts).alias("batch"), T.retry_delay(F.col("user_id") % 10).alias("delay"), ck.alias("ck"))
+
+
+@query("SELECT conv_id, turn, concat('name', conv_id % 5, ' says ', CASE WHEN conv_id % 5 < 3 THEN concat('N', conv_id % 5) ELSE concat('{@', conv_id % 5, '}') END) AS text FROM conversations WHERE turn % 3 <> 0")
+def mention_expansion(spark, d):
+    c = table(spark, d, "conversations")
+    own = F.concat(F.lit("name"), F.col("conv_id") % 5, F.lit(" says {@"), F.col("conv_id") % 5, F.lit("}"))
+    m = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "conv_id", "turn", F.lit("s").alias("source"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("{@"), F.col("turn"), F.lit("}"))).otherwise(own).alias("text"))
+    p = spark.createDataFrame([("s", str(k), f"N{k}") for k in range(3)], "source string, participant_key string, display_name string")
+    return context.expand_mentions(m, p).select("conv_id", "turn", "text")
+
+
+@query(r"SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts, (400 + user_id % 100)::INT AS status, CASE WHEN user_id % 2 = 0 THEN 'ocr' ELSE 'rerank' END AS kind FROM events")
+def log_lines(spark, d):
+    line = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" WARN "), F.when(F.col("user_id") % 2 == 0, "OCR").otherwise("reranker"), F.lit(" failed status_code="), (400 + F.col("user_id") % 100).cast("string"))
+    ts, status, kind = T.log_level(line)
+    return table(spark, d, "events").select("event_id", ts.alias("ts"), status.alias("status"), kind.alias("kind"))
+
+
+@query("SELECT doc_id, substring(text, 1, 1000) AS content, length(text) > 1000 AS content_truncated, CASE WHEN trim(lang) = '' THEN NULL ELSE lang END AS lang, substring(text, 1, 200) AS snippet FROM documents")
+def compact_hits(spark, d):
+    h = browse.hits(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    return browse.compact_hits(h, 1000).select("doc_id", "content", "content_truncated", "lang", "snippet")
+
+
+@query("SELECT p_partkey, CASE WHEN len(s) <= 2 THEN true WHEN len(s) = 3 THEN NOT regexp_matches(s[3], '^([0-9]{4}|[0-9]{1,2})$') ELSE false END AS kept FROM (SELECT p_partkey, string_split(concat(replace(p_type, ' ', '/'), CASE WHEN p_partkey % 2 = 0 THEN '/2024' ELSE '' END), '/') AS s FROM part)")
+def folder_depth(spark, d):
+    path = F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.when(F.col("p_partkey") % 2 == 0, "/2024").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", T.folder_depth_kept(path).alias("kept"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM labels INTERSECT SELECT vec_id FROM embeddings)")
+def set_operations(spark, d):
+    v, seen = _vectors(spark, d).select("id", "label"), table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return v.join(v.select("id").exceptAll(seen.intersect(v.select("id"))), "id", "left_semi")
+
+
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 
