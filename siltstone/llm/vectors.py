@@ -1,14 +1,16 @@
 """Embedding near-duplicates: random-hyperplane signs in several tables, exact cosine, connected components.
 
 Equal vectors of one label count once, with their number of copies as a weight. Each distinct vector is signed by
-`bits` random hyperplanes in each of `tables` tables; vectors that share a label and the signs of a table meet there.
+`bits` random hyperplanes in each of several tables; vectors that share a label and the signs of a table meet there. The bits
+grow with the logarithm of a label's vectors, so that a bucket has about BUCKET of them, and the tables with the bits, so that
+the chance to miss a pair stays below MISS at any size.
 A bucket is compared tile by tile in numpy with cosines in double precision, so no link is below the threshold. A pair
 counts in the first table in which its signs agree, and for each vector a tile gives a number of links and a spanning
 forest, never the list of pairs: a bucket of near copies costs arithmetic but no quadratic output. Large buckets are cut into tiles
 that are compared in tasks of their own.
 
-At cosine 0.98 a hyperplane parts a pair with probability 0.064. With 12 bits and 32 tables a pair at the threshold is
-missed with probability (1 - 0.936**12)**32, about 3e-9; nearer pairs with less.
+At cosine 0.98 a hyperplane parts a pair with probability 0.064, so a table of b bits finds it with 0.936**b, and t tables
+miss it with (1 - 0.936**b)**t; nearer pairs are missed less often.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
 link with nothing (component_id is their own vec_id). Vectors of different lengths do not link. Rows with a null vec_id give a row without links. Repeated
@@ -25,20 +27,28 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import Stored, components, forest, stored
 
 THRESHOLD = 0.98
-BITS = 12
-TABLES = 32
+BUCKET = 512
+MISS = 1e-9
 TILE = 2048
 SEED = 20177
 
 
+def tables_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """How many tables of so many bits miss a pair at the threshold less often than `miss`."""
+    found = (1 - np.arccos(threshold) / np.pi) ** bits
+    return 1 if bits == 0 else int(np.ceil(np.log(miss) / np.log(1 - found)))
+
+
 def _signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     """The key of each row in each table."""
-    planes = np.random.default_rng(seed + x.shape[1]).standard_normal((x.shape[1], bits * tables))
+    if not bits:
+        return np.zeros((len(x), tables), np.int32)
+    planes = np.random.default_rng([seed, x.shape[1], bits]).standard_normal((x.shape[1], bits * tables))
     on = (x @ planes >= 0).reshape(len(x), tables, bits)
     return (on * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, tile: int = TILE, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, tile: int = TILE, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label)."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
@@ -46,20 +56,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = B
     rows = stored(base.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("same", F.when(F.col("ok"), F.sha2(F.concat_ws(",", "label", F.col("v").cast("array<string>")), 256))))
     one = stored(rows.where("ok").groupBy("same").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
 
+    dim = F.size("v").alias("dim")
+    sizes = one.groupBy("label", dim).agg(F.count(F.lit(1)).alias("m")).select("label", "dim", F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.col("m") / bucket)))).cast("int").alias("bits"))
+    sized = one.select("id", "n", "label", "v", dim).join(sizes, ["label", "dim"]).select("id", "n", "label", "v", "bits")
+
     def sign(batches):
         for b in batches:
             ids, lists = b.column(0), b.column(3)
-            size = np.diff(lists.offsets.to_numpy())
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                sub = lists.take(pa.array(at))
+            size, bits = np.diff(lists.offsets.to_numpy()), b.column(4).to_numpy()
+            for d, k in sorted(set(zip(size.tolist(), bits.tolist(), strict=True))):
+                at = pa.array(np.flatnonzero((size == d) & (bits == k)))
+                sub = lists.take(at)
                 x = sub.flatten().to_numpy().reshape(len(at), d)
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                keys = _signs(x / scale, bits, tables, seed)
+                tables = tables_for(k, threshold)
+                keys = _signs(x / np.abs(x).max(axis=1, keepdims=True), k, tables, seed)
                 codes = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at)), sub, codes], ["id", "n", "label", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), b.column(1).take(at), b.column(2).take(at), sub, codes], ["id", "n", "label", "v", "codes"])
 
-    signed = stored(one.select("id", "n", "label", "v").mapInArrow(sign, "id long, n long, label string, v array<double>, codes array<int>"))
+    signed = stored(sized.mapInArrow(sign, "id long, n long, label string, v array<double>, codes array<int>"))
     keyed = signed.select("id", "n", "label", "v", "codes", F.posexplode("codes").alias("t", "key")).withColumn("dim", F.size("v"))
     sizes = keyed.groupBy("label", "dim", "t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("tiles", F.ceil(F.col("m") / tile).cast("int"))
     met = keyed.join(sizes, ["label", "dim", "t", "key"])
@@ -72,7 +86,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = B
         own = group.column("ta")[0].as_py() == group.column("tb")[0].as_py()
         n, ids, left = group.column("n").to_numpy(), group.column("id").to_numpy(), group.column("left").to_numpy(zero_copy_only=False).astype(bool)
         x = group.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        codes = group.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, tables)
+        codes = group.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         b = np.arange(len(ids)) if own else np.flatnonzero(~left)

@@ -105,8 +105,8 @@ def test_vectors_against_brute_force(spark):
     low = {}
     for i, r in enumerate(rows):
         low[g[i]] = min(low.get(g[i], r[0]), r[0])
-    for tile in (2048, 3):
-        got = {r.vec_id: r for r in vectors.near_vectors(df, tile=tile).collect()}
+    for tile, bucket in ((2048, 512), (3, 512), (2048, 4)):
+        got = {r.vec_id: r for r in vectors.near_vectors(df, tile=tile, bucket=bucket).collect()}
         for i, r in enumerate(rows):
             n = sum(linked(i, j) for j in range(len(rows)) if j != i)
             assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (n, low[g[i]], low[g[i]] == r[0])
