@@ -35,7 +35,7 @@ LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+",
     "ip": r"(?:\G|(?<![0-9A-Fa-f:]))[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}+",
     "card": r"(?:\G|(?<![0-9]))[0-9]{4}(?:[./_][0-9]{4}){2,3}(?![0-9])",
-    "phone": r"(?:\G|(?<![0-9+]))\(?[0-9](?:[\x20().0-9-]*+)(?<=[0-9])",
+    "phone": r"(?:\G|(?<![0-9+]))\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+",
 }
 SUPPORT = 3
 CONFIDENCE = 0.5
@@ -107,7 +107,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     """rid, doc_id, base and loose (arrays of spans; loose ones overlap no base span) for each row of docs."""
     t = F.col("text")
     ask = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": t.contains("+")}
-    loose_ask = {"email": t.contains("@") | t.rlike(r"[(\[]at[)\]]"), "ip": t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"), "card": t.rlike(r"[0-9]{4}[./_][0-9]"), "phone": t.rlike(r"[0-9)][\x20().-][\x20().0-9-]*[0-9]")}
+    loose_ask = {"email": t.contains("@") | t.rlike(r"[(\[]at[)\]]"), "ip": t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"), "card": t.rlike(r"[0-9]{4}[./_][0-9]"), "phone": t.rlike(r"[0-9][\x20().-]{1,3}[0-9]")}
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,left:string,inst:bigint>>")
     every = lambda tables: F.array_sort(F.flatten(F.array(*[F.coalesce(c, empty) for c in tables])))
     base = every([matches(t, BASE[k], k, ask[k], lambda x, k=k: valid(k, x)) for k in KINDS])
