@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Seeds are the matches of four base expressions. The word before an identifier is a lexical pattern; looser shapes of the same kinds give
-candidates, which count for nothing by themselves. Patterns and identifiers form a graph that is scored in rounds: a
+candidates, which count for nothing by themselves. Patterns and identifiers form a graph that is scored in rounds until nothing changes: a
 pattern's confidence is the mean score of the identifiers it is seen with, times its specificity (the share of all its
 occurrences in the corpus that such an identifier follows); an identifier's score joins the confidences of its patterns, seeds being 1. A
-pattern needs SUPPORT distinct seeds. Candidates whose pattern is trusted and whose score is high are added;
+pattern needs SUPPORT distinct identifiers that count, seeds or not, so learned ones lead to patterns of their own. Candidates whose pattern is trusted and whose score is high are added;
 base spans always stay. A pattern whose specificity is below the confidence asked for can never be trusted and is left out
 of the graph at once, which loses nothing.
 
@@ -40,7 +40,8 @@ LOOSE = {
 SUPPORT = 3
 CONFIDENCE = 0.5
 SCORE = 0.5
-ROUNDS = 3
+#: The rise of a score that counts as none.
+RISE = 1e-4
 BLOCK = 256
 
 
@@ -125,19 +126,24 @@ def trusted(found: DataFrame, docs: DataFrame) -> DataFrame:
     seen = seen.select("s.kind", "s.left", "s.inst", "seed").where("left <> ''")
     edges = stored(seen.groupBy("kind", "left", "inst").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     met = edges.groupBy("kind", "left").agg(F.sum("n").alias("n"), F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("others"))
-    # Only patterns that some candidate needs, and that could be trusted, go on.
-    met = stored(met.where((F.col("others") > 0) & (F.col("seeds") > 0)))
+    # Patterns that only seeds have change no score, as those of seeds are fixed.
+    met = stored(met.where(F.col("others") > 0))
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x09-\x0D\x20]+")).alias("left")).groupBy("left").agg(F.count(F.lit(1)).alias("all"))
     good = met.join(words, "left").withColumn("specific", F.least(F.col("n") / F.col("all"), F.lit(1.0))).where(F.col("specific") >= CONFIDENCE)
     graph = stored(edges.join(good.select("kind", "left", "specific"), ["kind", "left"]))
     known = stored(graph.groupBy("kind", "inst").agg(F.max("seed").alias("score")))
-    sure = None
-    for _ in range(ROUNDS):
-        by = graph.join(known, ["kind", "inst"]).groupBy("kind", "left").agg((F.max("specific") * F.avg("score")).alias("confidence"), F.sum((F.col("score") >= SCORE).cast("int")).alias("support"))
+    before = None
+    while True:
+        by = graph.join(known.select("kind", "inst", "score"), ["kind", "inst"]).groupBy("kind", "left").agg((F.max("specific") * F.avg("score")).alias("confidence"), F.sum((F.col("score") >= SCORE).cast("int")).alias("support"))
         sure = by.where(F.col("support") >= SUPPORT)
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))))
-        known = stored(graph.join(sure, ["kind", "left"], "left").groupBy("kind", "inst").agg(F.greatest(F.max("seed"), 1 - F.coalesce(doubt, F.lit(1.0))).alias("score")))
-    last = graph.join(sure.where(F.col("confidence") >= CONFIDENCE), ["kind", "left"]).join(known.where(F.col("score") >= SCORE), ["kind", "inst"])
+        known = stored(graph.join(sure, ["kind", "left"], "left").join(known.select("kind", "inst", "score"), ["kind", "inst"]).groupBy("kind", "inst").agg(F.greatest(F.max("seed"), 1 - F.coalesce(doubt, F.lit(1.0))).alias("score"), F.max("score").alias("was")))
+        # Scores only rise, so the rounds end: when no pattern or identifier joins and no score rises any more.
+        patterns, rise, counting = *sure.agg(F.count(F.lit(1))).first(), *known.agg(F.max(F.col("score") - F.col("was")), F.sum((F.col("score") >= SCORE).cast("int"))).first()
+        if (patterns, counting) == before and (rise or 0) < RISE:
+            break
+        before = patterns, counting
+    last = graph.join(sure.where(F.col("confidence") >= CONFIDENCE), ["kind", "left"]).join(known.where(F.col("score") >= SCORE).select("kind", "inst"), ["kind", "inst"])
     return last.where("seed = 0").select("kind", "left", "inst")
 
 

@@ -76,3 +76,14 @@ def test_patterns_find_unseen_identifiers(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(docs).collect() == []
+
+
+def test_learned_identifiers_induce_patterns_of_their_own(spark):
+    seeds = [f"mailbox: user{k}@host.org now" for k in range(40)]
+    names = ["jane", "joan", "mary", "rosa"]
+    learned = [f"mailbox: {x} (at) host (dot) org now" for x in names]
+    second = [f"reach: {x} (at) host (dot) org now" for x in [*names, "only"]]
+    docs = spark.createDataFrame(list(enumerate(seeds + learned + second)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert all(rows[40 + k].startswith("email:9:") for k in range(4))
+    assert all(rows[44 + k].startswith("email:7:") for k in range(5))
