@@ -48,14 +48,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+    """(doc_id, th, fp) for each row; th is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def half_counts(fp: str = "fp"):
@@ -117,22 +118,29 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     return dealt.groupBy("cell", "ta", "tb").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row of docs."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, tile: int) -> DataFrame:
+    """doc_id, th, fp, component_id and group (a fingerprint that names the component) for each row of docs."""
     own = stored(fingerprints(docs, shingle))
     fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     links = Stored(close_links(fps.select("fp"), radius, tile))
     group = components(links.df)
     named = fps.join(group.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "first_id")
     first = named.groupBy("component").agg(F.min("first_id").alias("low"))
-    linked = named.join(first, "component").select("fp", "low")
-    per_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return own.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = named.join(first, "component").select("fp", "low", "component")
+    per_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    return own.join(per_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row of docs."""
+    found = _grouped(docs, shingle, radius, tile)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows without an id stay."""
-    found = near_duplicates(docs, shingle, radius)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """docs with one row of each component: that of its smallest doc_id, and of the texts of that id the one of the smallest fingerprint. Rows without an id stay."""
+    found = _grouped(docs, shingle, radius, TILE).where("doc_id = component_id")
+    first = found.groupBy("group", "doc_id").agg(F.min(F.struct("fp", "th")).alias("low")).select(F.col("doc_id").alias("kept_id"), F.col("low.th").alias("kept_th"))
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("doc_id").cast("long").alias("id"))
+    kept = marked.join(first, (F.col("id") == F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi").dropDuplicates(["id", "th"])
+    return kept.select("row.*").union(docs.where("doc_id is null"))

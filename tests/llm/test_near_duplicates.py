@@ -111,3 +111,11 @@ def test_vectors_against_brute_force(spark):
             n = sum(linked(i, j) for j in range(len(rows)) if j != i)
             assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (n, low[g[i]], low[g[i]] == r[0])
     assert vectors.near_vectors(df.limit(0)).collect() == []
+
+
+def test_keep_one_of_unrelated_texts_with_one_id(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b = text(), text()
+    docs = spark.createDataFrame([(3, a), (3, b), (3, b), (8, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(3, a), (3, b)])
