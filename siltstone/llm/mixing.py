@@ -69,10 +69,14 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int, gap: int = GAP) -> n
         k = min(int(count[i] - take[i]), (rest - gap // 2) // int(length[i]))
         take[i] += k
         rest -= k * int(length[i])
-    # Bounded knapsack: bit s of `reach` says that some items add up to s; `made` has the item that reached it first.
     rest = min(rest, total)
     if rest > 8 * gap:
+        # Each length left is above rest - gap / 2 here, so one document fits at most: the longest that does.
+        fits = np.flatnonzero((count > take) & (length <= rest))
+        if len(fits):
+            take[fits[np.argmax(length[fits])]] += 1
         return take
+    # Bounded knapsack: bit s of `reach` says that some items add up to s; `made` has the item that reached it first.
     mask, reach, items = (1 << (rest + 1)) - 1, 1, []
     made = np.full(rest + 1, -1, np.int32)
     for i in np.argsort(-length, kind="stable"):
