@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from siltstone.functions.text import source_name
-from siltstone.operators import browse, filters, incremental, lookup, search, sqlguard, taxonomy
+from siltstone.operators import browse, dedupe, filters, incremental, lookup, search, sqlguard, taxonomy, upkeep
 from siltstone.sources import files
 from siltstone.sources.snapshots import SnapshotTable
 
@@ -47,9 +47,10 @@ def embed(text: Column, size: int = 64) -> Column:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[str], Sequence[float]] = hash_embedding, embed_column: Callable[[Column], Column] = embed):
-        self.spark, self.embedder, self.embed_column = spark, embedder, embed_column
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[str], Sequence[float]] = hash_embedding, embed_column: Callable[[Column], Column] = embed, reranker: search.Rerank | None = search.overlap_rerank_score):
+        self.spark, self.embedder, self.embed_column, self.reranker = spark, embedder, embed_column, reranker
         self.chunks, self.registry, self.taxonomy, self.audit = (SnapshotTable(spark, f"{root}/{n}") for n in ("chunks", "registry", "taxonomy", "audit"))
+        self.changes = SnapshotTable(spark, f"{root}/changes")
 
     # ---- search
 
@@ -86,12 +87,7 @@ class Engine:
             note |= {"degraded": True, "reason": f"embedding: {e}"}
             vector = None
         try:
-            if vector is None:
-                hits = search.bm25(table, query, k, where=cond)
-                hits = table.join(F.broadcast(hits), "id").withColumn("pos", F.lit(0))
-                hits = search.reposition(hits)
-            else:
-                hits = search.hybrid_search(table, query, vector, k, where=cond, now=now, sort=sort)
+            hits = search.hybrid_search(table, query, vector, k, where=cond, now=now, sort=sort, rerank=self.reranker, filtered_type=named.get("source_type") is not None, notes=note)
             shown = browse.hits(hits.drop("vector", "id"))
             shown = browse.compact_hits(shown, width) if mode == "compact" else browse.slim_hits(shown.drop("text")) if mode == "slim" else shown
             rows = [{c: v for c, v in r.asDict().items() if v not in (None, "")} for r in shown.orderBy("pos").collect()]
@@ -142,8 +138,7 @@ class Engine:
     def file_recent(self, limit: int = 20, **named: str | None) -> list[dict]:
         some = filters.where(self.chunks.read(), filters.named_filters(**named))
         fields = [c for c in ("rel_path", "source_type", "source_name", "title") if c in some.columns]
-        out = browse.recent_documents(some, fields, limit).withColumn("mtime_iso", F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        return [r.asDict() for r in out.collect()]
+        return [r.asDict() for r in browse.listed_documents(browse.recent_documents(some, fields, limit)).collect()]
 
     def file_facets(self, fields: Sequence[str]) -> dict:
         """Values with counts by field, most frequent first."""
@@ -155,10 +150,15 @@ class Engine:
         return [r.asDict() for r in browse.folder_counts(docs, "rel_path").collect()]
 
     def file_status(self) -> dict:
-        """Counts by source, with the version that is read."""
+        """Counts by source, with the version that is read, and the health of the sources and of all."""
         table = self.chunks.read()
-        by = browse.counts_by(table.select("doc_id").distinct(), source_name(F.col("doc_id")), "source").orderBy("source").collect()
-        return {"chunks": table.count(), "documents": sum(r.n for r in by), "sources": {r.source: r.n for r in by}, "version": self.chunks.current()}
+        by = browse.counts_by(table.select("doc_id").distinct(), source_name(F.col("doc_id")), "source_name")
+        known = self.registry.read().groupBy("source_name").agg(F.count(F.lit(1)).alias("registered")) if self.registry.current() else by.withColumnRenamed("n", "registered")
+        rows = by.join(known, "source_name", "full_outer").select("source_name", F.coalesce("n", F.lit(0)).alias("indexed"), "registered", F.lit(0).alias("not_extractable"), F.lit(True).alias("configured"), F.lit(None).cast("string").alias("last_run"))
+        state = upkeep.source_health(rows)
+        counts = {r.source_name: r.indexed for r in rows.orderBy("source_name").collect()}
+        health = {r.source_name: {"state": r.state, "reason": r.reason} for r in state.collect()}
+        return {"chunks": table.count(), "documents": sum(counts.values()), "sources": counts, "version": self.chunks.current(), "health": health, "overall": upkeep.overall_health(state).first()["state"]}
 
     def file_audit_log(self, limit: int = 50, offset: int = 0, action: str | None = None) -> list[dict]:
         return [r.asDict() for r in browse.audit_page(self.audit.read(), action, None, limit, offset).collect()]
@@ -202,15 +202,35 @@ class Engine:
 
     # ---- indexing
 
-    def file_index_update(self, texts: DataFrame, size: int = 1800, overlap: int = 200) -> dict:
+    def _log(self, rows: DataFrame) -> None:
+        """Adds (doc_id, action) rows to the audit log, with numbers that no run before has used."""
+        last = 0 if self.audit.current() is None else self.audit.read().agg(F.max("id")).first()[0] or 0
+        # Numbers are the run's block and the row's number in it; blocks are 2^40 apart.
+        block = (last >> 40) + 1
+        log = rows.select((F.lit(block << 40) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 40) - 1))).alias("id"), F.current_timestamp().alias("ts"), "doc_id", "action")
+        self.audit.replace(log if self.audit.current() is None else self.audit.read().unionByName(log))
+
+    def file_index_update(self, texts: DataFrame, size: int = 1800, overlap: int = 200, dedupe_exact: bool = False, skipped: DataFrame | None = None, now: float = 0.0) -> dict:
         """Indexes records with texts (doc_id, text, rel_path, source_type, source_name, mtime, change_hash): new and changed ones are
-        chunked and embedded, ones that are gone are deleted unless that would take too much of a source."""
+        chunked and embedded, ones that are gone are deleted unless that would take too much of a source.
+
+        With dedupe_exact, of equal texts the first seen alone is indexed; records that a skip ledger holds and that are not due are left out.
+        The changes are written before they are used, so every step sees the same.
+        """
+        if skipped is not None:
+            texts = incremental.not_skipped(texts, skipped, now)
+        counts_dup = 0
+        if dedupe_exact:
+            elected = dedupe.elect(dedupe.with_identity(texts, "text"), ["mtime"])
+            texts = elected.where("dedupe_status = 'canonical'").select(*texts.columns)
+            counts_dup = elected.where("dedupe_status = 'duplicate'").count()
         if self.chunks.current() is None:
             changes = texts.select("doc_id", F.lit("add").alias("change"))
         else:
             stored = self.chunks.read().groupBy("doc_id").agg(F.max("change_hash").alias("change_hash"), F.max("mtime").alias("mtime"))
             changes = incremental.guarded_deletes(incremental.diff(texts, stored), stored)
-        changes = changes.persist()
+        self.changes.replace(changes)
+        changes = self.changes.read()
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         fresh = texts.join(changes.where("change in ('add', 'update')"), "doc_id", "left_semi")
         cut = files.chunks(fresh, size, overlap).join(fresh.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
@@ -218,10 +238,8 @@ class Engine:
             self.chunks.upsert(cut)
         if counts.get("delete"):
             self.chunks.delete(changes.where("change = 'delete'"))
-        log = changes.where("change <> 'same'").select(F.monotonically_increasing_id().alias("id"), F.current_timestamp().alias("ts"), "doc_id", F.col("change").alias("action"))
-        self.audit.replace(log if self.audit.current() is None else self.audit.read().unionByName(log))
-        changes.unpersist()
-        return counts
+        self._log(changes.where("change <> 'same'").select("doc_id", F.col("change").alias("action")))
+        return counts | ({"duplicate": counts_dup} if counts_dup else {})
 
     def file_index_document(self, texts: DataFrame, doc_id: str) -> dict:
         """One document through the same plan."""
@@ -229,4 +247,5 @@ class Engine:
         if one.limit(1).count() == 0:
             return error("not_found", doc_id, "scan its source first")
         cut = files.chunks(one).join(one.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
-        return {"version": self.chunks.upsert(cut), "chunks": cut.count()}
+        version = self.chunks.upsert(cut)
+        return {"version": version, "chunks": self.chunks.read(version).where(F.col("doc_id") == doc_id).count()}

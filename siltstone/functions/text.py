@@ -192,10 +192,20 @@ def change_key(digest: Column, mtime: Column) -> Column:
     return F.coalesce(F.nullif(digest, F.lit("")), F.concat(F.lit("mtime:"), mtime.cast("string")))
 
 
+#: File names that some systems reserve.
+RESERVED = ["CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"]
+
+
 def archive_name(key: Column, most: int = 180) -> Column:
-    """A file name for a key: URL-quoted, a digest in place of what is beyond the width."""
+    """A file name for a key: URL-quoted, a digest in place of what is beyond the width, reserved names with a prefix."""
     quoted = F.regexp_replace(F.url_encode(key), r"\+", "%20")
-    return F.when(F.length(quoted) <= most, quoted).otherwise(F.concat(F.substring(quoted, 1, most - 17), F.lit("-"), F.substring(F.sha2(key, 256), 1, 16)))
+    name = F.when(F.length(quoted) <= most, quoted).otherwise(F.concat(F.substring(quoted, 1, most - 17), F.lit("-"), F.substring(F.sha2(key, 256), 1, 16)))
+    return F.when(F.upper(F.regexp_replace(name, r"[ .]+$", "")).isin(RESERVED), F.concat(F.lit("seg__"), name)).otherwise(name)
+
+
+def sentences(text: Column) -> Column:
+    """A text cut after the ends of its sentences and paragraphs; joined they are the text again."""
+    return F.filter(F.split(text, r"(?<=[.!?][\s\u00A0])(?=\S)|(?<=\n\n)"), lambda x: x != "")
 
 
 def date_like(segment: Column) -> Column:

@@ -108,16 +108,61 @@ def hits(df: DataFrame, width: int = 200) -> DataFrame:
     return df.select(*keep, F.coalesce(own, F.substring("text", 1, width)).alias("snippet"))
 
 
+#: Keys of a stored row that no answer shows, and the fields of messages that a slim answer lifts, by their stored names.
+INTERNAL = [
+    "_node_content", "_node_type", "embedding", "relationships", "excluded_embed_metadata_keys", "excluded_llm_metadata_keys", "metadata", "metadata_separator", "metadata_template", "text_template", "mimetype",
+    "class_name", "start_char_idx", "end_char_idx", "enr_suggested_folder",
+]
+MESSAGE_FIELDS = {"sent_at": "sent_at", "channel": "channel_name", "sender": "sender", "direction": "direction", "source_id": "source_message_id"}
+
+
+def scored(df: DataFrame) -> DataFrame:
+    """Rows with their score: 1 minus a distance where there is one, else a keyword score, else the score they have."""
+    have = [c for c in ("_distance", "_score", "score") if c in df.columns]
+    parts = [1 - F.col(c) if c == "_distance" else F.col(c) for c in have]
+    return df.drop(*have).withColumn("score", F.coalesce(*parts, F.lit(0.0)).cast("double"))
+
+
+def full_hits(df: DataFrame, text: bool = False) -> DataFrame:
+    """Hits with tags and keywords as lists and the keys of a map `extra` that no field has beside it; the text only if it is asked for."""
+    lists = {c: F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, ",")).alias(c) for c in ("tags", "keywords") if c in df.columns}
+    own = [c for c in df.columns if c not in ("extra", "vector", *([] if text else ["text"]))]
+    cols = [lists.get(c, F.col(c)) for c in own]
+    if "extra" in df.columns:
+        names = F.array(*[F.lit(c) for c in own])
+        cols.append(F.map_filter("extra", lambda k, v: ~F.array_contains(names, k)).alias("extra"))
+    return df.select(*cols)
+
+
 def compact_hits(df: DataFrame, width: int, internal: Sequence[str] = ("vector", "change_hash", "content_hash")) -> DataFrame:
-    """Hits with their text cut to a width, without internal fields."""
-    kept = df.drop(*internal)
+    """Hits with their text cut to a width, without internal fields and keys."""
+    kept = df.drop(*internal, *INTERNAL)
+    if "extra" in kept.columns:
+        kept = kept.withColumn("extra", F.map_filter("extra", lambda k, v: ~k.isin(INTERNAL)))
     return kept.withColumn("content_truncated", F.length("text") > width).withColumn("content", F.substring("text", 1, width)).drop("text")
 
 
 def slim_hits(df: DataFrame) -> DataFrame:
-    """Scores to four places; a path that only echoes the id is blanked."""
+    """Scores to four places; fields of messages beside the others; a path or title that only echoes the id is blanked."""
     out = df.withColumn("score", F.round("score", 4))
-    return out.withColumn("rel_path", F.when(F.endswith("doc_id", "rel_path"), F.lit("")).otherwise(F.col("rel_path"))) if "rel_path" in df.columns else out
+    if "extra" in df.columns:
+        out = out.withColumns({k: F.nullif(F.try_element_at("extra", F.lit(c)), F.lit("")) for k, c in MESSAGE_FIELDS.items()}).drop("extra")
+    else:
+        out = out.withColumnsRenamed({c: k for k, c in MESSAGE_FIELDS.items() if c in df.columns and k not in df.columns})
+    if "rel_path" in out.columns:
+        out = out.withColumn("rel_path", F.when(F.endswith("doc_id", "rel_path"), F.lit("")).otherwise(F.col("rel_path")))
+    if "title" in out.columns:
+        echo = F.endswith("doc_id", "title")
+        echo = echo | F.coalesce(F.col("source_id") == F.col("title"), F.lit(False)) if "source_id" in out.columns else echo
+        out = out.withColumn("title", F.when(echo, F.lit("")).otherwise(F.col("title")))
+    return out
+
+
+def listed_documents(df: DataFrame) -> DataFrame:
+    """Documents of a list with their time as ISO text and their tags as a list."""
+    iso = F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    out = df.withColumn("mtime_iso", F.when(F.coalesce("mtime", F.lit(0.0)) > 0, iso))
+    return out.withColumn("tags", split_list(F.col("tags"))) if "tags" in df.columns else out
 
 
 def public_metadata(meta: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from siltstone.functions.providers import NORMALIZERS
+
 
 def context_windows(messages: DataFrame, scope: Sequence[str], order: Sequence[str], before: int = 5, after: int = 5, minutes: float = 15, gap: float = 3.0, extra: float = 60.0, key: str = "message_id", time: str = "sent_at", text: str = "text") -> DataFrame:
     """(scope, key, ids): the messages around each one, within the time window, without those much farther than the nearest.
@@ -54,6 +56,9 @@ def expand_mentions(messages: DataFrame, participants: DataFrame, text: str = "t
     return joined.withColumn(text, F.when(F.col("_n").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, name), ""))).drop("_n")
 
 
+NORMALIZERS.add("zoho_cliq_mentions", expand_mentions)
+
+
 def sessions(events: DataFrame, user: str, time: str, gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user that a gap ends (not a retrieval operator; it comes with the streaming helpers)."""
     return events.groupBy(user, F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,16 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
-#: Weights of the fields in a case's score, and of the parts of an audit score.
+#: Weights of the fields in a case's score, of the parts of an audit score, and of the parts of a summary's rubric.
 FIELD_WEIGHTS = {
     "doc_type": 0.18, "topics": 0.18, "keywords": 0.14, "key_facts": 0.16, "suggested_tags": 0.10, "suggested_folder": 0.10,
     "importance": 0.06, "entities_people": 0.03, "entities_places": 0.02, "entities_orgs": 0.01, "entities_dates": 0.01, "summary": 0.01,
 }
 AUDIT_WEIGHTS = {"extraction_core": 0.7, "filing_taxonomy": 0.2, "summary_quality": 0.1}
+AUDIT_FIELDS = ("doc_type", "topics", "keywords", "key_facts", "importance", "entities_people", "entities_places", "entities_orgs", "entities_dates")
+RUBRIC_WEIGHTS = {"coverage": 0.5, "brevity": 0.25, "hallucination": 0.25}
 #: Thresholds of the hard flags (characters of a prompt, milliseconds of an answer), words of critical cases, date formats.
 LONG, HUGE, SLOW, VERY_SLOW = 25_000, 250_000, 10_000, 25_000
-CRITICAL = "payment billing rent collection cleared failed invoice charge tenant lease eviction maintenance damage urgent scam".split()
+CRITICAL = r"(?i)\b(payment|billing|rent|collection|cleared|failed|invoice|charge|tenant|lease|eviction|maintenance|damage|urgent|scam)\b"
 DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
+#: Words that say nothing, and words that count as each other (those that the stemmer leaves as they are).
+STOP = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "with"]
+EQUIVALENTS = {
+    "billing": ["bill", "bills", "payment", "payments", "finance", "invoice", "invoices"],
+    "bill": ["billing", "bills", "payment", "payments", "finance", "invoice"],
+    "communication": ["communications", "correspondence", "inquiry", "inquiries", "message", "messages"],
+    "delivery": ["deliveries", "pickup", "order", "orders"],
+    "estate": ["property", "housing", "rental"],
+    "finance": ["billing", "bill", "bills", "payment", "payments", "invoice", "invoices", "receipt", "receipts"],
+    "housing": ["property", "real", "estate", "rental", "rentals", "tenant"],
+    "inquiry": ["inquiries", "communication", "communications", "message", "messages", "lead", "leads"],
+    "invoice": ["invoices", "billing", "bill", "payment", "payments", "receipt"],
+    "lead": ["leads", "inquiry", "inquiries", "prospect", "tenant"],
+    "message": ["messages", "communication", "communications", "inquiry", "inquiries"],
+    "notification": ["notice", "email"],
+    "order": ["orders", "delivery", "deliveries", "pickup"],
+    "payment": ["payments", "billing", "bill", "bills", "finance", "invoice", "receipt"],
+    "pickup": ["pick", "up", "order", "orders", "delivery"],
+    "property": ["real", "estate", "housing", "rental", "rentals"],
+    "real": ["estate", "property", "housing", "rental"],
+    "receipt": ["receipts", "billing", "bill", "bills", "finance", "invoice", "payment"],
+    "rent": ["rental", "rentals", "renter", "tenant", "lease", "leasing"],
+    "rental": ["rent", "rentals", "renter", "tenant", "lease", "leasing", "housing", "property"],
+    "renter": ["rent", "rental", "rentals", "tenant", "prospect", "inquiry"],
+    "tenant": ["renter", "rental", "rent", "lease", "leasing", "housing"],
+}
 
 
 def scalar(value: Column) -> Column:
@@ -33,9 +62,14 @@ def stem(token: Column) -> Column:
     return F.when((n > 4) & token.endswith("ies"), F.concat(F.left(token, n - 3), F.lit("y"))).when((n > 4) & token.endswith("s") & ~token.endswith("ss"), F.left(token, n - 1)).otherwise(token)
 
 
-def token_set(value: Column, stop: Sequence[str] = ()) -> Column:
+def token_set(value: Column, expand: bool = False) -> Column:
+    """Distinct stemmed words of a text that say something; expanded ones bring those that count as them."""
     words = F.transform(F.regexp_extract_all(scalar(value), F.lit("[a-z0-9]+"), F.lit(0)), stem)
-    return F.array_except(words, F.array(*[F.lit(w) for w in stop])) if stop else F.array_distinct(words)
+    own = F.array_except(words, F.array(*[F.lit(w) for w in STOP]))
+    if not expand:
+        return own
+    same = F.create_map(*[x for k, v in EQUIVALENTS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    return F.array_union(own, F.flatten(F.transform(own, lambda t: F.coalesce(F.try_element_at(same, t), F.array().cast("array<string>")))))
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -67,50 +101,121 @@ def iso_date(value: Column) -> Column:
 
 
 def importance_score(a: Column, b: Column) -> Column:
-    num = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nullif(scalar(c), F.lit("")).try_cast("double")))
+    """1 less the distance of two importances; what is no finite number counts as missing."""
+
+    def num(c):
+        x = F.nullif(scalar(c), F.lit("")).try_cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
     return F.when(num(a).isNull() & num(b).isNull(), 1.0).when(num(a).isNull() | num(b).isNull(), 0.0).otherwise(F.round(1.0 - F.abs(num(a) - num(b)), 6))
 
 
-def summary_score(a: Column, b: Column) -> Column:
-    """The better of F1 and recall of the gold words."""
+def summary_score(predicted: Column, canonical: Column) -> Column:
+    """The better of F1 and recall of the gold words, both texts expanded."""
+    a, b = token_set(predicted, True), token_set(canonical, True)
     return _edge(a, b, F.round(F.greatest(token_f1(a, b), _shared(a, b) / F.size(b)), 6))
 
 
-def folder_score(a: Column, b: Column) -> Column:
-    """1 for the same path; 0.5 for a part of it; for a deeper one a tenth less a level, 0.8 at least; else shared words, the last segment counting a third."""
-    parts = lambda c: F.filter(F.split(F.trim(F.lower(c)), "/"), lambda x: x != "")
-    p, q = parts(a), parts(b)
-    n, m = F.size(p), F.size(q)
-    whole, leaf = token_f1(token_set(a), token_set(b)), token_f1(token_set(F.try_element_at(p, F.lit(-1))), token_set(F.try_element_at(q, F.lit(-1))))
-    return (
-        F.when((n == 0) | (m == 0), (n == m).cast("double")).when(p == q, 1.0).when(p == F.slice(q, 1, F.greatest(n, F.lit(1))), 0.5)
-        .when(q == F.slice(p, 1, F.greatest(m, F.lit(1))), F.greatest(F.lit(0.8), 1.0 - 0.1 * (n - m))).otherwise(F.round(0.65 * whole + 0.35 * leaf, 6))
-    )
+def folder_score(predicted: Column, canonical: Column, alternates: Column | None = None) -> Column:
+    """1 for an accepted path; 0.5 for the beginning of one; for a deeper one a tenth less a level, 0.8 at least; else shared words, the last segment counting a third."""
+    norm = lambda c: F.regexp_replace(scalar(c), "^/+|/+$", "")
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    p, m = norm(predicted), F.size(parts(norm(predicted)))
+    every = F.array(canonical) if alternates is None else F.concat(F.array(canonical), alternates)
+    accepted = F.filter(F.transform(every, norm), lambda x: x != "")
 
+    def along(x):
+        q = parts(x)
+        n = F.size(q)
+        return F.when((m <= n) & (parts(p) == F.slice(q, 1, m)), 0.5).when((n < m) & (q == F.slice(parts(p), 1, n)), F.round(F.greatest(F.lit(0.8), 1.0 - 0.1 * (m - n)), 6))
 
-@F.pandas_udf(DoubleType())
-def phrase_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Greedy matching of lists of phrases by the Dice similarity of their words, over the longer list; order matters, so it is no expression."""
+    def by_words(x):
+        leaf = lambda c: token_set(F.coalesce(F.try_element_at(parts(c), F.lit(-1)), F.lit("")), True)
+        return 0.65 * token_f1(token_set(p, True), token_set(x, True)) + 0.35 * token_f1(leaf(p), leaf(x))
+
+    near = F.get(F.filter(F.transform(accepted, along), lambda x: x.isNotNull()), 0)
+    words = F.round(F.coalesce(F.array_max(F.transform(accepted, by_words)), F.lit(0.0)), 6)
+    return F.when(p == "", (scalar(canonical) == "").cast("double")).when(F.array_contains(accepted, p), 1.0).otherwise(F.coalesce(near, words))
+
+
+def audit_tags_score(predicted: Column, canonical: Column, alternates: Column) -> Column:
+    """Mean of the precision against all accepted tags and of the recall of the canonical ones; arrays of normalised tags."""
+    precision = _shared(predicted, F.array_union(canonical, alternates)) / F.size(predicted)
+    recall = F.when(F.size(canonical) > 0, _shared(predicted, canonical) / F.size(canonical)).otherwise(1.0)
+    return F.when((F.size(predicted) == 0) & (F.size(canonical) == 0), 1.0).when(F.size(predicted) == 0, 0.0).otherwise(F.round((precision + recall) / 2, 6))
+
+
+def _points(points: Column) -> Column:
+    return F.filter(points, lambda x: F.trim(x) != "")
+
+
+def coverage_score(summary: Column, points: Column) -> Column:
+    """The mean share of each point's words that a summary has."""
+    own = token_set(summary)
+    shares = F.transform(_points(points), lambda x: F.when(F.size(token_set(x)) == 0, 1.0).otherwise(_shared(own, token_set(x)) / F.size(token_set(x))))
+    return F.when(F.size(shares) == 0, 1.0).otherwise(F.round(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares), 6))
+
+
+def brevity_score(summary: Column, sentences: Column, words: Column) -> Column:
+    """The mean of both limits' scores, each less by the share that is over; limits of 0 are none."""
+    within = lambda have, most: F.when((most <= 0) | (have <= most), 1.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - (have - most) / most), 6))
+    n = F.when(F.trim(summary) == "", 0).otherwise(F.greatest(F.lit(1), F.size(F.filter(F.split(summary, "[.!?]+"), lambda x: F.trim(x) != ""))))
+    return F.when((sentences <= 0) & (words <= 0), 1.0).otherwise(F.round((within(n, sentences) + within(F.size(token_set(summary)), words)) / 2, 6))
 
-    def words(phrases):
-        import re
 
-        return [set(re.findall("[a-z0-9]+", str(p).lower())) for p in phrases]
+def hallucination_score(summary: Column, forbidden: Column) -> Column:
+    """1 less the largest similarity to a forbidden point."""
+    own = token_set(summary)
+    worst_ = F.array_max(F.transform(_points(forbidden), lambda x: dice(own, token_set(x))))
+    return F.when(F.size(_points(forbidden)) == 0, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - worst_), 6))
 
-    def one(a, b):
-        a, left = words(a if a is not None else []), words(b if b is not None else [])
-        if not a and not left:
-            return 1.0
-        n, total = max(len(a), len(left)), 0.0
-        for x in a:
-            sims = [2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0 for y in left]
-            if sims and max(sims) > 0:
-                total += max(sims)
-                left.pop(sims.index(max(sims)))
-        return round(total / n, 6)
 
+def rubric_score(summary: Column, points: Column, sentences: Column, words: Column, forbidden: Column) -> Column:
+    w = RUBRIC_WEIGHTS
+    return F.round(coverage_score(summary, points) * w["coverage"] + brevity_score(summary, sentences, words) * w["brevity"] + hallucination_score(summary, forbidden) * w["hallucination"], 6)
+
+
+def extraction_core(scores: dict[str, Column]) -> Column:
+    """The weighted mean of the fields that an audit counts."""
+    total = sum(FIELD_WEIGHTS[f] for f in AUDIT_FIELDS)
+    return F.round(sum((F.coalesce(scores[f], F.lit(0.0)) * FIELD_WEIGHTS[f] for f in AUDIT_FIELDS), F.lit(0.0)) / total, 6)
+
+
+def _plain_tokens(value: str, expand: bool = False) -> set[str]:
+    own = set()
+    for t in re.findall("[a-z0-9]+", re.sub("[_-]", " ", value.lower())):
+        plural = len(t) > 4 and t.endswith("s")
+        t = f"{t[:-3]}y" if plural and t.endswith("ies") else t[:-1] if plural and not t.endswith("ss") else t
+        own.add(t)
+    own -= set(STOP)
+    return own.union(*(EQUIVALENTS.get(t, ()) for t in own)) if expand else own
+
+
+def _plain_dice(a: set, b: set) -> float:
+    return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+
+
+def phrases_similarity(predicted: list[str], expected: list[str]) -> float:
+    """The best of a greedy matching of phrases (each expected one used once, over the longer list) and of F1 of all words, plain and expanded."""
+    a, b = (sorted({" ".join(re.sub("[_-]", " ", x.lower()).split()) for x in c if x} - {""}) for c in (predicted, expected))
+    if not a or not b:
+        return float(not a and not b)
+    left, total = [_plain_tokens(x) for x in b], 0.0
+    for x in map(_plain_tokens, a):
+        sims = [_plain_dice(x, y) for y in left]
+        if sims and max(sims) > 0:
+            total += max(sims)
+            left.pop(sims.index(max(sims)))
+    every = lambda c, e: set().union(*(_plain_tokens(x, e) for x in c))
+    return round(max(total / max(len(a), len(b)), *(_plain_dice(every(a, e), every(b, e)) for e in (False, True))), 6)
+
+
+@F.pandas_udf(DoubleType())
+def phrase_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """phrases_similarity of two arrays; the matching is sequential, so it is no expression."""
+    none = lambda x: [] if x is None else list(x)
     for a, b in batches:
-        yield pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+        yield pd.Series([phrases_similarity(none(x), none(y)) for x, y in zip(a, b, strict=True)])
 
 
 def case_score(scores: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -128,12 +233,11 @@ def audit_score(parts: dict[str, Column]) -> Column:
 
 def hard_flags(length: Column, prompt: Column, title: Column, success: Column, latency: Column, parseable: Column) -> Column:
     """Names of what makes a case hard."""
-    critical = rf"(?i)\b({'|'.join(CRITICAL)})\b"
     rules = {
         "long_prompt": length >= LONG, "huge_prompt": length >= HUGE,
         "nearby_context": prompt.contains("NEARBY SAME-CHANNEL CONTEXT CANDIDATES") | prompt.contains("BEFORE MESSAGES"),
         "taxonomy_bloat": prompt.contains("## Available Tags") | prompt.contains("## Available Folders"),
-        "link_noise": prompt.rlike(r"https?://"), "business_critical": prompt.rlike(critical) | title.rlike(critical),
+        "link_noise": prompt.rlike(r"https?://"), "business_critical": prompt.rlike(CRITICAL) | title.rlike(CRITICAL),
         "slow_success": success & (latency >= SLOW), "very_slow_success": success & (latency >= VERY_SLOW), "parse_suspect": success & ~parseable,
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))

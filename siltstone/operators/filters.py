@@ -124,7 +124,41 @@ def checked_source_type(value: str) -> str:
 
 
 def is_sidecar(text: Column) -> Column:
-    """JSON objects of at most 2 MB with a `media` object and one of the other sidecar keys."""
-    v = F.when(F.octet_length(text) <= 2 * 1024 * 1024, F.try_parse_json(text))
-    has = lambda k: F.try_variant_get(v, f"$.{k}", "string").isNotNull()
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.media", "variant")).startswith("OBJECT") & (has("message") | has("channel") | has("schema_version") | has("source")), F.lit(False))
+    """JSON objects of at most 2,000,000 bytes with a `media` object and one of the other sidecar keys, whatever its value."""
+    v = F.when(F.octet_length(text) <= 2_000_000, F.try_parse_json(text))
+    top = F.try_variant_get(v, "$", "map<string,variant>")
+    other = F.arrays_overlap(F.map_keys(top), F.array(*[F.lit(k) for k in ("schema_version", "message", "counterparty", "channel")]))
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.media", "variant")).startswith("OBJECT") & other, F.lit(False))
+
+
+def recent_filter(source_type: str | None = None, folder: str | None = None) -> Column | None:
+    """The filter of recent documents, which minds case where the search's filters do not."""
+    parts = [F.col(c) == v for c, v in (("source_type", source_type), ("folder", folder)) if v]
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+def is_nonmedia_stub(content: Column) -> Column:
+    """Whether what should be a recording or a film is a small JSON object in its place."""
+    v = F.when(F.octet_length(content) <= 4096, F.try_parse_json(F.decode(content, "UTF-8")))
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+#: Kinds of issues and words of errors that pass by themselves, and fields that hold a provider's content.
+TRANSIENT_KINDS = ["offline", "timeout", "unavailable", "network", "rate_limited", "overloaded"]
+CONTENT_FIELDS = ["content", "document", "documents", "items", "records", "result", "text"]
+TRANSIENT_WORDS = "timed out|timeout|offline|connection refused|unavailable"
+
+
+def provider_error(content: Column, ext: Column) -> Column:
+    """(reason, transient) of a JSON file that a failed provider has left in place of a document, else null."""
+    v = F.when(F.lower(ext) == "json", F.try_parse_json(content))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    is_text = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
+    error = F.coalesce(text("$.error"), F.lit(""))
+    failed = is_text("$.server") & is_text("$.tool") & ~error.isin("", "false", "0", "{}", "[]", "null")
+    tool = F.lower(text("$.tool"))
+    reason = F.when(tool.contains("vision") | tool.startswith("vl_"), "vision_sidecar_failed").when(tool.contains("ocr"), "ocr_sidecar_failed").otherwise("provider_sidecar_failed")
+    said = F.lower(F.concat_ws(" ", error, text("$.issue.rawMessage")))
+    transient = F.lower(F.trim(F.coalesce(text("$.issue.kind"), F.lit("")))).isin(TRANSIENT_KINDS) | said.rlike(TRANSIENT_WORDS)
+    held = F.exists(F.array(*[text(f"$.{k}") for k in CONTENT_FIELDS]), lambda x: ~F.trim(F.coalesce(x, F.lit(""))).isin("", "[]", "{}"))
+    return F.when(failed & ~held, F.struct(reason.alias("reason"), transient.alias("transient")))

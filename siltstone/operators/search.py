@@ -6,7 +6,7 @@ re-ranking is stable with respect to the one before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -151,29 +151,29 @@ def media_boost(score: Column, source_type: Column, query: str, weight: float =
     return F.when(source_type.isin(wanted), score * (1.0 + weight)).otherwise(score) if wanted and weight > 0 else score
 
 
-def media_quota(pool: DataFrame, query: str, k: int, slots: int = 2, key: str = "id") -> DataFrame:
-    """The first k rows of a pool (score, pos, source_type), with at least `slots` of a wanted medium if the pool has them.
+def media_quota(hits: DataFrame, pool: DataFrame, query: str, slots: int = 2, key: str = "id") -> DataFrame:
+    """Hits (score, pos, source_type) with at least `slots` of a wanted medium, if the pool (the same columns) has them.
 
-    The best of the medium outside the top replace the last rows of other types; their scores go below the weakest row kept.
+    The best of the medium in the pool replace the last hits of other types and come last; their scores go below the weakest hit kept.
+    Hits and pool are bounded lists.
     """
     wanted = media_types(query)
     if not wanted or slots <= 0:
-        return pool.where(F.col("pos") <= k)
+        return hits
     match = F.coalesce(F.col("source_type").isin(wanted), F.lit(False))
-    all_rows = W.partitionBy(F.lit(0))
-    top = F.col("pos") <= k
-    x = pool.withColumn("match", match).withColumn("present", F.sum((top & match).cast("int")).over(all_rows))
-    spare = F.when(~top & F.col("match"), F.row_number().over(W.partitionBy(~top & F.col("match")).orderBy("pos")))
-    x = x.withColumn("spare", spare).withColumn("need", F.greatest(F.lit(0), F.lit(slots) - F.col("present")))
-    x = x.withColumn("extra", F.coalesce(F.col("spare") <= F.col("need"), F.lit(False)))
-    x = x.withColumn("room", F.sum(F.col("extra").cast("int")).over(all_rows))
-    weak = F.when(top & ~F.col("match"), F.row_number().over(W.partitionBy(top & ~F.col("match")).orderBy(F.desc("pos"))))
-    x = x.withColumn("kept", top & ~F.coalesce(weak <= F.col("room"), F.lit(False))).where(F.col("kept") | F.col("extra"))
-    floor, best = F.min(F.when(F.col("kept"), F.col("score"))).over(all_rows), F.max(F.when(F.col("extra"), F.col("score"))).over(all_rows)
-    score = F.when(F.col("extra") & (best > 0) & floor.isNotNull(), floor * 0.99 * F.col("score") / best).otherwise(F.col("score"))
-    x = x.withColumn("new", score)
-    order = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("extra"), "pos"))
-    return x.select(*[c for c in pool.columns if c not in ("score", "pos")], F.col("new").alias("score"), order.alias("pos"))
+    one = W.partitionBy(F.lit(0))
+    have = hits.agg(F.coalesce(F.sum(match.cast("int")), F.lit(0)).alias("have"))
+    spare = pool.where(match).join(hits.select(key), key, "left_anti").crossJoin(F.broadcast(have))  # one row
+    extra = spare.withColumn("r", F.row_number().over(one.orderBy("pos", key))).where(F.col("r") <= F.lit(slots) - F.col("have"))
+    room = extra.agg(F.count(F.lit(1)).alias("room"), F.max("score").alias("best"))
+    weak = F.row_number().over(W.partitionBy(match).orderBy(F.desc("pos"), key))
+    kept = hits.withColumn("weak", weak).crossJoin(F.broadcast(room)).where(match | (F.col("weak") > F.col("room"))).drop("weak", "room", "best")
+    floor = kept.agg(F.min("score").alias("floor"))
+    put = extra.crossJoin(F.broadcast(room)).crossJoin(F.broadcast(floor))
+    score = F.when((F.col("best") > 0) & F.col("floor").isNotNull(), F.col("floor") * 0.99 * F.col("score") / F.col("best")).otherwise(F.col("score"))
+    late = put.withColumn("score", score).withColumn("pos", F.lit(1 << 20) + F.col("r")).drop("r", "have", "room", "best", "floor")
+    both = kept.unionByName(late, allowMissingColumns=True)
+    return both.withColumn("pos", F.row_number().over(one.orderBy("pos", key)))
 
 
 def unit_range(c: str, *partition: str) -> Column:
@@ -246,28 +246,76 @@ def diversify(df: DataFrame, k: int, threshold: float = 0.95, protected: int = 3
     return joined.withColumn("pos", F.coalesce("new", "pos")).drop("new")
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], k: int = 10, where: Column | None = None, now: float | None = None, pool: int = 50, least: float = 0.0, sort: str = "relevance", key: str = "id") -> DataFrame:
+def media_recall(chunks: DataFrame, fused: DataFrame, query: str, vector: Sequence[float] | None, where: Column | None = None, slots: int = 2, key: str = "id") -> DataFrame | None:
+    """Rows (columns of fused) of the media that a query asks for and no fused row has, by searches of their own; the best raw score of a row counts."""
+    have = {r.source_type for r in fused.select("source_type").distinct().collect()}  # of a bounded list
+    found = None
+    for kind in [t for t in media_types(query) if t not in have]:
+        own = F.col("source_type") == kind
+        cond = own if where is None else where & own
+        k = max(3 * slots, 5)
+        lists = [bm25(chunks, query, k, key=key, where=cond)]
+        if vector is not None:
+            lists.insert(0, nearest(chunks.where(cond), vector, k, key=key))
+        for one in lists:
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return None
+    best = found.groupBy(key).agg(F.max("score").alias("score"))
+    rows = chunks.join(F.broadcast(best), key)
+    return rows.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), key)))
+
+
+Rerank = Callable[[str, Column], Column]
+
+
+def hybrid_search(
+    chunks: DataFrame, query: str, vector: Sequence[float] | None, k: int = 10, where: Column | None = None, now: float | None = None, pool: int = 50, least: float = 0.0, sort: str = "relevance", key: str = "id",
+    rerank: Rerank | None = overlap_rerank_score, slots: int = 2, filtered_type: bool = False, notes: dict | None = None, hits: Sequence[DataFrame] | None = None,
+) -> DataFrame:
     """Fused and re-scored results over chunks (key, text, vector and, as they are there, importance, mtime, source_type).
 
-    Vector and keyword lists of `pool` rows are fused; then length, importance, recency, media, rerank, diversity,
-    threshold, quota. sort="recent" skips the reranker and orders a pool of at least 50 by time.
+    Vector and keyword lists of `pool` rows are fused (without a vector, the keyword list alone); then length, importance, recency, recall of wanted
+    media, their boost, the reranker, the boost again, diversity, threshold, the first k, and the quota of media, which is filled from
+    all that was fused or recalled. rerank makes a column of scores from the query and the text; None leaves the order, and where it
+    fails the cosine stands in. sort="recent" skips the reranker and orders a pool of at least 50 by time. notes gets what
+    a caller may want to know.
     """
+    notes = {} if notes is None else notes
     scoped = chunks if where is None else chunks.where(where)
-    fused = fuse([nearest(scoped, vector, pool, key=key), bm25(chunks, query, pool, key=key, where=where)], key=key)
-    x = chunks.join(F.broadcast(fused), key)  # at most twice the pool
+    if hits is None:
+        hits = ([nearest(scoped, vector, pool, key=key)] if vector is not None else []) + [bm25(chunks, query, pool, key=key, where=where)]
+    x = chunks.join(F.broadcast(fuse(hits, key=key)), key)  # at most twice the pool
     x = reposition(x.withColumn("score", length_norm(F.col("score"), F.length("text"))))
     if "importance" in chunks.columns:
         x = reposition(x.withColumn("score", importance_weight(F.col("score"), F.col("importance"))))
     if now is not None and "mtime" in chunks.columns:
         x = reposition(x.withColumn("score", recency(F.col("score"), F.col("mtime"), now)))
-    if "source_type" in chunks.columns:
-        x = reposition(x.withColumn("score", media_boost(F.col("score"), F.col("source_type"), query)))
+    typed, wanted = "source_type" in chunks.columns, media_types(query)
+    extra = None
+    if typed and wanted and slots > 0 and not filtered_type:
+        extra = media_recall(chunks, x, query, vector, where, slots, key)
+    boosted = lambda df: reposition(df.withColumn("score", media_boost(F.col("score"), F.col("source_type"), query))) if typed and wanted else df
+    x = boosted(x)
+    full = x
     if sort == "recent":
         x = x.where(F.col("pos") <= max(50, k)).withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("mtime"), "pos")))
         return x.where(F.col("pos") <= k)
-    x = rerank_blend(x, overlap_rerank_score(query, F.col("text")), 6 * k)
-    x = diversify(x, k, key=key)
+    if rerank is not None:
+        try:
+            x = rerank_blend(x, rerank(query, F.col("text")), 6 * k)
+            notes["reranker_applied"] = True
+        except Exception as e:  # a reranker that is not there
+            notes |= {"reranker_applied": False, "degraded": True, "reason": f"reranker: {e}"}
+            if vector is not None:
+                x = x.where(F.col("pos") <= 6 * k)
+                x = reposition(x.withColumn("score", cosine_fallback(F.col("score"), F.col("vector"), vector)))
+    x = diversify(boosted(x), k, key=key)
     x = x.where(F.col("score") >= least) if least > 0 else x
-    if "source_type" in chunks.columns:
-        return media_quota(x, query, k, key=key)
-    return x.where(F.col("pos") <= k)
+    x = x.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("pos"))).where(F.col("pos") <= k)
+    if typed and wanted and slots > 0:
+        if extra is not None:
+            behind = extra.join(full.select(key), key, "left_anti").withColumn("pos", F.col("pos") + (1 << 19))
+            full = full.unionByName(behind, allowMissingColumns=True)
+        x = media_quota(x, full, query, slots, key)
+    return x

@@ -6,35 +6,22 @@ stand in for modification times, `conversations` for messages, `documents` for r
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import browse, context, dedupe, evaluate, filters, incremental, lookup, search, sqlguard, taxonomy
+from siltstone.plans import search_sql
+from siltstone.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
 from siltstone.session import table
 from siltstone.sources import files
 from siltstone.sources.snapshots import SnapshotTable
 from siltstone.streaming import index as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 NOW = 1706659200.0  # 2024-01-31T00:00:00Z, the day after the last event
 WORDS = "thing der queue licensed apache"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- browsing -----------------------------------------------------------------------------------------------------
 
 
@@ -317,31 +304,51 @@ def cosine_fallback(spark, d):
     return _vectors(spark, d).select("id", F.round(search.cosine_fallback(F.lit(0.5), F.col("vector"), _query_vector(spark, d)), 6).alias("score"))
 
 
-def _chunks(spark, d) -> DataFrame:
+def _chunks(spark, d, rare: bool = False) -> DataFrame:
     """Documents that have a vector, with quality as importance and a time from the day of their number."""
     docs = _docs(spark, d).select("id", "text", "source", "lang")
     quality = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("importance"))
-    kind = F.element_at(F.array(F.lit("md"), F.lit("video"), F.lit("pdf"), F.lit("img")), (F.col("id") % 4 + 1).cast("int"))
+    kind = F.when(F.col("id") % 53 == 43, "audio").otherwise("md") if rare else F.element_at(F.array(F.lit("md"), F.lit("video"), F.lit("pdf"), F.lit("img")), (F.col("id") % 4 + 1).cast("int"))
     return docs.join(_vectors(spark, d).select("id", "vector"), "id").join(quality, "id", "left").withColumns({"mtime": NOW - (F.col("id") % 200) * 86400.0, "source_type": kind})
 
 
-@query()
+@query(f"WITH RECURSIVE {search_sql.hybrid(WORDS, NOW, 10)} SELECT id, pos::INT AS pos, round(s, 6) AS score, source_type, deferred_by, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS snippet FROM final")
 def hybrid_search(spark, d):
     out = search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, now=NOW)
     return out.select("id", "pos", F.round("score", 6).alias("score"), "source_type", "deferred_by", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query()
+@query(f"WITH RECURSIVE {search_sql.hybrid(WORDS + ' video walkthrough', NOW, 10, 'video')} SELECT id, pos::INT AS pos, round(s, 6) AS score, source_type FROM final")
 def hybrid_search_media(spark, d):
     return search.hybrid_search(_chunks(spark, d), WORDS + " video walkthrough", _query_vector(spark, d), 10, now=NOW).select("id", "pos", F.round("score", 6).alias("score"), "source_type")
 
 
-@query()
+@query(f"WITH RECURSIVE {search_sql.hybrid(WORDS + ' voicemail', NOW, 10, 'audio', search_sql.RARE)} SELECT id, pos::INT AS pos, round(s, 6) AS score, source_type FROM final")
+def hybrid_search_recall(spark, d):
+    """A medium that is so rare that it takes a search of its own and the quota."""
+    return search.hybrid_search(_chunks(spark, d, True), WORDS + " voicemail", _query_vector(spark, d), 10, now=NOW).select("id", "pos", F.round("score", 6).alias("score"), "source_type")
+
+
+_RECALLED = search_sql.hybrid(WORDS + " voicemail", NOW, 10, "audio", search_sql.RARE)
+
+
+@query(f"WITH RECURSIVE {_RECALLED} SELECT id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, id)::INT AS pos FROM rc")
+def media_recall(spark, d):
+    x = _chunks(spark, d, True)
+    words, v = WORDS + " voicemail", _query_vector(spark, d)
+    both = search.fuse([search.nearest(x, v, 50), search.bm25(x, words, 50)])
+    found = search.media_recall(x, x.join(F.broadcast(both), "id"), words, v)
+    none = both.select("id", "score", "pos").limit(0)
+    return none if found is None else found.select("id", F.round("score", 6).alias("score"), "pos")
+
+
+@query(f"WITH {search_sql.fused(WORDS, NOW, where=chr(39).join(['lang = ', 'en', '']))}, p AS (SELECT * FROM f2 WHERE pos <= 50) SELECT id, row_number() OVER (ORDER BY mtime DESC, pos)::INT AS pos, mtime FROM p QUALIFY row_number() OVER (ORDER BY mtime DESC, pos) <= 10")
 def sort_recent(spark, d):
     return search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, sort="recent", where=F.col("lang") == "en").select("id", "pos", "mtime")
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id) AS pos FROM embeddings, {_Q} QUALIFY pos <= 40), {search_sql.diverse('m', 'o', 40, 0.3)}
+SELECT id, pos::INT AS pos, deferred_by, round(list_cosine_similarity(v, (SELECT v FROM m WHERE m.pos = o.by_pos)), 6) AS similarity FROM o""")
 def mmr_diversity(spark, d):
     v = search.nearest(_vectors(spark, d), _query_vector(spark, d), 40)
     x = v.join(_vectors(spark, d), "id")
@@ -349,11 +356,12 @@ def mmr_diversity(spark, d):
     return search.diversify(ranked, 20, threshold=0.3).select("id", "pos", "deferred_by", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH p AS (SELECT event_id, event_type AS source_type, value AS score, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM (SELECT * FROM events WHERE user_id = 1 ORDER BY value DESC, event_id LIMIT 40)) SELECT count(*) AS n FROM p WHERE pos <= 10""")
+@query(f"""WITH p AS (SELECT event_id AS id, CASE WHEN event_type = 'signup' AND event_id % 50 = 7 THEN 'video' ELSE 'md' END AS source_type, value AS s, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM events),
+h AS (SELECT * FROM p WHERE pos <= 10), {search_sql.quota('h', 'p', 'final', 'video')} SELECT id, source_type, round(s, 6) AS score, pos::INT AS pos FROM final""")
 def media_quota(spark, d):
-    e = table(spark, d, "events").where("user_id = 1").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "signup", "video").otherwise(F.col("event_type")).alias("source_type"), F.col("value").alias("score"))
-    pool = search.reposition(e.orderBy(F.desc("score"), "id").limit(40).withColumn("pos", F.col("id")))
-    return search.media_quota(pool, "video", 10).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 50 == 7), "video").otherwise("md")
+    pool = search.reposition(table(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("source_type"), F.col("value").alias("score"), F.col("event_id").alias("pos")))
+    return search.media_quota(pool.where("pos <= 10"), pool, "video").select("id", "source_type", F.round("score", 6).alias("score"), "pos")
 
 
 # ---- ingest -------------------------------------------------------------------------------------------------------
@@ -376,9 +384,10 @@ def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS title FROM pages")
+@query(r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('Part ', page_id, ' of it') ELSE regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') END AS title FROM pages")
 def title_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", T.title(F.lit(""), F.col("url")).alias("title"))
+    text = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("## no title\ntext # none\n#  Part "), "page_id", F.lit(" of it \n# Later")))
+    return table(spark, d, "pages").select("page_id", T.title(F.coalesce(text, F.lit("#none")), F.col("url")).alias("title"))
 
 
 @query("SELECT page_id, CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '' END AS folder FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)")
@@ -447,15 +456,15 @@ def hash_dup_count(spark, d):
     return dedupe.hash_duplicates(dedupe.with_identity(table(spark, d, "documents"), "text"), "source")
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey AS k, concat('a', o_orderdate::DATE) AS t FROM orders WHERE o_totalprice > 430000 UNION SELECT o_custkey, concat('b', o_custkey % 97) FROM orders WHERE o_totalprice > 430000),
+@query("""WITH RECURSIVE n AS (SELECT doc_id AS k, sha256(text) AS t FROM documents UNION ALL SELECT doc_id, concat(lang, ':', n_chars) FROM documents),
 e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM n a JOIN n b USING (t)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS group_id FROM r GROUP BY 1""")
 def content_groups(spark, d):
     from siltstone.sources.snapshots import checkpoint_folder
 
     checkpoint_folder(spark)
-    o = table(spark, d, "orders").where("o_totalprice > 430000").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("a"), (F.col("o_custkey") % 97).alias("b"))
-    return dedupe.content_groups(o, ["a", "b"])
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), F.concat_ws(":", "lang", F.col("n_chars").cast("string")).alias("path"))
+    return dedupe.content_groups(docs, ["content", "path"])
 
 
 # ---- incremental runs ---------------------------------------------------------------------------------------------
@@ -505,11 +514,11 @@ def degraded_buckets(spark, d):
     return incremental.degraded_buckets(ledger, scanned, stored.select("doc_id"), 9000.0)
 
 
-@query("""WITH l AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 = 0 AND doc_id % 10 = 0), g AS (SELECT source, count(*) AS have FROM documents GROUP BY 1), x AS (SELECT source, count(*) AS gone FROM l GROUP BY 1)
-SELECT l.doc_id FROM l JOIN g USING (source) JOIN x USING (source) WHERE have < 20 OR gone <= 0.02 * have""")
+@query("""WITH l AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 = 0 AND doc_id % 3 = 0), g AS (SELECT source, count(*) AS have FROM documents GROUP BY 1), x AS (SELECT source, count(*) AS gone FROM l GROUP BY 1)
+SELECT l.doc_id FROM l JOIN g USING (source) JOIN x USING (source) WHERE have < 20 OR gone <= 0.05 * have""")
 def registry_reap(spark, d):
     reg = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_name"))
-    return incremental.reap(reg, reg.where("doc_id % 7 <> 0"), reg.where("doc_id % 10 <> 0"), ratio=0.02)
+    return incremental.reap(reg, reg.where("doc_id % 7 <> 0"), reg.where("doc_id % 3 <> 0"), ratio=0.05)
 
 
 @query("SELECT event_type AS target, count(*) AS revision, min(ts) AS created_at FROM events GROUP BY 1")
@@ -599,9 +608,10 @@ def tag_validate(spark, d):
     return taxonomy.validate_tags(items, _taxonomy(spark, d)).select("p_partkey", "tag", "known")
 
 
-@query("SELECT p_partkey, p_brand AS folder, concat(p_brand, '/') AS suggested FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, '/') ELSE concat(p_brand, '/x') END AS folder, CASE WHEN p_partkey % 3 < 2 THEN concat(p_brand, '/') END AS suggested FROM part")
 def folder_suggest(spark, d):
-    return taxonomy.suggest_folder(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("folder")), _taxonomy(spark, d)).select("p_partkey", "folder", "suggested")
+    folder = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat("p_brand", F.lit("/"))).otherwise(F.concat("p_brand", F.lit("/x")))
+    return taxonomy.suggest_folder(table(spark, d, "part").select("p_partkey", folder.alias("folder")), _taxonomy(spark, d)).select("p_partkey", "folder", "suggested")
 
 
 @query("SELECT concat('tag:', p_type) AS id, count(*) AS usage_count FROM part GROUP BY 1 UNION ALL SELECT DISTINCT concat('folder:', p_brand, '/'), 0 FROM part")
@@ -623,19 +633,39 @@ def _turn_pairs(spark, d) -> DataFrame:
     """Each turn with the next one, as prediction and gold."""
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
-    pairs = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "text", "gold")
-    return pairs.withColumns({"a": evaluate.token_set(F.col("text")), "b": evaluate.token_set(F.col("gold"))})
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "text", "gold")
 
 
 _STEM = "CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN concat(left(x, length(x) - 3), 'y') WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END"
-_SET = f"list_distinct(list_transform(regexp_extract_all(regexp_replace(lower(text), '[_-]', ' ', 'g'), '[a-z0-9]+'), lambda x: {_STEM}))"
-_PAIRS = f"WITH s AS (SELECT conv_id, turn, {_SET} AS t FROM conversations), p AS (SELECT x.conv_id, x.turn, x.t AS a, y.t AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) AS n, len(y.t) AS m FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+_SAME = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in evaluate.EQUIVALENTS.items()) + "}"
+
 
+def _tokens_sql(text: str, expand: bool = False) -> str:
+    own = f"list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(lower({text}), '[_-]', ' ', 'g'), '[a-z0-9]+'), lambda x: {_STEM})), lambda x: NOT list_contains({evaluate.STOP}, x))"
+    return f"list_distinct(list_concat({own}, flatten(list_transform({own}, lambda x: coalesce({_SAME}[x], [])))))" if expand else own
 
-@query(_PAIRS + " SELECT conv_id, turn, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE 2.0 * i / (n + m) END, 6) AS f1, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE i / (n + m - i) END, 6) AS jaccard, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE greatest(2.0 * i / (n + m), i / m) END, 6) AS summary FROM p")
+
+_PAIRS = f"""WITH s AS (SELECT conv_id, turn, {_tokens_sql("text")} AS t, {_tokens_sql("text", True)} AS u FROM conversations),
+p AS (SELECT x.conv_id, x.turn, len(list_intersect(x.t, y.t)) AS i, len(x.t) AS n, len(y.t) AS m, len(list_intersect(x.u, y.u)) AS iu, len(x.u) AS nu, len(y.u) AS mu FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
+
+
+@query(_PAIRS + " SELECT conv_id, turn, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE 2.0 * i / (n + m) END, 6) AS f1, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE i / (n + m - i) END, 6) AS jaccard, round(CASE WHEN nu = 0 AND mu = 0 THEN 1 WHEN nu = 0 OR mu = 0 THEN 0 ELSE greatest(2.0 * iu / (nu + mu), iu / mu) END, 6) AS summary FROM p")
 def token_scores(spark, d):
-    a, b = F.col("a"), F.col("b")
-    return _turn_pairs(spark, d).select("conv_id", "turn", F.round(evaluate.token_f1(a, b), 6).alias("f1"), F.round(evaluate.jaccard(a, b), 6).alias("jaccard"), evaluate.summary_score(a, b).alias("summary"))
+    a, b = evaluate.token_set(F.col("text")), evaluate.token_set(F.col("gold"))
+    return _turn_pairs(spark, d).select("conv_id", "turn", F.round(evaluate.token_f1(a, b), 6).alias("f1"), F.round(evaluate.jaccard(a, b), 6).alias("jaccard"), evaluate.summary_score(F.col("text"), F.col("gold")).alias("summary"))
+
+
+_ADS = "concat('the billing notice for ', p_type, ' orders, and payments of tenants')"
+_ADS_GOLD = "concat('an invoice; rent of ', p_brand, ' ', split_part(p_type, ' ', 2), ' delivery')"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_tokens_sql(_ADS)} AS t, {_tokens_sql(_ADS_GOLD)} AS v, {_tokens_sql(_ADS, True)} AS tu, {_tokens_sql(_ADS_GOLD, True)} AS vu FROM part)
+SELECT p_partkey, len(tu) AS n_words, round(greatest(2.0 * len(list_intersect(tu, vu)) / (len(tu) + len(vu)), len(list_intersect(tu, vu)) / len(vu)), 6) AS summary, round(greatest(2.0 * len(list_intersect(t, v)) / (len(t) + len(v)), 2.0 * len(list_intersect(tu, vu)) / (len(tu) + len(vu))), 6) AS phrases FROM s""")
+def expanded_tokens(spark, d):
+    """Words that count as each other, in summaries and in single phrases."""
+    ad = F.concat(F.lit("the billing notice for "), "p_type", F.lit(" orders, and payments of tenants"))
+    gold = F.concat(F.lit("an invoice; rent of "), "p_brand", F.lit(" "), F.split_part("p_type", F.lit(" "), F.lit(2)), F.lit(" delivery"))
+    return table(spark, d, "part").select("p_partkey", F.size(evaluate.token_set(ad, True)).cast("long").alias("n_words"), evaluate.summary_score(ad, gold).alias("summary"), evaluate.phrase_match(F.array(ad), F.array(gold)).alias("phrases"))
 
 
 @query("SELECT event_id, round(1 - abs(greatest(0, least(1, floor(value) / 100)) - greatest(0, least(1, user_id / 100))), 6) AS score FROM events")
@@ -701,11 +731,33 @@ def date_normalisation(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evaluate.iso_date(F.date_format(day, "M/d/yyyy")).alias("us"), evaluate.iso_date(F.concat(F.date_format(day, "MMMM d"), F.lit("th, "), F.date_format(day, "yyyy"))).alias("words"))
 
 
-@query("""SELECT a.p_partkey, CASE WHEN a.p_type = b.p_type THEN 1.0 WHEN split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1) AND len(string_split(a.p_type, ' ')) = 1 THEN 0.5 END AS score
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey WHERE a.p_type IS NOT NULL""")
+_F1 = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, lower(replace(p_type, ' ', '/')) AS q, trim(lower(CASE p_partkey % 6 WHEN 0 THEN concat('/', replace(p_type, ' ', '/'), '/') WHEN 1 THEN split_part(p_type, ' ', 1) WHEN 2 THEN concat(replace(p_type, ' ', '/'), '/', p_partkey % 4, '/more')
+WHEN 3 THEN concat('Rental Housing/', split_part(p_type, ' ', 3)) WHEN 4 THEN '' ELSE concat(p_brand, '/', split_part(p_type, ' ', 2)) END), '/') AS p FROM part),
+t AS (SELECT *, string_split(p, '/') AS pp, string_split(q, '/') AS qp, {_tokens_sql("p", True)} AS pt, {_tokens_sql("q", True)} AS qt, {_tokens_sql("split_part(p, '/', -1)", True)} AS pl, {_tokens_sql("split_part(q, '/', -1)", True)} AS ql FROM f)
+SELECT p_partkey, round(CASE WHEN p = '' THEN 0.0 WHEN p = q THEN 1.0 WHEN pp = qp[1:len(pp)] THEN 0.5 WHEN qp = pp[1:len(qp)] THEN greatest(0.8, 1 - 0.1 * (len(pp) - len(qp))) ELSE 0.65 * {_F1('pt', 'qt')} + 0.35 * {_F1('pl', 'ql')} END, 6) AS score FROM t""")
 def folder_scores(spark, d):
-    path = F.replace("p_type", F.lit(" "), F.lit("/"))
-    return table(spark, d, "part").select("p_partkey", evaluate.folder_score(path, F.upper(path)).alias("score"))
+    """The same path, a part of it, a deeper one, other words, none, and half of the words."""
+    path, word = F.replace("p_type", F.lit(" "), F.lit("/")), lambda k: F.split_part("p_type", F.lit(" "), F.lit(k))
+    kind = F.col("p_partkey") % 6
+    own = F.when(kind == 0, F.concat(F.lit("/"), path, F.lit("/"))).when(kind == 1, word(1)).when(kind == 2, F.concat(path, F.lit("/"), (F.col("p_partkey") % 4).cast("string"), F.lit("/more"))).when(kind == 3, F.concat(F.lit("Rental Housing/"), word(3))).when(kind == 4, "").otherwise(F.concat("p_brand", F.lit("/"), word(2)))
+    return table(spark, d, "part").select("p_partkey", evaluate.folder_score(own, path).alias("score"))
+
+
+_SAID, _POINT = "concat(p_type, '. It is a part of ', p_brand, '! Size ', p_size, '.')", "concat('part ', split_part(p_type, ' ', 1), ' unknown')"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_size, {_tokens_sql(_SAID)} AS t, {_tokens_sql(_POINT)} AS a, {_tokens_sql("p_brand")} AS b, {_tokens_sql("concat('made of ', split_part(p_type, ' ', 3))")} AS c FROM part),
+r AS (SELECT p_partkey, round((len(list_intersect(t, a)) / len(a) + len(list_intersect(t, b)) / len(b)) / 2, 6) AS coverage, round((CASE WHEN 3 <= p_size % 5 OR p_size % 5 = 0 THEN 1.0 ELSE round(greatest(0, 1 - (3 - p_size % 5) / (p_size % 5)), 6) END + CASE WHEN len(t) <= 7 THEN 1.0 ELSE round(greatest(0, 1 - (len(t) - 7) / 7), 6) END) / 2, 6) AS brevity,
+round(1 - 2.0 * len(list_intersect(t, c)) / (len(t) + len(c)), 6) AS hallucination FROM s) SELECT *, round(coverage * 0.5 + brevity * 0.25 + hallucination * 0.25, 6) AS rubric FROM r""")
+def summary_rubric(spark, d):
+    said = F.concat("p_type", F.lit(". It is a part of "), "p_brand", F.lit("! Size "), "p_size", F.lit("."))
+    word = lambda k: F.split_part("p_type", F.lit(" "), F.lit(k))
+    points, forbidden = F.array(F.concat(F.lit("part "), word(1), F.lit(" unknown")), F.lit(" "), F.col("p_brand")), F.array(F.concat(F.lit("made of "), word(3)))
+    most = F.col("p_size") % 5
+    return table(spark, d, "part").select("p_partkey", evaluate.coverage_score(said, points).alias("coverage"), evaluate.brevity_score(said, most, F.lit(7)).alias("brevity"), evaluate.hallucination_score(said, forbidden).alias("hallucination"), evaluate.rubric_score(said, points, most, F.lit(7), forbidden).alias("rubric"))
 
 
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at, concat_ws(':', event_type, user_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ')) AS batch, least(300.0 * 2 ** (user_id % 10), 21600.0) AS delay, CASE WHEN user_id % 2 = 0 THEN concat('mtime:', user_id) ELSE event_type END AS ck FROM events")
@@ -758,21 +810,34 @@ def stream_upsert(spark, d):
     from siltstone.sources.snapshots import shared_folder
 
     root = shared_folder(spark)
-    # A pattern serves for a table that is one file as for one that is a folder.
-    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     target = SnapshotTable(spark, f"{root}/index")
-    streams.upsert_stream(src.select("user_id", F.col("ts").alias("mtime")), target, f"{root}/state", key="user_id").awaitTermination()
+    streams.upsert_stream(_event_stream(spark, d).select("user_id", F.col("ts").alias("mtime")), target, f"{root}/state", key="user_id").awaitTermination()
     out = target.read()
     return out.join(F.broadcast(out.agg(F.count(F.lit(1)).alias("n_users"))), how="cross")
 
 
+def _event_stream(spark, d) -> DataFrame:
+    # A pattern serves for a table that is one file as for one that is a folder.
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def window_counts(spark, d):
-    return streams.window_counts(table(spark, d, "events"), "ts", "1 hour", "event_type")
+    from siltstone.sources.snapshots import shared_folder
 
+    root = shared_folder(spark)
+    target = SnapshotTable(spark, f"{root}/windows")
+    streams.complete_stream(streams.window_counts(_event_stream(spark, d), "ts", "1 hour", "event_type"), target, f"{root}/state").awaitTermination()
+    return target.read()
 
-@query("""SELECT user_id AS doc_id, least(count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)), 12)::INT AS attempts, max(ts) FILTER (NOT ok) AS last_try, count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)) >= 12 AS exhausted
+
+@query("""SELECT user_id AS doc_id, least(count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)), 12) AS attempts, max(ts) FILTER (NOT ok) AS last_try, count(*) FILTER (NOT ok AND (o IS NULL OR ts > o)) >= 12 AS exhausted
 FROM (SELECT user_id, ts, event_type = 'purchase' AS ok, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) AS o FROM events) GROUP BY user_id""")
 def retry_states(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), "ts", (F.col("event_type") == "purchase").alias("ok"))
-    return streams.retry_states(e)
+    from siltstone.sources.snapshots import shared_folder
+
+    root = shared_folder(spark)
+    target = SnapshotTable(spark, f"{root}/retries")
+    outcomes = _event_stream(spark, d).select(F.col("user_id").alias("doc_id"), "ts", (F.col("event_type") == "purchase").alias("ok"))
+    streams.retry_stream(outcomes, target, f"{root}/state").awaitTermination()
+    return target.read().select("doc_id", "attempts", "last_try", "exhausted")

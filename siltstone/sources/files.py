@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.window import Window as W
 
 from siltstone.functions import text as T
 from siltstone.operators.filters import glob_filter
+from siltstone.sources import extract
 
 RECORD = "doc_id string, source_type string, natural_key string, mtime double, size bigint, metadata map<string,string>, change_hash string"
 
@@ -50,14 +50,14 @@ def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
 def extract_text(files: DataFrame, plug_ins: Mapping[str, Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
     """Adds text and frontmatter to scanned files with contents.
 
-    Markdown, plain text, HTML and CSV are read by expressions; other types by a plug-in (bytes to text) for their
-    type, without which they have no text.
+    Markdown, plain text and HTML are read by expressions; Office, EPUB, RTF, CSV and Excel files by readers of their own, in Arrow batches;
+    other types by a plug-in (bytes to text) for their type, without which they have no text. A plug-in goes before what is built in.
     """
     raw = F.decode("content", "UTF-8")
-    kind = T.source_type(F.col("ext"))
+    kind, ext = T.source_type(F.col("ext")), F.lower(F.ltrim(F.coalesce(F.col("ext"), F.lit("")), F.lit(".")))
     block, body = T.front_matter(raw)
-    rows = F.array_join(F.filter(F.split(raw, r"\r?\n"), lambda x: x != ""), "\n")
-    text = F.when(kind == "md", body).when(kind == "html", T.html_text(raw)).when(kind == "csv", F.regexp_replace(rows, ",", " | ")).when(kind.isin("txt", "json"), raw)
+    parsed = extract.read_columns(F.when(ext.isin(sorted(extract.READERS)), F.col("content")), ext)
+    text = F.when(kind == "md", body).when(kind == "html", T.html_text(raw)).when(ext.isin(sorted(extract.READERS)), parsed).when(kind.isin("txt", "json"), raw)
     for name, f in (plug_ins or {}).items():
         text = F.when(kind == name, F.pandas_udf(f, "string")(F.col("content"))).otherwise(text)
     return files.withColumn("frontmatter", F.when(kind == "md", T.front_matter_map(block))).withColumn("text", F.coalesce(text, F.lit("")))
@@ -83,18 +83,58 @@ def headings(text: Column) -> Column:
     return F.aggregate(parts, empty, add, lambda acc: acc["out"])
 
 
-def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_id", text: str = "text", by_heading: bool = True) -> DataFrame:
-    """key, loc (`c:{i}`), section, text and chunk_uid (`doc::loc`): overlapping pieces of the sections of each text."""
+def pieces(body: Column, size: int, overlap: int) -> Column:
+    """A text as pieces of a size that overlap."""
     step = size - overlap
+    n = F.greatest(F.ceil((F.length(body) - overlap) / F.lit(float(step))), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.substring(body, p * step + 1, F.lit(size)))
+
+
+def sentence_pieces(body: Column, size: int) -> Column:
+    """A text as runs of whole sentences of at most a size; a longer sentence is cut."""
+    each = F.flatten(F.transform(T.sentences(body), lambda x: F.when(F.length(x) <= size, F.array(x)).otherwise(pieces(x, size, 0))))
+    empty = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc, x):
+        fits = F.length(acc["now"]) + F.length(x) <= size
+        return F.struct(F.when(fits, F.concat(acc["now"], x)).otherwise(x).alias("now"), F.when(fits | (acc["now"] == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"))
+
+    return F.aggregate(each, empty, add, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
+
+
+def topics(body: Column, embed: Callable[[Column], Column], percentile: float = 95.0) -> Column:
+    """A text cut between sentences that are unlike: where the distance of adjacent sentences is above the percentile of all in the text.
+
+    embed makes an array of vectors from an array of sentences.
+    """
+    from siltstone.operators.search import cosine
+
+    def cut(s):
+        said, v = s["s"], s["v"]
+        far = F.transform(F.sequence(F.lit(1), F.size(said) - 1), lambda i: 1 - cosine(F.get(v, i - 1), F.get(v, i)))
+        ranked = F.array_sort(far)
+        at = (F.size(far) - 1) * F.lit(percentile / 100)
+        low = F.floor(at).cast("int")
+        limit = F.get(ranked, low) + (at - low) * (F.coalesce(F.get(ranked, low + 1), F.get(ranked, low)) - F.get(ranked, low))
+        joined = F.array_join(F.transform(said, lambda x, i: F.when((i > 0) & (F.get(far, i - 1) > limit), F.concat(F.lit("\u0000"), x)).otherwise(x)), "")
+        return F.when(F.size(said) < 3, F.array(F.array_join(said, ""))).otherwise(F.split(joined, "\u0000"))
+
+    said = T.sentences(body)
+    return F.element_at(F.transform(F.array(F.struct(said.alias("s"), embed(said).alias("v"))), cut), 1)
+
+
+def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_id", text: str = "text", by_heading: bool = True, split: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, loc (`c:{i}`), section, text and chunk_uid (`doc::loc`): pieces of the sections of each text, numbered through.
+
+    split makes an array of pieces of a section (pieces of `size` characters that overlap, if not given). All of a text is cut and numbered in one expression
+    on its row, so no chunk is shuffled.
+    """
+    cut = split or (lambda body: pieces(body, size, overlap))
     section = headings(F.col(text)) if by_heading else F.array(F.struct(F.lit("").alias("breadcrumb"), F.col(text).alias("body")))
-    sections = df.select(key, F.posexplode(section).alias("s", "sec"))
-    n = F.greatest(F.ceil((F.length("sec.body") - overlap) / F.lit(float(step))), F.lit(1)).cast("int")
-    pieces = sections.select(key, F.col("sec.breadcrumb").alias("section"), "s", F.col("sec.body").alias("body"), F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
-    cut = pieces.select(key, "section", "s", "p", F.substring("body", F.col("p") * step + 1, F.lit(size)).alias("text")).where(F.trim("text") != "")
-    per = cut.groupBy(key, "s").agg(F.count(F.lit(1)).alias("n"))
-    start = per.withColumn("first", F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(key, "s", "first")
-    loc = F.concat(F.lit("c:"), (F.col("first") + F.col("p")).cast("string"))
-    return cut.join(start, [key, "s"]).select(key, loc.alias("loc"), "section", "text", F.concat_ws("::", F.col(key).cast("string"), loc).alias("chunk_uid"))
+    numbered = F.flatten(F.transform(section, lambda s: F.transform(cut(s["body"]), lambda x: F.struct(s["breadcrumb"].alias("section"), x.alias("text")))))
+    rows = df.select(key, F.posexplode_outer(numbered).alias("i", "c")).where(F.trim("c.text") != "")
+    loc = F.concat(F.lit("c:"), F.col("i").cast("string"))
+    return rows.select(key, loc.alias("loc"), "c.section", "c.text", F.concat_ws("::", F.col(key).cast("string"), loc).alias("chunk_uid"))
 
 
 def collapse_repetition(df: DataFrame, text: str = "text", most: int = 3) -> DataFrame:
@@ -136,7 +176,12 @@ def collapse_repetition(df: DataFrame, text: str = "text", most: int = 3) -> Dat
     return df.withColumn(text, F.when(suspect, fixed).otherwise(c))
 
 
-def read_traces(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines without blank or broken ones, with the file they are from."""
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).json(path).withColumn("trace_file", F.col("_metadata.file_name"))
+def read_traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines without blank or broken ones, with the file and the line that they are from.
+
+    Files are read whole, so that lines can be numbered where they are read; a trace file is a day's log and fits in memory.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("trace_file"), F.split("value", r"\r?\n").alias("lines"))
+    each = files.select("trace_file", F.posexplode_outer("lines").alias("n", "line")).where(F.trim("line") != "")
+    parsed = each.select("trace_file", (F.col("n") + 1).alias("trace_line"), F.try_parse_json("line").alias("v"), F.from_json("line", schema).alias("r"))
+    return parsed.where("v is not null and r is not null").select("r.*", "trace_file", "trace_line")

@@ -1,7 +1,7 @@
 """A versioned table on plain files: every write is a new version, a pointer names the current one.
 
 Versions live in `v=<n>` below the root; readers resolve the pointer once per query, writers write a whole version
-and then move the pointer by an atomic rename. One writer at a time. All access goes through Spark's file systems, so any store will do.
+and then add a pointer of the next number, which only one writer can claim. All access goes through Spark's file systems, so any store will do.
 """
 
 from __future__ import annotations
@@ -28,15 +28,21 @@ class SnapshotTable:
         return self.spark.read.text(p.toString()).first()[0]
 
     def _write_text(self, name: str, value: str) -> None:
-        """A small file replaced as a whole."""
+        """A small file (a tag) with a value."""
         tmp, to = self._path(f"{self.root}/.{name}.new"), self._path(f"{self.root}/{name}")
         out = self._fs.create(tmp, True)
         out.write(value.encode())
         out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
+        self._fs.delete(to, False)
         self._fs.rename(tmp, to)
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer files, of which the largest counts; readers always find one."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        found = [re.fullmatch(r"CURRENT-(\d+)-(\d+)", s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root))]
+        return sorted((int(m[1]), int(m[2])) for m in found if m)
+
     def versions(self) -> list[int]:
         if not self._fs.exists(self._path(self.root)):
             return []
@@ -45,8 +51,8 @@ class SnapshotTable:
         return sorted(done)
 
     def current(self) -> int | None:
-        v = self._read_text("CURRENT")
-        return int(v) if v else None
+        found = self._pointers()
+        return found[-1][1] if found else None
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
@@ -62,19 +68,54 @@ class SnapshotTable:
                 df.limit(1).collect()
             except (PySparkException, Py4JJavaError):  # missing or broken files
                 continue
-            self._write_text("CURRENT", str(v))
+            self.promote(v)
             return df
         raise FileNotFoundError(f"no readable version in {self.root}")
 
     def write_shadow(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """A version that readers do not see until it is promoted."""
-        v = max(self.versions(), default=0) + 1
-        w = df.write.mode("overwrite")
+        # A number is claimed by its folder, so two writers never write to the same one.
+        v = max([0, *self.versions()]) + 1
+        while not self._fs.mkdirs(self._path(f"{self.root}/v={v}")) or not self._own(v):
+            v += 1
+        w = df.write.mode("append")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/v={v}")
         return v
 
-    def promote(self, version: int) -> None:
-        self._write_text("CURRENT", str(version))
+    def _own(self, v: int) -> bool:
+        try:
+            self._fs.create(self._path(f"{self.root}/.version-{v}"), False).close()
+        except Py4JJavaError:
+            return False
+        return True
+
+    def promote(self, version: int, expected: int | None = -1) -> bool:
+        """Makes a version the current one; where an expected version is given, only if that is current still.
+
+        A pointer is a new empty file named by its number and version. Creating it fails if another writer had the
+        number first, so of two writers that expect the same version one loses. A crash leaves the pointer before.
+        """
+        while True:
+            found = self._pointers()
+            if expected != -1 and (found[-1][1] if found else None) != expected:
+                return False
+            n = found[-1][0] + 1 if found else 1
+            if [m for m in found if m[0] == n] or not self._claimed(n):
+                if expected != -1:
+                    return False
+                continue
+            self._fs.create(self._path(f"{self.root}/CURRENT-{n}-{version}"), True).close()
+            for old, v in found[:-1]:  # the one before stays for readers that listed it
+                self._fs.delete(self._path(f"{self.root}/CURRENT-{old}-{v}"), False)
+            return True
+
+    def _claimed(self, n: int) -> bool:
+        """Whether this writer is the first to claim a pointer's number."""
+        try:
+            self._fs.create(self._path(f"{self.root}/.claim-{n}"), False).close()
+        except Py4JJavaError:  # it is there already
+            return False
+        return True
 
     restore = promote
 
@@ -101,13 +142,14 @@ class SnapshotTable:
         return self.replace(self.read().join(keys.select(key).distinct(), key, "left_anti"))
 
     def compare_and_set(self, value: str, expected: Column, changes: dict[str, Column], field: str = "chunk_uid") -> bool:
-        """Changes one row if it still is as expected; says whether it was."""
-        old = self.read()
+        """Changes one row if it still is as expected, and if nobody has written meanwhile; says whether it was changed."""
+        seen = self.current()
+        old = self.read(seen)
         hit = (F.col(field) == value) & expected
         if old.where(hit).limit(1).count() == 0:
             return False
-        self.replace(old.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in changes.items()}))
-        return True
+        made = self.write_shadow(old.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in changes.items()}))
+        return self.promote(made, expected=seen)
 
     def tag(self, name: str, version: int | None = None) -> None:
         self._write_text(f"tag-{name}", str(self.current() if version is None else version))
@@ -142,11 +184,10 @@ def _evolved(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
-    import tempfile
+    """A new folder below the one that the cluster shares: spark.checkpoint.dir, or else the warehouse."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 

@@ -20,6 +20,7 @@ class TableSpec:
     mtime_column: str | None = None
     metadata_columns: list[str] = field(default_factory=list)
     salt: str = ""
+    text_normalizer: str | None = None
 
 
 def read_jdbc(spark: SparkSession, url: str, spec: TableSpec, fetch: int = 500, **options: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.functions.text import retry_delay
 from siltstone.operators.incremental import latest_requests
 from siltstone.sources.snapshots import SnapshotTable
 
@@ -42,13 +43,43 @@ def distinct_events(events: DataFrame, key: str, time: str, late: str = "1 hour"
 def window_counts(events: DataFrame, time: str, size: str, by: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts by event-time window (these windows are extras, the engine's own runs need none)."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    out = events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    out = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def retry_states(outcomes: DataFrame, key: str = "doc_id", cap: int = 12) -> DataFrame:
-    """Attempts since the last success for each key of a stream of outcomes (ok, ts): an aggregation, so its state is one row a key."""
-    last_ok = F.max(F.when(F.col("ok"), F.col("ts")))
-    g = outcomes.groupBy(key).agg(last_ok.alias("last_ok"), F.collect_list(F.when(~F.col("ok"), F.col("ts"))).alias("fails"))
-    tries = F.size(F.filter("fails", lambda t: F.col("last_ok").isNull() | (t > F.col("last_ok"))))
-    return g.select(key, F.least(tries, F.lit(cap)).alias("attempts"), F.array_max("fails").alias("last_try"), (tries >= cap).alias("exhausted"))
+def complete_stream(result: DataFrame, target: SnapshotTable, checkpoint: str) -> StreamingQuery:
+    """Drains a streaming aggregation into a table that always holds its whole result."""
+    return result.writeStream.outputMode("complete").foreachBatch(lambda df, _: target.replace(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merged_retries(state: DataFrame | None, outcomes: DataFrame, key: str = "doc_id", cap: int = 12) -> DataFrame:
+    """Retry state (attempts since the last success, last_ok, last_try, next_try in seconds, exhausted) after more outcomes (key, ok, ts).
+
+    Sums and maxima only: of a batch, the failures after its last success count; they add to the state where the batch has no
+    success. The time of the next try backs off with the attempts, of which `cap` is the last.
+    """
+    ok = outcomes.groupBy(key).agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("new_ok"), F.max(F.when(~F.col("ok"), F.col("ts"))).alias("new_try"))
+    fresh = outcomes.join(ok.select(key, "new_ok"), key).where(~F.col("ok") & (F.col("new_ok").isNull() | (F.col("ts") > F.col("new_ok")))).groupBy(key).agg(F.count(F.lit(1)).alias("more"))
+    x = ok.join(fresh, key, "left").na.fill(0, ["more"])
+    if state is None:
+        x = x.withColumns({"had": F.lit(0).cast("long"), "last_ok": F.col("new_ok"), "last_try": F.col("new_try")})
+    else:
+        old = state.select(key, F.col("attempts").alias("had"), F.col("last_ok").alias("old_ok"), F.col("last_try").alias("old_try"))
+        x = x.join(old, key, "full_outer").withColumns({"had": F.coalesce("had", F.lit(0)), "more": F.coalesce("more", F.lit(0)), "last_ok": F.greatest("new_ok", "old_ok"), "last_try": F.greatest("new_try", "old_try")})
+    tries = F.least(F.when(F.col("new_ok").isNull(), F.col("had") + F.col("more")).otherwise(F.col("more")), F.lit(cap))
+    due = F.when(F.col("last_try").isNotNull(), F.unix_micros(F.col("last_try").cast("timestamp")) / 1e6 + retry_delay(tries))
+    return x.select(key, tries.alias("attempts"), "last_ok", "last_try", F.when(tries > 0, due).alias("next_try"), (tries >= cap).alias("exhausted"))
+
+
+def retry_stream(outcomes: DataFrame, target: SnapshotTable, checkpoint: str, key: str = "doc_id", cap: int = 12) -> StreamingQuery:
+    """Drains a stream of outcomes into a table of retry states, one row a key."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        target.replace(merged_retries(None if target.current() is None else target.read(), batch, key, cap))
+
+    return outcomes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """What a run has done so far: batch, rows read and how long each took, for a supervisor to show."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"], "at": p["timestamp"]} for p in query.recentProgress]

@@ -17,7 +17,8 @@ def test_engine(spark, tmp_path):
     assert e.file_search("x")["code"] == "index_empty"
     rows = [("a", "# Cats\ncats purr and sleep", "animals/cats.md", "md", "documents", 100.0, "1"), ("b", "dogs bark at cats", "animals/dogs.md", "md", "documents", 200.0, "1"), ("pg::1", "call Bob at (484) 735-8527", "pg/1", "pg_message", "pg", 300.0, "1")]
     assert e.file_index_update(vault(spark, rows)) == {"add": 3}
-    assert e.file_status() == {"chunks": 3, "documents": 3, "sources": {"documents": 2, "pg": 1}, "version": 1}
+    well = {"state": "ok", "reason": "indexed"}
+    assert e.file_status() == {"chunks": 3, "documents": 3, "sources": {"documents": 2, "pg": 1}, "version": 1, "health": {"documents": well, "pg": well}, "overall": "ok"}
     got = e.file_search("cats purr", mode="compact", width=4)
     assert got["results"][0]["doc_id"] == "a" and got["results"][0]["content"] == "# Ca" and got["results"][0]["content_truncated"]
     assert [r["doc_id"] for r in e.file_search("cats", sort="recent")["results"]][0] == "pg::1"

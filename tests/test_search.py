@@ -35,10 +35,10 @@ def test_media_words_and_quota(spark):
     assert search.media_types("163 Washington video walkthrough PICS") == ["img", "video"]
     rows = [(k, "video" if k in (12, 15, 17) else "md", 1.0 - k / 20, k) for k in range(1, 18)]
     pool = spark.createDataFrame(rows, "id int, source_type string, score double, pos int")
-    got = search.media_quota(pool, "video", 10).orderBy("pos").collect()
+    got = search.media_quota(pool.where("pos <= 10"), pool, "video").orderBy("pos").collect()
     assert [r.id for r in got] == [1, 2, 3, 4, 5, 6, 7, 8, 12, 15]
     assert got[8].score == pytest.approx(0.6 * 0.99) and got[9].score == pytest.approx(0.6 * 0.99 * 0.25 / 0.4)
-    assert search.media_quota(pool, "text", 10).count() == 10
+    assert search.media_quota(pool.where("pos <= 10"), pool, "text").count() == 10
 
 
 def test_diversity_against_a_plain_walk(spark):

@@ -147,7 +147,7 @@ def test_taxonomy_and_scores(spark):
     assert taxonomy.seed(t, t).count() == 2
     r = one(spark, evaluate.folder_score(F.lit("a/b"), F.lit("A/B/")), evaluate.folder_score(F.lit("a"), F.lit("a/b")), evaluate.folder_score(F.lit("a/b/c"), F.lit("a/b")), evaluate.iso_date(F.lit("March 3rd, 2024")), evaluate.iso_date(F.lit("soon")))
     assert list(r) == [1.0, 0.5, 0.9, "2024-03-03", "soon"]
-    r = one(spark, evaluate.dice(evaluate.token_set(F.lit("two parties")), evaluate.token_set(F.lit("party two x"))), evaluate.phrase_match(F.array(F.lit("a b"), F.lit("c")), F.array(F.lit("c"), F.lit("a"))))
+    r = one(spark, evaluate.dice(evaluate.token_set(F.lit("two parties")), evaluate.token_set(F.lit("party two x"))), evaluate.phrase_match(F.array(F.lit("x b"), F.lit("c")), F.array(F.lit("c"), F.lit("x"))))
     assert list(r) == [0.8, 0.833333]
     cases = spark.createDataFrame([(k, (["x"] if k % 2 else []) + (["y"] if k == 7 else [])) for k in range(10)], "case_id int, flags array<string>")
     assert evaluate.balanced_hard_cases(cases, 3) == [7, 1, 3]
