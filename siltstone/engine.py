@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from siltstone.functions.providers import with_retries
 from siltstone.functions.text import source_name
 from siltstone.operators import browse, dedupe, filters, incremental, lookup, search, sqlguard, taxonomy, upkeep
 from siltstone.sources import files
@@ -82,7 +83,7 @@ class Engine:
         table = table.withColumn("id", F.col("chunk_uid"))
         note: dict = {"sort": sort, "degraded": False}
         try:
-            vector = list(self.embedder(query))
+            vector = list(with_retries(lambda: self.embedder(query), attempts=2, waits=(0.25,)))
         except Exception as e:  # keyword search alone still answers
             note |= {"degraded": True, "reason": f"embedding: {e}"}
             vector = None
@@ -173,8 +174,12 @@ class Engine:
         return row.asDict() if row else error("not_found", entry, "see taxonomy_list")
 
     def taxonomy_search(self, query: str, kind: str | None = None, k: int = 10) -> list[dict]:
+        """Entries by words and by vectors, fused."""
         own = taxonomy.listed(self.taxonomy.read(), kind).withColumn("text", F.concat_ws(" ", "name", "description"))
         hit = search.bm25(own, query, k)
+        if hit.limit(1).count():
+            near = search.nearest(own.withColumn("vector", self.embed_column(F.col("text"))), list(self.embedder(query)), k).where("score > 0")
+            hit = search.fuse([near, hit]).orderBy("pos").limit(k).select("id", "score")
         return [r.asDict() for r in own.drop("text").join(F.broadcast(hit), "id").orderBy(F.desc("score"), "id").collect()]
 
     def _entries(self, rows: Sequence[dict]) -> DataFrame:

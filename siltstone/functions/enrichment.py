@@ -83,6 +83,12 @@ def extract_json(text: Column) -> Column:
     return F.pandas_udf(run, StringType())(text)
 
 
+def _clamped(value: Column) -> Column:
+    """A number from text between 0 and 1; null for what is no finite number."""
+    x = value.try_cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def _items(value: Column) -> Column:
     """Items of a JSON list, or a text as its only item; placeholders are left out."""
     v = F.trim(F.coalesce(value, F.lit("")))
@@ -94,10 +100,9 @@ def normalized(answer: Column) -> dict[str, Column]:
     """Fields enr_* from the JSON of an answer: comma-lists, a JSON list of facts, an importance between 0 and 1."""
     m = F.from_json(answer, "map<string,string>")
     get = lambda k: F.try_element_at(m, F.lit(k))
-    imp = get("importance").try_cast("double")
     out = {f"enr_{k}": F.array_join(_items(get(k)), ", ") for k in LISTS}
     out |= {f"enr_{k}": F.trim(F.coalesce(get(k), F.lit(""))) for k in TEXTS}
-    out["enr_importance"] = F.when(get("importance").isNull(), "").otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), imp)), F.lit(0.5)).cast("string"))
+    out["enr_importance"] = F.when(get("importance").isNull(), "").otherwise(F.coalesce(_clamped(get("importance")), F.lit(0.5)).cast("string"))
     facts = get("key_facts")
     out["enr_key_facts"] = F.when(facts.isNull(), "").when(F.trim(facts).startswith("["), F.to_json(_items(facts))).otherwise(F.array_join(_items(facts), ""))
     return out
@@ -127,7 +132,7 @@ def repaired_type(current: Column, corpus: Column) -> Column:
 
 def repaired_importance(current: Column, corpus: Column) -> Column:
     """The larger of what is said and what the text's words suggest, to two places."""
-    said = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), current.try_cast("double"))), F.lit(0.5))
+    said = F.coalesce(_clamped(current), F.lit(0.5))
     guess = (
         F.when(_has(corpus, LEGAL), 0.9).when(_has(corpus, "failed|overdue|unpaid") & _has(corpus, PAYMENT), 0.85).when(_has(corpus, LEASE) & _has(corpus, "due|must|sign|renewal"), 0.8)
         .when(_has(corpus, PAYMENT) & (corpus.rlike(r"\$\s?\d") | corpus.contains("due")), 0.75).when(_has(corpus, ACTION), 0.7).when(_has(corpus, f"{ESTIMATE}|{DELIVERY}"), 0.6).otherwise(0.5)

@@ -104,7 +104,7 @@ class EchoGenerator:
 
 def generate(df: DataFrame, prompt: str, generator: Generator, out: str = "answer") -> DataFrame:
     """Adds the answers of a model to the prompts of a column, batch by batch; a failure leaves null and its message in `<out>_error`."""
-    schema = df.select("*", F.lit("").alias(out), F.lit("").alias(f"{out}_error")).schema
+    schema = df.select("*", F.lit(None).cast("string").alias(out), F.lit(None).cast("string").alias(f"{out}_error")).schema
 
     def run(batches):
         for b in batches:

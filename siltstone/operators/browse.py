@@ -120,7 +120,7 @@ def scored(df: DataFrame) -> DataFrame:
     """Rows with their score: 1 minus a distance where there is one, else a keyword score, else the score they have."""
     have = [c for c in ("_distance", "_score", "score") if c in df.columns]
     parts = [1 - F.col(c) if c == "_distance" else F.col(c) for c in have]
-    return df.drop(*have).withColumn("score", F.coalesce(*parts, F.lit(0.0)).cast("double"))
+    return df.withColumn("score", F.coalesce(*parts, F.lit(0.0)).cast("double")).drop(*[c for c in have if c != "score"])
 
 
 def full_hits(df: DataFrame, text: bool = False) -> DataFrame:
@@ -158,6 +158,13 @@ def slim_hits(df: DataFrame) -> DataFrame:
     return out
 
 
+def retrieved(df: DataFrame, text: str = "text") -> DataFrame:
+    """(page_content, metadata) for retrievers of other frameworks: the text, and every other field that says something as text."""
+    others = [c for c in df.columns if c not in (text, "vector")]
+    meta = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in others]), lambda e: F.coalesce(e["v"], F.lit("")) != ""))
+    return df.select(F.coalesce(text, F.lit("")).alias("page_content"), meta.alias("metadata"))
+
+
 def listed_documents(df: DataFrame) -> DataFrame:
     """Documents of a list with their time as ISO text and their tags as a list."""
     iso = F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -85,6 +85,60 @@ def bm25(df: DataFrame, query: str, k: int = 50, key: str = "id", text: str = "t
     return hit.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def counted_terms(text: Column) -> Column:
+    """The different terms of a text as an array of (term, tf), counted within its row."""
+    # Of sorted tokens each run is one term; its length is how far its first place is from the next run's.
+    runs = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1) != x), i)), lambda i: i.isNotNull())
+    counted = lambda s: F.transform(s["r"], lambda p, k: F.struct(F.get(s["a"], p).alias("term"), (F.coalesce(F.get(s["r"], k + 1), F.size(s["a"])) - p).alias("tf")))
+    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
+    return let(F.sort_array(tokens(text)), lambda a: let(F.struct(a.alias("a"), runs(a).alias("r")), counted))
+
+
+def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, cf): texts that hold each term, and how often they do. A text is counted in its own row, so terms are shuffled once, and combined before."""
+    return df.select(F.explode_outer(counted_terms(F.col(text))).alias("e")).where("e is not null").groupBy("e.term").agg(F.count(F.lit(1)).alias("df"), F.sum("e.tf").alias("cf"))
+
+
+#: Parts of a postings table; a query reads those of its terms.
+POSTING_PARTS = 32
+
+
+def postings(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(part, term, key, tf, dl): the terms of each text with its length, to be stored by part; made when texts are indexed."""
+    # What stands beside an explode in one select is computed for every row it makes.
+    each = df.select(key, F.size(tokens(F.col(text))).alias("dl"), counted_terms(F.col(text)).alias("t"))
+    rows = each.select(key, "dl", F.explode_outer("t").alias("e")).where("e is not null")
+    part = F.pmod(F.xxhash64("e.term"), F.lit(POSTING_PARTS)).cast("int")
+    return rows.select(part.alias("part"), "e.term", key, "e.tf", "dl")
+
+
+def write_postings(df: DataFrame, path: str, key: str = "id", text: str = "text") -> None:
+    """Stores postings by part, sorted by term within, and beside them how many texts and tokens there are."""
+    spread = postings(df, key, text).repartition("part").sortWithinPartitions("part", "term", key)
+    spread.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size(tokens(F.col(text))), F.lit(0))).alias("total"))
+    size.coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def bm25_stored(spark: SparkSession, path: str, query: str, k: int = 50, key: str = "id", scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25 over stored postings: only the parts of the query's terms are read, and of them the row groups that may hold a term; scope (keys) limits what is ranked."""
+    terms = list(dict.fromkeys(_python_tokens(query)))
+    size = spark.read.parquet(f"{path}/size").first()
+    found = spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return found.select(key, F.lit(0.0).alias("score")).limit(0)
+    # The parts are numbers when the query is made, so that folders are left out at once.
+    parts = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(POSTING_PARTS)) for t in terms]))).collect()]
+    own = found.where(F.col("part").isin(parts) & F.col("term").isin(terms))
+    n, mean = size["n"], max(1e-9, (size["total"] or 0) / max(1, size["n"]))
+    have = own.groupBy("term").agg(F.count(F.lit(1)).alias("have"))  # a row for each term of the query
+    hits = own if scope is None else own.join(scope.select(key), key, "left_semi")
+    idf = F.log(1 + (n - F.col("have") + 0.5) / (F.col("have") + 0.5))
+    one = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
+    scored = hits.join(F.broadcast(have), "term").groupBy(key).agg(F.sum(one).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(k)
+
+
 def _python_tokens(text: str) -> list[str]:
     out, word = [], ""
     for c in f"{text.lower()} ":

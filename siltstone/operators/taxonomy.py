@@ -73,3 +73,12 @@ def upsert(taxonomy: DataFrame, entries: DataFrame) -> DataFrame:
 def seed(taxonomy: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries are added where their id is not there yet."""
     return taxonomy.unionByName(entries.dropDuplicates(["id"]).join(taxonomy.select("id"), "id", "left_anti").select(*taxonomy.columns))
+
+
+def read_sqlite(spark, path: str, query: str, kind: str) -> DataFrame:
+    """Entries from a query (name, description, aliases as a comma-list) on a SQLite file of the driver; a taxonomy is small."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+        rows = [(f"{kind}:{n}", kind, n, text or "", [a.strip() for a in (aliases or "").split(",") if a.strip()], "active", 0) for n, text, aliases in c.execute(query)]
+    return spark.createDataFrame(rows, "id string, kind string, name string, description string, aliases array<string>, status string, usage_count long")

@@ -173,6 +173,8 @@ def _sql(name: str, sql: str, limit: int = 1000) -> None:
 
 _sql("sor_join_agg", "SELECT n_name, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderstatus")
 _sql("sor_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, grouping(l_returnflag) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql("sor_cube", "SELECT o_orderstatus, o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_totalprice > 200000) AS dear FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_sql("sor_grouping_sets", "SELECT c_mktsegment, c_nationkey, sum(c_acctbal) > 0 AS plus, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
 _sql("sor_window_rank", "WITH t AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) SELECT * FROM t WHERE r <= 3")
 _sql("sor_setops", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 UNION SELECT r_regionkey FROM region")
 _sql("sor_semi_anti", "SELECT p_partkey, p_brand FROM part WHERE p_size < 10 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 48)")
@@ -231,8 +233,34 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _postings(spark, d, chunks: bool = False) -> str:
+    """The folder of the postings of documents, or of those that have a vector; written once a session and dataset."""
+    from siltstone.sources.snapshots import shared_folder
+
+    key = (spark.sparkContext.applicationId, d, chunks)
+    if key not in _stored:
+        path = shared_folder(spark)
+        search.write_postings(_chunks(spark, d) if chunks else _docs(spark, d), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def _hybrid_lists(spark, d, words: str = WORDS) -> list[DataFrame]:
+    return [search.nearest(_vectors(spark, d).join(_docs(spark, d).select("id"), "id", "left_semi"), _query_vector(spark, d), 50), search.bm25_stored(spark, _postings(spark, d, True), words, 50)]
+
+
 @query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "").replace("{k}", "50") + ")")
 def bm25_topk(spark, d):
+    """Over postings, which are stored once a session, as indexing would."""
+    return search.bm25_stored(spark, _postings(spark, d), WORDS, 50).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "").replace("{k}", "50") + ")")
+def bm25_scan(spark, d):
+    """Without an index: texts are read and scored where they are."""
     return search.bm25(_docs(spark, d), WORDS, 50).withColumn("score", F.round("score", 6))
 
 
@@ -243,8 +271,7 @@ def bm25_prefiltered(spark, d):
 
 @query(r"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_df(spark, d):
-    per = _docs(spark, d).select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return search.document_frequencies(_docs(spark, d))
 
 
 _FUSED = f"""a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, {_Q} ORDER BY 2 DESC, 1 LIMIT 50)),
@@ -254,8 +281,7 @@ p AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, first) AS pos FR
 
 
 def _fused(spark, d) -> DataFrame:
-    docs = _docs(spark, d)
-    return search.fuse([search.nearest(_vectors(spark, d), _query_vector(spark, d), 50), search.bm25(docs, WORDS, 50)])
+    return search.fuse([search.nearest(_vectors(spark, d), _query_vector(spark, d), 50), search.bm25_stored(spark, _postings(spark, d), WORDS, 50)])
 
 
 @query(f"WITH {_FUSED} SELECT id, round(score, 6) AS score, pos::INT AS pos FROM p")
@@ -314,7 +340,7 @@ def _chunks(spark, d, rare: bool = False) -> DataFrame:
 
 @query(f"WITH RECURSIVE {search_sql.hybrid(WORDS, NOW, 10)} SELECT id, pos::INT AS pos, round(s, 6) AS score, source_type, deferred_by, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS snippet FROM final")
 def hybrid_search(spark, d):
-    out = search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, now=NOW)
+    out = search.hybrid_search(_chunks(spark, d), WORDS, _query_vector(spark, d), 10, now=NOW, hits=_hybrid_lists(spark, d))
     return out.select("id", "pos", F.round("score", 6).alias("score"), "source_type", "deferred_by", T.snippet(F.col("text")).alias("snippet"))
 
 
@@ -406,22 +432,6 @@ def source_type(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_type(ext).alias("source_type"))
 
 
-@query()
-def heading_sections(spark, d):
-    page = F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-3])[^>]*>(.*?)</h\1>", "\n### $2\n"), r"<[^>]*>", " ")
-    return table(spark, d, "pages").select("page_id", F.posexplode(files.headings(page)).alias("no", "s")).select("page_id", "no", "s.breadcrumb", "s.body")
-
-
-@query()
-def repetition_collapse(spark, d):
-    return files.collapse_repetition(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
-
-
-@query()
-def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
-
-
 # ---- duplicates ---------------------------------------------------------------------------------------------------
 
 
@@ -496,13 +506,6 @@ def mass_delete_guard(spark, d):
     return incremental.guarded_deletes(incremental.diff(scanned, stored), stored, ratio=0.14)
 
 
-@query()
-def skip_ledger_exclude(spark, d):
-    scanned, _ = _scan_and_store(spark, d)
-    ledger = scanned.where(F.crc32(F.col("doc_id").cast("binary")) % 11 == 0).select("doc_id", F.col("change_hash").alias("change_key"), F.lit(NOW - 130000.0).alias("skipped_at"))
-    return incremental.not_skipped(scanned, ledger, NOW).select("doc_id")
-
-
 @query(f"""WITH {_DIFF}, l AS (SELECT concat(source, '::', doc_id) AS doc_id, doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'old' END AS ck FROM documents)
 SELECT l.doc_id, CASE WHEN s.doc_id IS NULL THEN 'gone' WHEN t.doc_id IS NOT NULL AND n % 5 >= 3 THEN 'resolved' WHEN s.h <> ck THEN 'changed' WHEN n % 14 >= 12 THEN 'exhausted'
 WHEN n * 10 + least(300 * 2 ** (n % 14), 21600) > 9000 THEN 'waiting' ELSE 'due' END AS bucket FROM l LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)""")
@@ -572,17 +575,6 @@ def evidence_score(spark, d):
     return e.select("doc_id", "matched", F.round("overlap", 6).alias("overlap"), "phone_match", "is_real")
 
 
-@query()
-def comm_verdict(spark, d):
-    """Verdicts of three questions: one that is answered, one about a call, one about nothing."""
-    docs = _docs(spark, d).withColumn("score", F.lit(1.0))
-    out = None
-    for q in ("thing queue tion", "missed call about the thing", "zzzq unobtanium"):
-        one = lookup.verdict(lookup.evidence(docs, q, F.col("text")), q).select(F.lit(q).alias("question"), "verdict", "top", "n_real", "sql_needed")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---- taxonomy -----------------------------------------------------------------------------------------------------
 
 

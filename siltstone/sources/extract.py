@@ -24,7 +24,7 @@ def _paragraphs(xml: bytes, paragraph: str = "p", text: str = "t") -> list[str]:
     """The text of each paragraph of a part of a document, tabs and breaks included."""
     out = []
     for p in ElementTree.fromstring(xml).iter():
-        if _local(p.tag) == paragraph:
+        if _local(p.tag) == paragraph and not any(e is not p and _local(e.tag) == paragraph for e in p.iter()):
             out.append("".join({"t": e.text or "", "tab": "\t", "br": "\n"}.get(_local(e.tag), "") if _local(e.tag) != text else e.text or "" for e in p.iter()))
     return [x for x in out if x.strip()]
 

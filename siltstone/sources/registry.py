@@ -57,3 +57,10 @@ def mappings(registry: DataFrame, source: str | None = None) -> DataFrame:
     full = F.when((F.col("source_name") == "documents") | (F.instr("doc_id", "::") > 0), F.col("doc_id")).otherwise(F.concat_ws("::", "source_name", "doc_id"))
     own = registry if source is None else registry.where(F.col("source_name") == source)
     return own.select(full.alias("doc_id"), "path")
+
+
+def rows(registry: DataFrame, doc_id: str | None = None, path: str | None = None, prefix: str | None = None, content_hash: str | None = None) -> DataFrame:
+    """Registry rows by id, path, the beginning of a path or a hash; all of them without any."""
+    for c, v in (("doc_id", doc_id), ("path", path), ("content_hash", content_hash)):
+        registry = registry if v is None else registry.where(F.col(c) == v)
+    return registry if prefix is None else registry.where(F.col("path").startswith(prefix))

@@ -24,6 +24,14 @@ def report(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}.json")
 
 
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A table of a report, which has few rows, in Markdown."""
+    rows = df.limit(most).collect()
+    clean = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[clean(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
 def run_metadata(spark, path: str, values: dict) -> None:
     """One JSON row about a run."""
     spark.createDataFrame([(json.dumps(values, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds after which a claim without a pointer is that of a writer that has died.
+STALE = 600.0
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -95,19 +99,25 @@ class SnapshotTable:
         A pointer is a new empty file named by its number and version. Creating it fails if another writer had the
         number first, so of two writers that expect the same version one loses. A crash leaves the pointer before.
         """
-        while True:
-            found = self._pointers()
-            if expected != -1 and (found[-1][1] if found else None) != expected:
+        found = self._pointers()
+        if expected != -1 and (found[-1][1] if found else None) != expected:
+            return False
+        n = found[-1][0] + 1 if found else 1
+        while not self._claimed(n):
+            # A writer that has died leaves a claim without a pointer; one that is at work is about to add it.
+            if expected != -1 and self._age(n) < STALE:
                 return False
-            n = found[-1][0] + 1 if found else 1
-            if [m for m in found if m[0] == n] or not self._claimed(n):
-                if expected != -1:
-                    return False
-                continue
-            self._fs.create(self._path(f"{self.root}/CURRENT-{n}-{version}"), True).close()
-            for old, v in found[:-1]:  # the one before stays for readers that listed it
-                self._fs.delete(self._path(f"{self.root}/CURRENT-{old}-{v}"), False)
-            return True
+            n += 1
+        if expected != -1 and (now := self._pointers()) and now[-1][1] != expected:
+            return False
+        self._fs.create(self._path(f"{self.root}/CURRENT-{n}-{version}"), True).close()
+        for old, v in found[:-1]:  # the one before stays for readers that listed it
+            self._fs.delete(self._path(f"{self.root}/CURRENT-{old}-{v}"), False)
+        return True
+
+    def _age(self, n: int) -> float:
+        """Seconds since a number was claimed."""
+        return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/.claim-{n}")).getModificationTime() / 1000
 
     def _claimed(self, n: int) -> bool:
         """Whether this writer is the first to claim a pointer's number."""
