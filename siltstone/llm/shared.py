@@ -8,11 +8,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java and RE2 character class; the complement forms words.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,13 @@ class Stored:
     def __init__(self, df: DataFrame, *partition_by: str):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/t-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(self.path)
+        # Once the table is written nobody needs the shuffle files that led to it.
+        before = spark.conf.get(_CLEAN, "false")
+        spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(self.path)
+        finally:
+            spark.conf.set(_CLEAN, before)
         self.df = spark.read.schema(df.schema).parquet(self.path).select(*[F.col(f"`{c}`") for c in df.columns])
         if _scopes:
             _scopes[-1].append(self)
@@ -65,6 +73,26 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return Stored(df, *partition_by).df
 
 
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of an array, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def deltas(a: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as their differences, byte by byte, compressed."""
+    d = np.diff(a, prepend=np.uint64(0)).astype(np.uint64)
+    return pack(d.view(np.uint8).reshape(-1, 8).T)
+
+
+def undeltas(b: bytes) -> np.ndarray:
+    raw = unpack(b, np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
