@@ -5,13 +5,14 @@ bigrams and trigrams and the languages whose lexicon has it; transitions between
 so passages of several languages in one text are told apart. Forward-backward gives each word a distribution over
 labels; a text is given the language with the largest mean, and that mean as its score.
 
-The model learns from a bounded sample of labelled rows: at most PER_LANG rows of each of the MAX_LANGS most frequent languages, of
-at most MAX_CHARS characters, chosen by a hash of doc_id. Training chains join passages of texts of several languages, as
+The model learns from a bounded sample of labelled rows: at most PER_LANG rows of each language, chosen by a hash of doc_id, those of more
+than MAX_CHARS characters only where a language has too few others, and then whole. Training chains join passages of texts of several languages, as
 code-switched text does. Training runs in numpy on the driver; the model (fixed table sizes) is broadcast. Only text
 enters a prediction.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row everything is
-`und`. Rows whose label is null or whose doc_id is null are not learned from.
+`und`. Rows whose label is null or whose doc_id is null are not learned from. Languages of equal mean are taken in the order of
+their names. Repeated rows each give a row. A text of any length is one chain; memory is in proportion to the longest text of a batch.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 PER_LANG = 150
-MAX_LANGS = 64
 MAX_CHARS = 50_000
+SHARES = 10_000
 SIZE = 1 << 16
 CHAIN = 32
 STEPS = 60
@@ -142,6 +143,18 @@ class Tagger:
     def emissions(self, vocabulary: list[str]) -> np.ndarray:
         return Features(vocabulary).emissions(self.weights) + self.lexical[self.known(vocabulary)]
 
+    def passages(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(start, end, label) of the runs of words of one label in a code-switched text, in characters, ends exclusive."""
+        at = [m.span() for m in _LETTERS.finditer((text or "").lower())] if split_words(text) else []
+        if not at or not self.labels:
+            return []
+        ids: dict[str, int] = {}
+        tokens = np.array([ids.setdefault(x, len(ids)) for x in split_words(text)])
+        p, _ = posteriors(self.emissions(list(ids)).astype(np.float64)[tokens], self.transition, np.array([len(tokens)]))
+        best = p.argmax(axis=1)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1, [len(best)]])
+        return [(at[a][0], at[b - 1][1], self.labels[int(best[a])]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Label and score of each text."""
         labels, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -223,15 +236,14 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 3) -
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(text, lang) of the bounded sample that a model learns from; docs has doc_id, text and lang."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    some = some.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= MAX_CHARS))
-    top = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not top:
-        return some.select("text", "lang").limit(0)
-    # About twice the rows that are kept pass a threshold on the hash; a rank picks among them.
-    share = F.create_map(*[F.lit(x) for r in top for x in (r.lang, min(1.0, (2 * per_lang + 50) / r["count"]))])
+    some = some.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("long", F.length("text") > MAX_CHARS)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = some.withColumn("draw", draw).where(F.col("lang").isin([r.lang for r in top])).where(F.col("draw") <= share[F.col("lang")])
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    # About twice the rows that are kept pass a threshold on the hash; a rank picks among them. A language of few rows keeps all.
+    share = some.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_lang + 50) / F.greatest(F.count_if(~F.col("long")), F.lit(1))).alias("share"))
+    # Shares travel to the rows, so no text is shuffled before it is drawn; languages beyond the first SHARES have few rows and keep all.
+    shares = F.broadcast(share.where("share < 1").orderBy("share", "lang").limit(SHARES))
+    near = some.withColumn("draw", draw).join(shares, "lang", "left").where(F.col("draw") <= F.coalesce("share", F.lit(1.0)))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("long", "draw", "doc_id", "text"))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("text", "lang")
 
 
