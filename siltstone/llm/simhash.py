@@ -138,9 +138,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, til
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, and of the texts of that id the one of the smallest fingerprint. Rows without an id stay."""
-    found = _grouped(docs, shingle, radius, TILE).where("doc_id = component_id")
-    first = found.groupBy("group", "doc_id").agg(F.min(F.struct("fp", "th")).alias("low")).select(F.col("doc_id").alias("kept_id"), F.col("low.th").alias("kept_th"))
-    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("doc_id").cast("long").alias("id"))
-    kept = marked.join(first, (F.col("id") == F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi").dropDuplicates(["id", "th"])
-    return kept.select("row.*").union(docs.where("doc_id is null"))
+    """docs with one row of each component: that of its smallest doc_id, and of the texts of that id the one of the smallest fingerprint.
+
+    Rows without an id give way to those that have one; of a component of such rows alone one stays.
+    """
+    found = _grouped(docs, shingle, radius, TILE).where("doc_id = component_id or component_id is null")
+    first = found.groupBy("group", "doc_id").agg(F.min(F.struct("fp", "th")).alias("low")).select(F.col("doc_id").alias("kept_id"), F.coalesce("low.th", F.lit(0)).alias("kept_th"))
+    th = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
+    marked = docs.select(F.struct("*").alias("row"), th.alias("th"), F.col("doc_id").cast("long").alias("id"))
+    kept = marked.join(first, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi").dropDuplicates(["id", "th"])
+    return kept.select("row.*")

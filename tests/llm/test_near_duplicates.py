@@ -68,11 +68,18 @@ def test_simhash_against_brute_force(spark):
     check(spark, rows, tile=4)  # many tiles
 
 
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    t, u, v = "some words of a text that is here twice", "quite another text about other things here", "the third of the texts has nothing of the others"
+    docs = spark.createDataFrame([(3, t), (5, t), (5, u), (None, v), (None, v), (None, u), (9, None), (8, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(3, t), (5, u), (None, v), (8, "")], key=repr)
+
+
 def test_simhash_empty_table_and_keep_one(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     t = "some words of a text that is here twice"
     docs = spark.createDataFrame([(3, t, "x"), (1, t, "y"), (1, t, "y"), (7, "quite another text about other things", "z"), (None, t, "n")], "doc_id long, text string, fp string")
-    assert sorted([r.doc_id for r in simhash.keep_one(docs).collect()], key=repr) == [1, 7, None]
+    assert sorted([r.doc_id for r in simhash.keep_one(docs).collect()], key=repr) == [1, 7]  # a copy without an id gives way to those that have one
 
 
 def test_components_of_a_long_chain(spark):
