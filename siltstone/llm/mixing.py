@@ -11,7 +11,8 @@ Only histograms meet in one task: lengths of one source, and up to 256 hash buck
 within a bucket of a length, so a length that holds a third of all rows is spread as well. Nothing reaches the driver.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows are
-documents of their own; rows with a null doc_id share one hash bucket.
+documents of their own, and where id and text are equal it does not matter which is taken. Documents are drawn by a hash of id and text, so rows
+without an id are spread as well. Texts may be of any length: lengths are numbers here. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def _fit_source(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """row (all columns of docs), size, source_size, target and copies for each row of docs."""
     key = docs.select(F.struct("*").alias("row")).withColumn("size", word_count(F.col("row.text").cast("string"))).withColumn("skey", source_key(F.col("row.source").cast("string")))
-    h = F.xxhash64(F.col("row.doc_id").cast("long"), F.lit(seed))
+    h = F.xxhash64(F.col("row.doc_id").cast("long"), F.lit(seed), F.xxhash64(F.col("row.text").cast("string")))
     dealt = key.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     counts = stored(dealt.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     sizes = counts.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
