@@ -12,8 +12,9 @@ map from the state it is entered in to the state it is left in and a count. The
 where a chunk is entered in another state than the one it was run from, its head is run again until both runs agree
 in state, which a word mark or line end after a word forces; from there on the counts are shared.
 
-Defined cases: a null text is empty and has no tokens; special strings are ordinary text. The transducer's table is
-dropped and compiled anew when it holds MAX_STATES states, so memory is bounded whatever the texts are.
+Defined cases: a null text is empty and has no tokens; special strings are ordinary text; repeated rows and rows without an id each
+give a row; an empty table gives none. The transducer's table is dropped and compiled anew when it holds MAX_STATES states, which is looked at
+before each AT_ONCE characters, so it holds the states of so many more at most, or of one text that is longer.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 MAX_STATES = 200_000
 CHUNK = 512
+#: Characters of texts that run at once; as many states can be new in them at most, and pairs of tokens that are remembered.
+AT_ONCE, PAIRS = 1 << 20, 1 << 18
 UNSEEN = 0xFFFF
 #: Fixed values of the model format: the word mark, the run of marks that is one piece at most, kinds of pieces.
 MARK = "▁"
@@ -89,6 +92,8 @@ class Vocabulary:
         """Whether a and b in a row are an encoding."""
         got = self._parted.get((a, b))
         if got is None:
+            if len(self._parted) >= PAIRS:
+                self._parted.clear()
             got = self._parted[a, b] = self.encode(a + b) == [a, b]
         return got
 
@@ -182,6 +187,15 @@ class Transducer:
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Number of tokens of each text."""
+        ends = np.cumsum([len(t or "") for t in texts]) if texts else np.empty(0, np.int64)
+        out, lo = [np.empty(0, np.int64)], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            out.append(self._count(texts[lo:hi]))
+            lo = hi
+        return np.concatenate(out)
+
+    def _count(self, texts: list[str | None]) -> np.ndarray:
         if len(self.states) > MAX_STATES:
             self._clear()
         texts = [t or "" for t in texts]
