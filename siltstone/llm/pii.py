@@ -91,7 +91,10 @@ def matches(text: Column, pattern: str, kind: str, ask: Column, test) -> Column:
             block = (i / BLOCK).cast("int")
             gap = F.get(s["g"], i)
             start = total(F.slice(s["b"], 1, block)) + total(F.slice(s["l"], block * BLOCK + 1, i % BLOCK)) + F.length(gap)
-            left = F.element_at(F.split(F.lower(F.rtrim(F.regexp_replace(F.substring(gap, -40, 40), r"[\x09-\x0D]", " "))), " "), -1)
+            # The last word, mostly within forty characters; the whole gap is looked at only where these hold no beginning of it.
+            near = F.rtrim(F.regexp_replace(F.right(gap, F.lit(40)), r"[\x09-\x0D]", " "))
+            short = near.contains(" ") | (F.length(gap) <= 40)
+            left = F.lower(F.substring_index(F.when(short, near).otherwise(F.rtrim(F.regexp_replace(gap, r"[\x09-\x0D]", " "))), " ", -1))
             return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(x)).alias("end"), left.alias("left"), F.xxhash64(F.lower(x)).alias("inst"), test(x).alias("ok"))
 
         return F.transform(F.filter(F.transform(s["m"], one), lambda e: e["ok"]), lambda e: F.struct(*[e[f] for f in ("start", "kind", "end", "left", "inst")]))
