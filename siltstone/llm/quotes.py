@@ -3,8 +3,9 @@
 Each line has a quote level, the number of `>` marks at its start. Quoted lines are normalised (lower case, white space as
 one space) and hashed, and joined to the lines of level 0 that earlier messages of the conversation say: the source of a
 quoted line is the latest earlier message with that line. A message replies to the message that most of its
-level-1 lines come from (on a tie, the latest). Its thread is the message at the root of its chain of replies. Conversations come back without
-quotes and without the lines that announce them, in the order (conv_id, thread, turn): a reply stands in the thread
+level-1 lines come from (on a tie, the latest); where none of these is known, as their source is lost or they were changed, the next
+level counts, whose source stands above it in the same thread. Its thread is the message at the root of its chain of replies. Conversations come back without
+quotes and without the lines that announce them, sorted by (conv_id, thread, turn): a reply stands in the thread
 of what it answers.
 
 The source is found by windows over (conversation, line, block of SPAN turns) and over the blocks' last sources, never by pairing what is
@@ -85,8 +86,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """row (all columns), conv_id, turn, n_quoted, n_linked, reply_to, thread and clean for each row of messages."""
     base = messages.select(F.struct("*").alias("row")).select("row", F.col("row.conv_id").cast("long").alias("conv_id"), F.col("row.turn").cast("long").alias("turn"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
     found = stored(sources(base.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")))
-    votes = found.where("k = 1 and source is not null").groupBy("conv_id", "turn", "source").agg(F.count(F.lit(1)).alias("n"))
-    reply = stored(votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to")))
+    votes = found.where("source is not null").groupBy("conv_id", "turn", "k", "source").agg(F.count(F.lit(1)).alias("n"))
+    reply = stored(votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("k")).alias("outer"), "n", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to")))
     counts = found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"))
     links = stored(counts.join(reply, ["conv_id", "turn"], "left").join(roots(reply), ["conv_id", "turn"], "left"))
     zero = F.lit(0).cast("long")
@@ -97,4 +98,4 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, thread, turn, role, reply_to, n_quoted, n_linked and text (without quotes); its order is (conv_id, thread, turn)."""
     m = link_quotes(messages)
-    return m.select("conv_id", "thread", "turn", F.col("row.role").cast("string").alias("role"), "reply_to", "n_quoted", "n_linked", F.col("clean").alias("text"))
+    return m.select("conv_id", "thread", "turn", F.col("row.role").cast("string").alias("role"), "reply_to", "n_quoted", "n_linked", F.col("clean").alias("text")).orderBy("conv_id", "thread", "turn")

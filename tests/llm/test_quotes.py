@@ -1,5 +1,7 @@
 """Quotation linking on small conversations."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from siltstone.llm import quotes
@@ -55,3 +57,55 @@ def test_texts_without_quotes_stay(spark, data):
 
 def test_empty_table(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def plain(messages):
+    """reply_to, thread and counts of {turn: text} by their definitions."""
+    import re
+    from collections import Counter
+
+    said, out = {}, {}
+    for turn in sorted(messages):
+        lines = [(lambda m: (m.count(">"), " ".join(x[len(m) :].lower().split())))(re.match(r"^(?:[ \t]{0,3}>)*", x).group()) for x in messages[turn].split("\n")]
+        quoted = [(k, t) for k, t in lines if k > 0 and t]
+        links = [(k, said[t]) for k, t in quoted if t in said]
+        reply = None
+        if links:
+            outer = min(k for k, _ in links)
+            reply = max((n, s) for s, n in Counter(s for k, s in links if k == outer).items())[1]
+        out[turn] = (reply, out[reply][1] if reply is not None else turn, len(quoted), len(links))
+        for k, t in lines:
+            if k == 0:
+                said[t] = turn
+    return out
+
+
+def test_nested_quotes_against_a_plain_walk(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for conv in range(12):
+        texts = {}
+        for turn in range(rng.randint(3, 14)):
+            own = [f"line {rng.randint(0, 6)} of {rng.randint(0, 3)}" for _ in range(rng.randint(1, 3))]
+            before = []
+            if texts and rng.random() < 0.8:
+                of = texts[rng.choice(sorted(texts))].split("\n")
+                before = [("> " if rng.random() < 0.5 else ">") + x for x in of if rng.random() < 0.8]
+                before = [x.replace("line", "changed") if rng.random() < 0.2 else x for x in before]
+            texts[turn] = "\n".join(before + own if rng.random() < 0.5 else own + before)
+            rows.append((conv, turn, "user", texts[turn]))
+        want |= {(conv, t): v for t, v in plain(texts).items()}
+    rng.shuffle(rows)
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.thread, r.n_quoted, r.n_linked) for r in got} == want
+    assert [(r.conv_id, r.thread, r.turn) for r in got] == sorted((r.conv_id, r.thread, r.turn) for r in got)
+    assert not any(line.startswith(">") for r in got for line in r.text.split("\n"))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, 0, "a", "hello there", "x"), (1, 1, "b", "> hello there\nyes", "y"), (1, 1, "b", "> hello there\nyes", "y"), (None, 2, "c", "> hello there", "z"), (1, None, "c", None, "z")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, thread string")
+    got = quotes.conversations(docs).collect()
+    assert len(got) == 5 and sorted((r.turn, r.thread) for r in got if r.conv_id == 1 and r.turn is not None) == [(0, 0), (1, 0), (1, 0)]
+    assert {r["row"].thread for r in quotes.link_quotes(docs).collect()} == {"x", "y", "z"}
+    assert quotes.conversations(docs.limit(0)).collect() == []
