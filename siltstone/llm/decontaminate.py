@@ -5,17 +5,21 @@ of `size` consecutive item words (a shorter item is one window) is a pattern tha
 matches whole words only. One automaton over all patterns reads each text once; matches are mapped to word positions
 and back to code point offsets in the original text.
 
-The patterns are broadcast in shards of a checked size (SHARD bytes of pattern text, about 50 bytes of automaton
-each). A benchmark beyond one shard is scanned shard after shard within each batch, one automaton in memory at a time.
+The automaton is made of patterns of a checked size (SHARD bytes of pattern text, about 50 bytes of automaton each), which alone
+are broadcast. A benchmark beyond that is dealt by the hash of its windows into as many parts as it takes, and the texts are
+scanned part after part; what was found so far stands beside the text in a table, so neither the driver nor a worker ever
+holds more than one part.
 
 Defined cases: a null text has no words; an item without words has no window; an item with a null id hits words but is
-not counted or named; repeated items count once. items_sha256 of no items is that of the empty string.
+not counted or named; repeated items count once; repeated rows each give a row. items_sha256 of no items is that of the empty string. An
+empty table gives none. Texts may be of any length; a text is scanned whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -53,60 +57,62 @@ def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 class Scanner:
-    """Scans texts; made on the driver, its shards travel as broadcasts of at most SHARD bytes of patterns each."""
-
-    def __init__(self, benchmark: DataFrame, size: int = SIZE, shard: int = SHARD):
-        spark = benchmark.sparkSession
-        wins = stored(windows(benchmark, size))
-        total = wins.agg(F.sum(F.octet_length("win") + 2)).first()[0] or 0
-        n = max(1, -(-int(1.2 * total) // shard))
-        self.shards = []
-        for k in range(n):
-            own = wins if n == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(n)) == k)
-            by: dict[bytes, list[str]] = {}
-            for r in own.toLocalIterator():
-                by.setdefault(bytes(r.win), []).append(r.item)
-            self.shards.append(spark.sparkContext.broadcast(by))
-        self._auto = None
+    """Scans texts for the windows of one part of a benchmark; the part travels as a broadcast of at most about SHARD bytes."""
+
+    def __init__(self, sent):
+        self.sent, self._auto = sent, None
 
     def __getstate__(self):
-        return {"shards": self.shards, "_auto": None}
-
-    def _automaton(self, k: int):
-        if self._auto and self._auto[0] == k:
-            return self._auto[1]
-        self._auto = None
-        auto = ahocorasick.Automaton()
-        for win, items in self.shards[k].value.items():
-            auto.add_word(f" {win.decode('latin-1')} ", (len(win) + 2, win.count(b" ") + 1, [x for x in items if x is not None]))
-        if len(auto):
-            auto.make_automaton()
-        self._auto = (k, auto)
-        return auto
+        return {"sent": self.sent, "_auto": None}
+
+    def _automaton(self):
+        if self._auto is None:
+            self._auto = ahocorasick.Automaton()
+            for win, items in self.sent.value.items():
+                self._auto.add_word(f" {win.decode('latin-1')} ", (len(win) + 2, win.count(b" ") + 1, [x for x in items if x is not None]))
+            if len(self._auto):
+                self._auto.make_automaton()
+        return self._auto
 
     def scan(self, texts: list[str | None]):
         """For each text: number of words, hit words as an array of flags or None, set of items."""
-        norm = [words(t) for t in texts]
-        counts = [len(w) for w in norm]
-        joined = [f" {b' '.join(w).decode('latin-1')} " for w in norm]
-        del norm
-        hit: dict[int, np.ndarray] = {}
-        items: dict[int, set[str]] = {}
-        for k in range(len(self.shards)):
-            auto = self._automaton(k)
-            if not len(auto):
-                continue
-            for d, s in enumerate(joined):
-                starts = None
-                for end, (chars, n, own) in auto.iter(s):
-                    if starts is None:
-                        starts = np.flatnonzero(np.frombuffer(s.encode("latin-1"), np.uint8) == 0x20)
-                        flags = hit.setdefault(d, np.zeros(counts[d], bool))
-                        found = items.setdefault(d, set())
-                    at = int(np.searchsorted(starts, end - chars + 1))
-                    flags[at : at + n] = True
-                    found.update(own)
-        return [(n, hit.get(d), items.get(d, set())) for d, n in enumerate(counts)]
+        auto, out = self._automaton(), []
+        for t in texts:
+            w = words(t)
+            s, flags, found, starts = f" {b' '.join(w).decode('latin-1')} ", None, set(), None
+            for end, (chars, n, own) in auto.iter(s) if len(auto) else ():
+                if flags is None:
+                    starts = np.flatnonzero(np.frombuffer(s.encode("latin-1"), np.uint8) == 0x20)
+                    flags = np.zeros(len(w), bool)
+                at = int(np.searchsorted(starts, end - chars + 1))
+                flags[at : at + n] = True
+                found.update(own)
+            out.append((len(w), flags, found))
+        return out
+
+
+def scanners(benchmark: DataFrame, size: int = SIZE, shard: int = SHARD) -> Iterator[tuple[Scanner, bool]]:
+    """A scanner for each part of a benchmark, and whether it is the last; a part is let go when the next one is asked for."""
+    spark = benchmark.sparkSession
+    wins = stored(windows(benchmark, size))
+    part = F.pmod(F.xxhash64("win"), F.lit(1 << 20))
+    # Sizes of 2^20 classes at most; runs of classes are cut where they reach the size of a part.
+    sizes = wins.groupBy(part.alias("c")).agg(F.sum(F.octet_length("win") + 2).alias("b")).orderBy("c")
+    cuts, held = [0], 0
+    for r in sizes.toLocalIterator():
+        if held and held + r.b > shard:
+            cuts.append(r.c)
+            held = 0
+        held += r.b
+    cuts.append(1 << 20)
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        by: dict[bytes, list[str]] = {}
+        for r in wins.where((part >= lo) & (part < hi)).toLocalIterator():
+            by.setdefault(bytes(r.win), []).append(r.item)
+        sent = spark.sparkContext.broadcast(by)
+        yield Scanner(sent), k == len(cuts) - 2
+        if k < len(cuts) - 2:
+            sent.unpersist()
 
 
 def spans(text: str, flags: np.ndarray) -> list[dict[str, int]]:
@@ -116,35 +122,70 @@ def spans(text: str, flags: np.ndarray) -> list[dict[str, int]]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
+_STATE = "doc_id long, text string, flags binary, items array<string>"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (offsets in the original text)."""
-    scanner = Scanner(benchmark, size, shard)
     out = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>"
-
-    def run(batches):
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                texts = part.column(1).to_pylist()
-                got = scanner.scan(texts)
-                hits = [0 if f is None else int(f.sum()) for _, f, _ in got]
-                where = [[] if f is None else spans(t, f) for t, (_, f, _) in zip(texts, got, strict=True)]
-                sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in got]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for _, _, i in got], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hits]), pa.array(where, kind)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def found(scanner):
+        """(part, counts, flags, items) of slices of the batches, with what was found before."""
+
+        def run(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, 1000):
+                    part = b.slice(k, 1000)
+                    got = scanner.scan(part.column(1).to_pylist())
+                    before = [None if x is None else np.frombuffer(x, bool) for x in part.column(2).to_pylist()]
+                    flags = [f if o is None else o if f is None else f | o for o, (_, f, _) in zip(before, got, strict=True)]
+                    items = [i | set(o or ()) for o, (_, _, i) in zip(part.column(3).to_pylist(), got, strict=True)]
+                    yield part, [n for n, _, _ in got], flags, items
+
+        return run
+
+    def more(scanner):
+        def run(batches):
+            for part, _, flags, items in found(scanner)(batches):
+                kept = pa.array([None if f is None else f.tobytes() for f in flags], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), kept, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], ["doc_id", "text", "flags", "items"])
+
+        return run
+
+    def last(scanner):
+        def run(batches):
+            for part, counts, flags, items in found(scanner)(batches):
+                hits = [0 if f is None else int(f.sum()) for f in flags]
+                where = [[] if f is None else spans(t, f) for t, f in zip(part.column(1).to_pylist(), flags, strict=True)]
+                sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hits]), pa.array(where, kind)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+
+        return run
+
+    none = [F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("array<string>").alias("items")]
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
+    for scanner, end in scanners(benchmark, size, shard):
+        if end:
+            return state.mapInArrow(last(scanner), out)
+        state = stored(state.mapInArrow(more(scanner), _STATE))
+    raise AssertionError("a benchmark has at least one part")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:
     """The documents, all columns, that no window occurs in."""
-    scanner = Scanner(benchmark, size, shard)
     at = docs.columns.index("text")
 
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                yield part.filter(pa.array([f is None or not f.any() for _, f, _ in scanner.scan(part.column(at).to_pylist())], pa.bool_()))
+    def without(scanner):
+        def run(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, 1000):
+                    part = b.slice(k, 1000)
+                    yield part.filter(pa.array([f is None for _, f, _ in scanner.scan(part.column(at).to_pylist())], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    for scanner, end in scanners(benchmark, size, shard):
+        docs = docs.mapInArrow(without(scanner), docs.schema)
+        docs = docs if end else stored(docs)
+    return docs
