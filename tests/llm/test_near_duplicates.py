@@ -126,3 +126,13 @@ def test_keep_one_of_unrelated_texts_with_one_id(spark):
     a, b = text(), text()
     docs = spark.createDataFrame([(3, a), (3, b), (3, b), (8, a)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(3, a), (3, b)])
+
+
+def test_vectors_of_repeated_and_missing_ids(spark):
+    """Rows of one id are vectors of their own that count each other; without an id a row has no links."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(4, a, "x"), (4, a, "x"), (2, [0.999, 0.01, 0.0], "x"), (None, a, "x"), (7, b, None), (8, b, "y"), (9, None, "y"), (10, [float("nan"), 1.0, 0.0], "y"), (11, [0.0, 0.0, 0.0], "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("n_links", F.lit("clash"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(4, 2, 2, False), (4, 2, 2, False), (2, 2, 2, True), (None, 0, None, False), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True), (11, 0, 11, True)], key=repr)
+    assert vectors.near_vectors(df.limit(0)).collect() == []

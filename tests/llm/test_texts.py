@@ -59,6 +59,26 @@ def test_code_switched_text_and_no_labels(spark, data):
     assert language.identify(docs.limit(0)).collect() == []
 
 
+def test_passages_and_languages_of_few_or_long_texts(spark, data):
+    """A language that only long texts have is learned, and a text of two languages is cut where they meet."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    own = next(k for k in range(90000, 90100) if zlib.crc32(str(k).encode()) % 5)
+    long = docs.where("lang = 'fr'").agg(F.repeat(F.concat_ws(" ", F.collect_list("text")), F.lit(4)).alias("text")).select(F.lit(own).cast("long").alias("doc_id"), "text", F.lit("fr").alias("lang"))
+    m = language.train(docs.where("lang <> 'fr'").union(long))
+    assert m.labels == ["de", "en", "es", "fr"]
+    de, en = (docs.where(f"lang = '{x}' and length(text) > 800").first().text[:300] for x in ("de", "en"))
+    runs = m.passages(de + " " + en)
+    assert runs[0][2] == "de" and runs[-1][2] == "en" and runs[0][0] < 20 and runs[-1][1] <= len(de) + len(en) + 1
+    assert m.passages(None) == [] and m.passages("12 !") == []
+
+
+def test_token_counts_of_no_rows_repeated_rows_and_missing_ids(spark):
+    content = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None)], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    assert sorted(((r.doc_id, r.n_tokens) for r in transducer.token_counts(docs, content).collect()), key=repr) == sorted([(1, 2), (1, 2), (None, 2), (2, 0)], key=repr)
+    assert transducer.token_counts(docs.limit(0), content).collect() == []
+
+
 def test_token_counts_equal_the_library(spark, data):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
