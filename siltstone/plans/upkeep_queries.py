@@ -16,6 +16,7 @@ from siltstone.plans.registered import query
 from siltstone.session import table
 from siltstone.sources import extract, files, protocol, registry, sinks, tables
 from siltstone.sources.snapshots import SnapshotTable, shared_folder
+from siltstone.streaming import index as streams
 
 NOW = 1706659200.0
 
@@ -364,6 +365,20 @@ def completed_requests(spark, d):
     return upkeep.completed(q, q.where(F.col("target").cast("long") % 2 == 0).withColumn("revision", F.lit(2))).select("source", "target")
 
 
+@query("SELECT event_type AS target, count(*) AS revision FROM events GROUP BY 1")
+def queue_drain(spark, d):
+    """Requests of a stream, coalesced by target and handed on; the checkpoint says what is done, so a second drain hands on nothing."""
+    root = shared_folder(spark)
+    target = SnapshotTable(spark, f"{root}/handed")
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    requests = src.select(F.lit("t").alias("table_name"), F.lit("s").alias("source"), F.col("event_type").alias("target"), F.col("ts").alias("created_at"), F.lit(False).alias("force"))
+    for _ in range(2):
+        q = streams.drain_requests(requests, target.replace, f"{root}/state")
+        q.awaitTermination()
+    assert target.versions() == [1] and sum(p["rows"] for p in streams.progress(q)) == 0
+    return target.read().select("target", "revision")
+
+
 @query("SELECT doc_id::VARCHAR AS target, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 + 1 = 1 THEN 1 ELSE 0 END AS attempts, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 + 1 = 1 THEN 'boom' END AS last_error FROM documents")
 def failed_requests(spark, d):
     q = _queue(spark, d)

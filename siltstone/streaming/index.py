@@ -13,7 +13,13 @@ from siltstone.operators.incremental import latest_requests
 from siltstone.sources.snapshots import SnapshotTable
 
 
-def upsert_stream(records: DataFrame, target: SnapshotTable, checkpoint: str, key: str = "doc_id", order: str = "mtime") -> StreamingQuery:
+def started(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Starts a stream: what is there now, or again and again after so long ("30 seconds"), never two runs at once."""
+    out = writer.option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def upsert_stream(records: DataFrame, target: SnapshotTable, checkpoint: str, key: str = "doc_id", order: str = "mtime", every: str | None = None) -> StreamingQuery:
     """Drains a stream of records into a table: of a key the newest record of a batch counts, and an older one than is stored is ignored.
 
     A batch that is run again after a failure gives the same table.
@@ -27,12 +33,12 @@ def upsert_stream(records: DataFrame, target: SnapshotTable, checkpoint: str, ke
         if newest.limit(1).count():
             target.upsert(newest, key)
 
-    return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(records.writeStream.foreachBatch(apply), checkpoint, every)
 
 
-def drain_requests(requests: DataFrame, work: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+def drain_requests(requests: DataFrame, work: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Requests of each batch, coalesced by target, handed to `work`; the checkpoint is the queue's durable state."""
-    return requests.writeStream.foreachBatch(lambda df, _: work(latest_requests(df))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(requests.writeStream.foreachBatch(lambda df, _: work(latest_requests(df))), checkpoint, every)
 
 
 def distinct_events(events: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
@@ -49,7 +55,7 @@ def window_counts(events: DataFrame, time: str, size: str, by: str, slide: str |
 
 def complete_stream(result: DataFrame, target: SnapshotTable, checkpoint: str) -> StreamingQuery:
     """Drains a streaming aggregation into a table that always holds its whole result."""
-    return result.writeStream.outputMode("complete").foreachBatch(lambda df, _: target.replace(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(result.writeStream.outputMode("complete").foreachBatch(lambda df, _: target.replace(df)), checkpoint)
 
 
 def merged_retries(state: DataFrame | None, outcomes: DataFrame, key: str = "doc_id", cap: int = 12) -> DataFrame:
@@ -77,7 +83,7 @@ def retry_stream(outcomes: DataFrame, target: SnapshotTable, checkpoint: str, ke
     def apply(batch: DataFrame, _: int) -> None:
         target.replace(merged_retries(None if target.current() is None else target.read(), batch, key, cap))
 
-    return outcomes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(outcomes.writeStream.foreachBatch(apply), checkpoint)
 
 
 def progress(query: StreamingQuery) -> list[dict]:
