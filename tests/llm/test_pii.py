@@ -1,9 +1,11 @@
 """Personal data: base spans against plain Python, learned spans in a small corpus."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
-from siltstone.llm import pii
+from siltstone.llm import pii, shared
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -87,3 +89,72 @@ def test_learned_identifiers_induce_patterns_of_their_own(spark):
     rows = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
     assert all(rows[40 + k].startswith("email:9:") for k in range(4))
     assert all(rows[44 + k].startswith("email:7:") for k in range(5))
+
+
+def plain_trusted(found, texts):
+    """(kind, left, inst) to add, by the definitions, from the spans of each text."""
+    edges, words = {}, Counter()
+    for r in found:
+        for spans, seed in ((r.base, 1.0), (r.loose, 0.0)):
+            for s in spans:
+                if s.left:
+                    e = edges.setdefault((s.kind, s.left, s.inst), [0.0, 0])
+                    e[0], e[1] = max(e[0], seed), e[1] + 1
+    for t in texts:
+        words.update(re.split(r"[\x09-\x0D\x20]+", (t or "").lower()))
+    patterns = {}
+    for (kind, left, inst), (seed, n) in edges.items():
+        patterns.setdefault((kind, left), []).append((inst, seed, n))
+    kept = {}
+    for p, own in patterns.items():
+        specific = min(1.0, sum(n for _, _, n in own) / words[p[1]]) if words[p[1]] else 0.0
+        if any(seed < 1 for _, seed, _ in own) and specific >= pii.CONFIDENCE:
+            kept[p] = specific
+    score = {}
+    for (kind, left), own in patterns.items():
+        for inst, seed, _ in own if (kind, left) in kept else ():
+            score[kind, inst] = max(score.get((kind, inst), 0.0), seed)
+    fixed, before = dict(score), None
+    while True:
+        sure = {}
+        for p, specific in kept.items():
+            have = [score[p[0], inst] for inst, _, _ in patterns[p]]
+            if sum(x >= pii.SCORE for x in have) >= pii.SUPPORT:
+                sure[p] = specific * sum(have) / len(have)
+        new = {}
+        for kind, inst in score:
+            doubt = 1.0
+            for p, conf in sure.items():
+                if p[0] == kind and any(i == inst for i, _, _ in patterns[p]):
+                    doubt *= 1 - min(conf, 0.999999)
+            new[kind, inst] = max(fixed[kind, inst], 1 - doubt)
+        rise, now = max((new[k] - score[k] for k in new), default=0.0), (len(sure), sum(x >= pii.SCORE for x in new.values()))
+        score = new
+        if now == before and rise < pii.RISE:
+            break
+        before = now
+    return {(k, left, inst) for (k, left), own in patterns.items() if sure.get((k, left), 0) >= pii.CONFIDENCE for inst, seed, _ in own if seed == 0 and score[k, inst] >= pii.SCORE}
+
+
+def test_scores_of_patterns_against_plain_code(spark):
+    rng = random.Random(21)
+    leads = ["mail:", "reach", "contact", "see", "x" * 60, "at", "box:", "from\t"]
+    texts = []
+    for _ in range(150):
+        said = []
+        for _ in range(rng.randint(1, 3)):
+            name, lead = f"user{rng.randint(0, 14)}", rng.choice(leads[: rng.choice([2, 5, 8])])
+            shown = f"{name}@host.org" if rng.random() < (0.6 if lead in leads[:2] else 0.15) else f"{name} (at) host (dot) org"
+            said.append(f"{rng.choice(['please', 'now see', 'or'])} {lead} {shown}" if rng.random() < 0.85 else f"{lead} nothing at all")
+        texts.append("; ".join(said))
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    found = shared.stored(pii.found_spans(docs))
+    got = {(r.kind, r.left, r.inst) for r in pii.trusted(found, docs).distinct().collect()}
+    want = plain_trusted(found.collect(), texts)
+    assert got == want and len({left for _, left, _ in want}) > 2
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    t = "write to me@host.org"
+    got = pii.personal_data(spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == sorted([(1, "email:9:20"), (1, "email:9:20"), (None, "email:9:20")], key=repr)
