@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, mixing, transducer
+from siltstone.llm import decontaminate, language, mixing, shared, transducer
 
 ODD = [None, "", "  ", "a", "\n", "a\tb  c   d", "▁x y", "éÉ　x\x00y<s></s><unk> <0x0A>", " lead", "trail ", " " * 40 + "x" + " " * 17 + "①" + " " * 15, "日本語 текст", "x" * 3000, "①" * 700, "ab " * 2000, "1234 😀 5"]
 
@@ -211,3 +212,23 @@ def test_pipeline_stages(spark, data):
             assert set(b) == {d for d, t in a.items() if brute_hits(t, bench)[1] == 0}
         docs = spark.createDataFrame(out.toPandas(), out.schema) if k < 4 else docs
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, data):
+    """Nulls in every column, repeated and missing ids, empty and very long texts and clashing names go through all stages; an empty table too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 40")
+    some = docs.where("lang = 'en' and length(text) > 300").select("text").limit(2).collect()
+    odd = [(None, some[0].text, "en", "src1", 1), (3, some[1].text, "en", None, None), (3, some[1].text, "en", None, None), (3, "der die das und nicht eine ganz andere Sache in diesem Text", None, "src2", 5), (None, None, None, None, None), (900, "", "en", "src1", 0), (901, "12 !! 34", "en", "src1", 8), (902, (some[0].text + " ") * 60, "en", "src3", 9)]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    both = both.withColumns({c: F.lit(c) for c in ("row", "key", "size", "th", "copies", "drop", "mix_copies", "label")})
+    for start in (both, both.limit(0)):
+        now = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = shared.stored(stage(spark, now, data))
+            assert out.columns[: len(both.columns)] == both.columns or k == len(corpus_pipeline.STAGES) - 1, name
+            now = out
+        rows = now.collect()
+        assert not any(r.text is None or not r.text.strip() for r in rows)
+        assert len({(r.doc_id, r.text) for r in rows}) == len(rows)
+    first = shared.stored(corpus_pipeline.STAGES[0][1](spark, both, data))
+    assert not {900, 901} & {r.doc_id for r in first.collect()}
