@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, katz, language, lines, merkle, mixing, pii, quotes, simhash, transducer, vectors
+from siltstone.llm import decontaminate, katz, language, lines, merkle, mixing, ordermin, pii, quotes, simhash, transducer, vectors
 from siltstone.session import table
 
 
@@ -51,11 +51,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.order_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.lookup_proofs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing, op13_merkle_proofs)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing, op11_order_minhash, op13_merkle_proofs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
