@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, katz, language, lines, merkle, mixing, ordermin, pii, quotes, simhash, transducer, vectors
+from siltstone.llm import decontaminate, divergence, katz, language, lines, merkle, mixing, ordermin, pii, quotes, simhash, transducer, vectors
 from siltstone.session import table
 
 
@@ -55,11 +55,15 @@ def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.order_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.lookup_proofs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing, op11_order_minhash, op13_merkle_proofs)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_token_counts, op4_benchmark_decontamination, op5_personal_data, op6_line_dedup, op7_quotation_linking, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_mixing, op11_order_minhash, op12_source_divergence, op13_merkle_proofs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -102,6 +106,19 @@ FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id)""",
 p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), n AS (SELECT x, count(*) AS n FROM p GROUP BY 1), c AS (SELECT x, min(y) AS c FROM r GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "op12_source_divergence": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY 1, 2, 3), lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+s AS (SELECT lang, count(*) AS v FROM v GROUP BY 1), g AS (SELECT DISTINCT lang, source FROM d), t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.n, 0) + s.v) AS p
+FROM g JOIN v USING (lang) JOIN s USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lc.n + 1)) // (sum(lc.n) OVER (PARTITION BY lang) + s.v) AS q FROM lc JOIN s USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 200""",
     # Eight levels hold 16 million rows a language, four hold 4,096 languages.
     "op13_merkle_proofs": f"""WITH d AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_LOW)} ELSE {_leaf("text")} END AS other FROM documents),
 t AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY lang),
