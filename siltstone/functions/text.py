@@ -21,6 +21,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def query_tokens(query: str, distinct: bool = True) -> list[str]:
+    """The tokens of a query, as tokens() makes them of texts."""
+    found = "".join(c if c.isalnum() else " " for c in query.lower()).split()
+    return list(dict.fromkeys(found)) if distinct else found
+
+
 def source_type(ext: Column) -> Column:
     """Canonical type of a file extension, with or without its dot."""
     e = F.lower(F.ltrim(F.coalesce(ext, F.lit("")), F.lit(".")))

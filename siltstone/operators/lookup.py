@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siltstone.functions.text import clip, key_facts, phone_keys
-from siltstone.operators.search import _python_tokens
+from siltstone.functions.text import query_tokens
 
 #: Words that ask for a call, words that are no evidence, thresholds of shared words.
 CALL_WORDS = "call called calling calls callback phone voicemail vm missed ring rang dial dialed message messages text texted sms hangup".split()
@@ -17,7 +17,7 @@ LEAST_SHARE, LEAST_WORDS, STRONG_SHARE = 0.34, 2, 0.6
 
 def question(query: str) -> dict:
     """Telling words, whether a call is asked for, and phone numbers of a query."""
-    words = [w for w in _python_tokens(query) if w.isascii()]
+    words = [w for w in query_tokens(query, distinct=False) if w.isascii()]
     digits, runs, run = [], [], ""
     for c in f"{query}\n":
         if c.isdigit() or c in "+ ().-" and run:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siltstone.functions.text import tokens
+from siltstone.functions.text import query_tokens, tokens
+from siltstone.operators.postings import term_rows
 
 RRF_K = 60
 #: Words that ask for a medium, and the source type they ask for.
@@ -25,6 +26,11 @@ MEDIA_WORDS = {
 }
 
 
+Rerank = Callable[[str, Column], Column]
+#: (query, k, condition) -> (key, score), best first.
+Keyword = Callable[[str, int, Column | None], DataFrame]
+
+
 def nearest(df: DataFrame, query: Sequence[float], k: int = 50, metric: str = "cosine", vector: str = "vector", key: str = "id") -> DataFrame:
     """(key, score) of the k rows nearest to a query vector, filters being applied before.
 
@@ -69,7 +75,7 @@ def bm25(df: DataFrame, query: str, k: int = 50, key: str = "id", text: str = "t
     The statistics are one row of as many numbers as the query has terms, broadcast back to the texts, which are
     scored where they are read: no posting is shuffled.
     """
-    terms = list(dict.fromkeys(x for x in _python_tokens(query)))
+    terms = query_tokens(query)
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
     stats = term_statistics(df, terms, text).first()
@@ -85,69 +91,10 @@ def bm25(df: DataFrame, query: str, k: int = 50, key: str = "id", text: str = "t
     return hit.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def counted_terms(text: Column) -> Column:
-    """The different terms of a text as an array of (term, tf), counted within its row."""
-    # Of sorted tokens each run is one term; its length is how far its first place is from the next run's.
-    runs = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1) != x), i)), lambda i: i.isNotNull())
-    counted = lambda s: F.transform(s["r"], lambda p, k: F.struct(F.get(s["a"], p).alias("term"), (F.coalesce(F.get(s["r"], k + 1), F.size(s["a"])) - p).alias("tf")))
-    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
-    return let(F.sort_array(tokens(text)), lambda a: let(F.struct(a.alias("a"), runs(a).alias("r")), counted))
-
-
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, cf): texts that hold each term, and how often they do. A text is counted in its own row, so terms are shuffled once, and combined before."""
-    return df.select(F.explode_outer(counted_terms(F.col(text))).alias("e")).where("e is not null").groupBy("e.term").agg(F.count(F.lit(1)).alias("df"), F.sum("e.tf").alias("cf"))
-
-
-#: Parts of a postings table; a query reads those of its terms.
-POSTING_PARTS = 32
-
-
-def postings(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(part, term, key, tf, dl): the terms of each text with its length, to be stored by part; made when texts are indexed."""
-    # What stands beside an explode in one select is computed for every row it makes.
-    each = df.select(key, F.size(tokens(F.col(text))).alias("dl"), counted_terms(F.col(text)).alias("t"))
-    rows = each.select(key, "dl", F.explode_outer("t").alias("e")).where("e is not null")
-    part = F.pmod(F.xxhash64("e.term"), F.lit(POSTING_PARTS)).cast("int")
-    return rows.select(part.alias("part"), "e.term", key, "e.tf", "dl")
-
-
-def write_postings(df: DataFrame, path: str, key: str = "id", text: str = "text") -> None:
-    """Stores postings by part, sorted by term within, and beside them how many texts and tokens there are."""
-    spread = postings(df, key, text).repartition("part").sortWithinPartitions("part", "term", key)
-    spread.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size(tokens(F.col(text))), F.lit(0))).alias("total"))
-    size.coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
-
-
-def bm25_stored(spark: SparkSession, path: str, query: str, k: int = 50, key: str = "id", scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """bm25 over stored postings: only the parts of the query's terms are read, and of them the row groups that may hold a term; scope (keys) limits what is ranked."""
-    terms = list(dict.fromkeys(_python_tokens(query)))
-    size = spark.read.parquet(f"{path}/size").first()
-    found = spark.read.parquet(f"{path}/postings")
-    if not terms:
-        return found.select(key, F.lit(0.0).alias("score")).limit(0)
-    # The parts are numbers when the query is made, so that folders are left out at once.
-    parts = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(POSTING_PARTS)) for t in terms]))).collect()]
-    own = found.where(F.col("part").isin(parts) & F.col("term").isin(terms))
-    n, mean = size["n"], max(1e-9, (size["total"] or 0) / max(1, size["n"]))
-    have = own.groupBy("term").agg(F.count(F.lit(1)).alias("have"))  # a row for each term of the query
-    hits = own if scope is None else own.join(scope.select(key), key, "left_semi")
-    idf = F.log(1 + (n - F.col("have") + 0.5) / (F.col("have") + 0.5))
-    one = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = hits.join(F.broadcast(have), "term").groupBy(key).agg(F.sum(one).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
-
-
-def _python_tokens(text: str) -> list[str]:
-    out, word = [], ""
-    for c in f"{text.lower()} ":
-        if c.isalnum():
-            word += c
-        elif word:
-            out.append(word)
-            word = ""
-    return out
+    """(term, df, cf): texts that hold each term, and how often they do. Terms are counted batch by batch, so that what is shuffled is combined before."""
+    rows = term_rows(df.select(F.lit(0).alias("key"), F.col(text).alias("text")))
+    return rows.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def ranked(df: DataFrame, list_no: int, key: str = "id", score: str = "score") -> DataFrame:
@@ -300,7 +247,7 @@ def diversify(df: DataFrame, k: int, threshold: float = 0.95, protected: int = 3
     return joined.withColumn("pos", F.coalesce("new", "pos")).drop("new")
 
 
-def media_recall(chunks: DataFrame, fused: DataFrame, query: str, vector: Sequence[float] | None, where: Column | None = None, slots: int = 2, key: str = "id") -> DataFrame | None:
+def media_recall(chunks: DataFrame, fused: DataFrame, query: str, vector: Sequence[float] | None, where: Column | None = None, slots: int = 2, key: str = "id", keyword: Keyword | None = None) -> DataFrame | None:
     """Rows (columns of fused) of the media that a query asks for and no fused row has, by searches of their own; the best raw score of a row counts."""
     have = {r.source_type for r in fused.select("source_type").distinct().collect()}  # of a bounded list
     found = None
@@ -308,24 +255,27 @@ def media_recall(chunks: DataFrame, fused: DataFrame, query: str, vector: Sequen
         own = F.col("source_type") == kind
         cond = own if where is None else where & own
         k = max(3 * slots, 5)
-        lists = [bm25(chunks, query, k, key=key, where=cond)]
+        lists = [keyword(query, k, cond) if keyword else bm25(chunks, query, k, key=key, where=cond)]
         if vector is not None:
             lists.insert(0, nearest(chunks.where(cond), vector, k, key=key))
         for one in lists:
             found = one if found is None else found.unionByName(one)
     if found is None:
         return None
-    best = found.groupBy(key).agg(F.max("score").alias("score"))
-    rows = chunks.join(F.broadcast(best), key)
+    rows = rows_of(chunks, found.groupBy(key).agg(F.max("score").alias("score")), key)
     return rows.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), key)))
 
 
-Rerank = Callable[[str, Column], Column]
+def rows_of(table: DataFrame, hits: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of a table by the keys of a bounded list of hits, with the hits' columns; the keys are filters of the scan, so files and row groups without them are left out."""
+    found = hits.collect()
+    few = table.sparkSession.createDataFrame(found, hits.schema)
+    return table.where(F.col(key).isin([r[key] for r in found])).join(F.broadcast(few), key)
 
 
 def hybrid_search(
     chunks: DataFrame, query: str, vector: Sequence[float] | None, k: int = 10, where: Column | None = None, now: float | None = None, pool: int = 50, least: float = 0.0, sort: str = "relevance", key: str = "id",
-    rerank: Rerank | None = overlap_rerank_score, slots: int = 2, filtered_type: bool = False, notes: dict | None = None, hits: Sequence[DataFrame] | None = None,
+    rerank: Rerank | None = overlap_rerank_score, slots: int = 2, filtered_type: bool = False, notes: dict | None = None, hits: Sequence[DataFrame] | None = None, keyword: Keyword | None = None,
 ) -> DataFrame:
     """Fused and re-scored results over chunks (key, text, vector and, as they are there, importance, mtime, source_type).
 
@@ -333,13 +283,13 @@ def hybrid_search(
     media, their boost, the reranker, the boost again, diversity, threshold, the first k, and the quota of media, which is filled from
     all that was fused or recalled. rerank makes a column of scores from the query and the text; None leaves the order, and where it
     fails the cosine stands in. sort="recent" skips the reranker and orders a pool of at least 50 by time. notes gets what
-    a caller may want to know.
+    a caller may want to know. keyword searches words in place of a scan of the texts, as a kept index does.
     """
     notes = {} if notes is None else notes
     scoped = chunks if where is None else chunks.where(where)
     if hits is None:
-        hits = ([nearest(scoped, vector, pool, key=key)] if vector is not None else []) + [bm25(chunks, query, pool, key=key, where=where)]
-    x = chunks.join(F.broadcast(fuse(hits, key=key)), key)  # at most twice the pool
+        hits = ([nearest(scoped, vector, pool, key=key)] if vector is not None else []) + [keyword(query, pool, where) if keyword else bm25(chunks, query, pool, key=key, where=where)]
+    x = rows_of(chunks, fuse(hits, key=key), key)  # at most twice the pool
     x = reposition(x.withColumn("score", length_norm(F.col("score"), F.length("text"))))
     if "importance" in chunks.columns:
         x = reposition(x.withColumn("score", importance_weight(F.col("score"), F.col("importance"))))
@@ -348,7 +298,7 @@ def hybrid_search(
     typed, wanted = "source_type" in chunks.columns, media_types(query)
     extra = None
     if typed and wanted and slots > 0 and not filtered_type:
-        extra = media_recall(chunks, x, query, vector, where, slots, key)
+        extra = media_recall(chunks, x, query, vector, where, slots, key, keyword)
     boosted = lambda df: reposition(df.withColumn("score", media_boost(F.col("score"), F.col("source_type"), query))) if typed and wanted else df
     x = boosted(x)
     full = x

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import browse, context, dedupe, evaluate, filters, incremental, lookup, search, sqlguard, taxonomy
+from siltstone.operators.postings import Postings
 from siltstone.plans import search_sql
 from siltstone.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
 from siltstone.session import table
@@ -233,29 +234,60 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
 
 
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, Postings] = {}
 
 
-def _postings(spark, d, chunks: bool = False) -> str:
-    """The folder of the postings of documents, or of those that have a vector; written once a session and dataset."""
+def _index(spark, d, chunks: bool = False) -> Postings:
+    """The index of documents, or of those that have a vector; written once a session and dataset, and kept up: a tenth of the
+    texts come later, a seventh have another text first, and a few are there that go again."""
     from siltstone.sources.snapshots import shared_folder
 
     key = (spark.sparkContext.applicationId, d, chunks)
     if key not in _stored:
-        path = shared_folder(spark)
-        search.write_postings(_chunks(spark, d) if chunks else _docs(spark, d), path)
-        _stored[key] = path
+        texts = (_chunks(spark, d) if chunks else _docs(spark, d)).select(F.col("id").alias("key"), "text")
+        late, other, odd = F.col("key") % 10 == 3, F.col("key") % 7 == 2, texts.where("key % 50 = 1").select((-1 - F.col("key")).alias("key"), "text")
+        before = texts.where(~late).withColumn("text", F.when(other, F.reverse("text")).otherwise(F.col("text"))).unionByName(odd)
+        index = Postings(spark, shared_folder(spark))
+        index.update(before)
+        index.update(texts.where(late | other), before.where(other & (F.col("key") >= 0) | (F.col("key") < 0)))
+        _stored[key] = index
     return _stored[key]
 
 
+def _words(spark, d, words: str, k: int, chunks: bool = False) -> DataFrame:
+    return _index(spark, d, chunks).keyword_search(words, k).withColumnRenamed("key", "id")
+
+
 def _hybrid_lists(spark, d, words: str = WORDS) -> list[DataFrame]:
-    return [search.nearest(_vectors(spark, d).join(_docs(spark, d).select("id"), "id", "left_semi"), _query_vector(spark, d), 50), search.bm25_stored(spark, _postings(spark, d, True), words, 50)]
+    return [search.nearest(_vectors(spark, d).join(_docs(spark, d).select("id"), "id", "left_semi"), _query_vector(spark, d), 50), _words(spark, d, words, 50, True)]
 
 
 @query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "").replace("{k}", "50") + ")")
 def bm25_topk(spark, d):
-    """Over postings, which are stored once a session, as indexing would."""
-    return search.bm25_stored(spark, _postings(spark, d), WORDS, 50).withColumn("score", F.round("score", 6))
+    """Over an index that was updated since it was first written; its numbers are those of all texts."""
+    return _words(spark, d, WORDS, 50).withColumn("score", F.round("score", 6))
+
+
+_PHRASES = ("And attion TO", "the the the")
+
+
+def _held(words: str) -> str:
+    """SQL of (id, n): texts that hold a phrase, and how often."""
+    line = words.lower().split()
+    return f"""SELECT id, count(*)::INT AS n FROM (SELECT doc_id AS id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {search_sql.TERM} AS t FROM documents)) WHERE t[i : i + {len(line) - 1}] = {line} GROUP BY 1"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS phrase, id, n FROM ({_held(p)})" for p in _PHRASES))
+def phrase_search(spark, d):
+    """Texts that hold a phrase, and how often; of a word that repeats, each place counts."""
+    one, two = (_index(spark, d).phrase(p).select(F.lit(p).alias("phrase"), F.col("key").alias("id"), "n") for p in _PHRASES)
+    return one.unionByName(two)
+
+
+@query(f"WITH ch AS (SELECT doc_id AS id, text FROM documents), {search_sql.bm25(['thing', 'and', 'attion', 'to'], 'b', f'id IN (SELECT id FROM ({_held(_PHRASES[0])}))', 40)} SELECT id, round(score, 6) AS score FROM b")
+def phrase_topk(spark, d):
+    """Ranked by all words among the texts that hold the phrase."""
+    return _words(spark, d, f'thing "{_PHRASES[0]}"', 40).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT id, round(score, 6) AS score FROM (" + _BM25.replace("{where}", "").replace("{k}", "50") + ")")
@@ -281,7 +313,7 @@ p AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, first) AS pos FR
 
 
 def _fused(spark, d) -> DataFrame:
-    return search.fuse([search.nearest(_vectors(spark, d), _query_vector(spark, d), 50), search.bm25_stored(spark, _postings(spark, d), WORDS, 50)])
+    return search.fuse([search.nearest(_vectors(spark, d), _query_vector(spark, d), 50), _words(spark, d, WORDS, 50)])
 
 
 @query(f"WITH {_FUSED} SELECT id, round(score, 6) AS score, pos::INT AS pos FROM p")
