@@ -1,7 +1,8 @@
 """The engine's functions behind one object: search, lookups, SQL, browsing, taxonomy, indexing.
 
 Failures that a caller can mend come back as {error, code, message, fix}. Tables are snapshot tables: chunks
-(doc_id, loc, chunk_uid, text, vector, rel_path, source_type, source_name, mtime, …), registry, taxonomy, audit.
+(doc_id, loc, chunk_uid, text, vector, rel_path, source_type, source_name, mtime, …), registry, taxonomy. Indexing keeps postings beside the
+chunks, which searches read in place of texts; where they are not those of the chunks' version, texts are scanned until the next run mends that.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -20,7 +21,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from siltstone.functions.providers import with_retries
 from siltstone.functions.text import source_name
 from siltstone.operators import browse, dedupe, filters, incremental, lookup, search, sqlguard, taxonomy, upkeep
+from siltstone.operators.postings import Postings
 from siltstone.sources import files
+from siltstone.sources.sinks import Log
 from siltstone.sources.snapshots import SnapshotTable
 
 MODES, SORTS, MOST = ("slim", "compact", "full"), ("relevance", "recent"), 100
@@ -49,8 +52,10 @@ def embed(text: Column, size: int = 64) -> Column:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: Callable[[str], Sequence[float]] = hash_embedding, embed_column: Callable[[Column], Column] = embed, reranker: search.Rerank | None = search.overlap_rerank_score):
-        self.spark, self.embedder, self.embed_column, self.reranker = spark, embedder, embed_column, reranker
-        self.chunks, self.registry, self.taxonomy, self.audit = (SnapshotTable(spark, f"{root}/{n}") for n in ("chunks", "registry", "taxonomy", "audit"))
+        self.spark, self.root, self.embedder, self.embed_column, self.reranker = spark, root, embedder, embed_column, reranker
+        self.chunks, self.registry, self.taxonomy = (SnapshotTable(spark, f"{root}/{n}") for n in ("chunks", "registry", "taxonomy"))
+        self.audit = Log(spark, f"{root}/audit")
+        self.postings = Postings(spark, f"{root}/postings")
         self.changes = SnapshotTable(spark, f"{root}/changes")
 
     # ---- search
@@ -82,13 +87,17 @@ class Engine:
             return error("index_empty", "nothing is indexed yet", "run file_index_update")
         table = table.withColumn("id", F.col("chunk_uid"))
         note: dict = {"sort": sort, "degraded": False}
+        vector = None
         try:
             vector = list(with_retries(lambda: self.embedder(query), attempts=2, waits=(0.25,)))
         except Exception as e:  # keyword search alone still answers
             note |= {"degraded": True, "reason": f"embedding: {e}"}
-            vector = None
+        keyword = self._keyword(table)
         try:
-            hits = search.hybrid_search(table, query, vector, k, where=cond, now=now, sort=sort, rerank=self.reranker, filtered_type=named.get("source_type") is not None, notes=note)
+            lists = self._lists(table, query, vector, cond, keyword, note)
+            if lists is None:
+                return error("search_failed", note["reason"], "see the index's health")
+            hits = search.hybrid_search(table, query, vector, k, where=cond, now=now, sort=sort, rerank=self.reranker, filtered_type=named.get("source_type") is not None, notes=note, hits=lists, keyword=keyword)
             shown = browse.hits(hits.drop("vector", "id"))
             shown = browse.compact_hits(shown, width) if mode == "compact" else browse.slim_hits(shown.drop("text")) if mode == "slim" else shown
             rows = [{c: v for c, v in r.asDict().items() if v not in (None, "")} for r in shown.orderBy("pos").collect()]
@@ -96,6 +105,34 @@ class Engine:
             return error("search_failed", str(e)[:300], "check the filters' fields")
         return {"results": rows, "total": len(rows), "diagnostics": note}
 
+    def _keyword(self, table: DataFrame) -> search.Keyword:
+        """A search for words over the kept index if it is that of the chunks, or else over their texts."""
+        if self.postings.version != self.chunks.current():
+            return lambda query, k, cond: search.bm25(table, query, k, where=cond)
+
+        def run(query: str, k: int, cond: Column | None) -> DataFrame:
+            scope = None if cond is None else table.where(cond).select(F.col("id").alias("key"))
+            return self.postings.keyword_search(query, k, scope).withColumnRenamed("key", "id")
+
+        return run
+
+    def _lists(self, table: DataFrame, query: str, vector: list | None, cond: Column | None, keyword: search.Keyword, note: dict, pool: int = 50) -> list[DataFrame] | None:
+        """The nearest chunks and those with the query's words, each of `pool` rows; one that fails even when tried again is left out, with a note. None if both fail."""
+        scoped = table if cond is None else table.where(cond)
+        made = {"keyword": (lambda: keyword(query, pool, cond), 3, (0.25, 0.5))}
+        if vector is not None:
+            made = {"vector": (lambda: search.nearest(scoped, vector, pool), 2, (0.0,))} | made
+        lists = []
+        for name, (make, attempts, waits) in made.items():
+            try:
+                rows, schema = with_retries(lambda make=make: ((d := make()).collect(), d.schema), attempts, waits, transient=lambda e: not isinstance(e, AnalysisException))
+                lists.append(self.spark.createDataFrame(rows, schema))
+            except AnalysisException:  # the filter names a field that is not there
+                raise
+            except Exception as e:
+                note |= {"degraded": True, "reason": f"{name}: {str(e)[:200]}", f"{name}_search_active": False}
+        return lists or None
+
     def comm_lookup(self, query: str, limit: int = 3, sort: str = "relevance", **named: str | None) -> dict:
         """A verdict with its evidence, within a budget of characters."""
         limit = max(1, min(int(limit), 5))
@@ -136,8 +173,10 @@ class Engine:
         docs = filters.where(self.chunks.read(), filters.named_filters(**named)).groupBy("doc_id").agg(F.max("mtime").alias("mtime"), F.max("rel_path").alias("rel_path"))
         return [r.asDict() for r in browse.page(docs, [F.col("doc_id")], limit, offset).collect()]
 
-    def file_recent(self, limit: int = 20, **named: str | None) -> list[dict]:
+    def file_recent(self, limit: int = 20, source_type: str | None = None, folder: str | None = None, **named: str | None) -> list[dict]:
+        """The newest documents; source_type and folder mind case, other filters are those of a search."""
         some = filters.where(self.chunks.read(), filters.named_filters(**named))
+        some = filters.where(some, filters.recent_filter(source_type, folder))
         fields = [c for c in ("rel_path", "source_type", "source_name", "title") if c in some.columns]
         return [r.asDict() for r in browse.listed_documents(browse.recent_documents(some, fields, limit)).collect()]
 
@@ -208,12 +247,16 @@ class Engine:
     # ---- indexing
 
     def _log(self, rows: DataFrame) -> None:
-        """Adds (doc_id, action) rows to the audit log, with numbers that no run before has used."""
-        last = 0 if self.audit.current() is None else self.audit.read().agg(F.max("id")).first()[0] or 0
-        # Numbers are the run's block and the row's number in it; blocks are 2^40 apart.
-        block = (last >> 40) + 1
-        log = rows.select((F.lit(block << 40) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 40) - 1))).alias("id"), F.current_timestamp().alias("ts"), "doc_id", "action")
-        self.audit.replace(log if self.audit.current() is None else self.audit.read().unionByName(log))
+        """Adds (doc_id, action) rows to the audit log."""
+        self.audit.append(rows.select(F.current_timestamp().alias("ts"), "doc_id", "action"), ["doc_id", "action"])
+
+    def _index_words(self, before: int | None, after: int, docs: DataFrame) -> None:
+        """Brings the postings from one version of the chunks to a later one, between which only chunks of docs (doc_id) have changed."""
+        of = lambda v, some: self.chunks.read(v).join(some, "doc_id", "left_semi").select(F.col("chunk_uid").alias("key"), "text")
+        if before is None or self.postings.version != before:
+            self.postings.build(self.chunks.read(after).select(F.col("chunk_uid").alias("key"), "text"), after)
+        else:
+            self.postings.update(of(after, docs), of(before, docs), after)
 
     def file_index_update(self, texts: DataFrame, size: int = 1800, overlap: int = 200, dedupe_exact: bool = False, skipped: DataFrame | None = None, now: float = 0.0) -> dict:
         """Indexes records with texts (doc_id, text, rel_path, source_type, source_name, mtime, change_hash): new and changed ones are
@@ -239,10 +282,13 @@ class Engine:
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         fresh = texts.join(changes.where("change in ('add', 'update')"), "doc_id", "left_semi")
         cut = files.chunks(fresh, size, overlap).join(fresh.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
+        before = after = self.chunks.current()
         if counts.get("add") or counts.get("update"):
-            self.chunks.upsert(cut)
+            after = self.chunks.upsert(cut)
         if counts.get("delete"):
-            self.chunks.delete(changes.where("change = 'delete'"))
+            after = self.chunks.delete(changes.where("change = 'delete'"))
+        if after is not None and self.postings.version != after:
+            self._index_words(before, after, changes.where("change <> 'same'").select("doc_id"))
         self._log(changes.where("change <> 'same'").select("doc_id", F.col("change").alias("action")))
         return counts | ({"duplicate": counts_dup} if counts_dup else {})
 
@@ -252,5 +298,6 @@ class Engine:
         if one.limit(1).count() == 0:
             return error("not_found", doc_id, "scan its source first")
         cut = files.chunks(one).join(one.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
-        version = self.chunks.upsert(cut)
+        before, version = self.chunks.current(), self.chunks.upsert(cut)
+        self._index_words(before, version, one.select("doc_id"))
         return {"version": version, "chunks": self.chunks.read(version).where(F.col("doc_id") == doc_id).count()}

@@ -152,6 +152,11 @@ class Postings:
         self.state.replace(self.spark.createDataFrame(state, _STATE).coalesce(1))
         self._merge_if_due()
 
+    def build(self, texts: DataFrame, version: int | None = None) -> None:
+        """The index anew, of these texts alone."""
+        self.state.replace(self.spark.createDataFrame([], _STATE))
+        self.update(texts, version=version)
+
     def _gone(self, gone: DataFrame, seq: int) -> tuple | None:
         path = f"{self.root}/gone-{uuid.uuid4().hex}"
         rows = term_rows(gone.select("key", "text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.engine import Engine
+from siltstone.plans import search_sql
 from siltstone.plans.registered import query
 from siltstone.session import table
 from siltstone.sources.snapshots import shared_folder
@@ -18,7 +19,7 @@ def _records(spark, d) -> DataFrame:
     doc_id = F.concat_ws("::", "source", F.col("doc_id").cast("string"))
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     kind = F.when(F.col("doc_id") % 3 == 0, "pdf").otherwise("md")
-    return docs.select(doc_id.alias("doc_id"), F.concat(F.lit("t "), "lang", F.lit("\n\n"), F.substring("text", 1, 300)).alias("text"), path.alias("rel_path"), kind.alias("source_type"), F.col("source").alias("source_name"), F.col("n_chars").cast("double").alias("mtime"), F.sha2("text", 256).alias("change_hash"))
+    return docs.select(doc_id.alias("doc_id"), "text", path.alias("rel_path"), kind.alias("source_type"), F.col("source").alias("source_name"), F.col("n_chars").cast("double").alias("mtime"), F.sha2("text", 256).alias("change_hash"))
 
 
 _ID = "concat(source, '::', doc_id)"
@@ -67,24 +68,54 @@ def engine_status(spark, d):
     return _frame(spark, [{"source_name": k, "n": n, "state": s["health"][k]["state"]} for k, n in s["sources"].items()], "source_name string, n long, state string")
 
 
-@query(f"SELECT {_ID} AS doc_id, concat('t ', lang, chr(10), chr(10), regexp_replace(left(text, 300), '\\s+$', '')) AS text FROM documents WHERE doc_id IN (1, 2, 3) AND NOT regexp_matches(left(text, 300), '(?m)^#') ")
+_CHUNKS = f"""t AS (SELECT {_ID} AS doc_id, lang, doc_id AS n, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents WHERE trim(text) <> ''),
+c AS (SELECT *, unnest(range(0, greatest(ceil((length(body) - 200) / 1600.0), 1)::BIGINT)) AS i FROM t),
+ch AS (SELECT doc_id, concat(doc_id, '::c:', i) AS id, concat('c:', i) AS loc, CASE WHEN n % 3 = 0 THEN 'pdf' ELSE 'md' END AS kind, substring(body, i * 1600 + 1, 1800) AS text FROM c WHERE trim(substring(body, i * 1600 + 1, 1800)) <> '')"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, loc, text FROM ch")
 def engine_chunks(spark, d):
-    e, rows = _engine(spark, d), []
-    for r in table(spark, d, "documents").where("doc_id in (1, 2, 3)").select("doc_id", "source", F.substring("text", 1, 300).alias("t")).collect():
-        key = f"{r.source}::{r.doc_id}"
-        if "\n#" not in f"\n{r.t}":
-            one = e.file_get_chunk(key, "c:0")
-            assert e.file_get_doc_chunks(key)[0]["text"] == one["text"]
-            rows.append(one)
-    return _frame(spark, rows, "doc_id string, text string")
+    """All chunks, of which the functions give those of a document and one by its place."""
+    e = _engine(spark, d)
+    for r in table(spark, d, "documents").where("doc_id % 500 = 1").select("doc_id", "source").limit(3).collect():
+        own = e.file_get_doc_chunks(f"{r.source}::{r.doc_id}")
+        assert [c["loc"] for c in own] == [f"c:{k}" for k in range(len(own))] and e.file_get_chunk(own[-1]["doc_id"], own[-1]["loc"])["text"] == own[-1]["text"]
+    return e.chunks.read().select("doc_id", "loc", "text")
+
+
+_SOUGHT = "the license thing"
+
+
+@query(f"WITH {_CHUNKS}, {search_sql.bm25(_SOUGHT.split(), 'b', 'true', 50)} SELECT id, round(score, 6) AS score FROM b")
+def engine_keyword_list(spark, d):
+    """What a search finds by words, from the postings that indexing keeps."""
+    e = _engine(spark, d)
+    assert e.postings.version == e.chunks.current()
+    return e._keyword(e.chunks.read().withColumn("id", F.col("chunk_uid")))(_SOUGHT, 50, None).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CHUNKS}, {search_sql.bm25(_SOUGHT.split(), 'b', "kind = 'pdf'", 50)}, r AS (SELECT ch.*, b.score AS s, row_number() OVER (ORDER BY b.score DESC, id) AS r FROM b JOIN ch USING (id)),
+f1 AS (SELECT *, CASE WHEN length(text) > 800 THEN 1 / (60 + r) / (1 + 0.5 * log2(length(text) / 800.0)) ELSE 1 / (60 + r) END AS x FROM r),
+f2 AS (SELECT *, row_number() OVER (ORDER BY x DESC, r) AS p, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(left(text, 4000)), '\s+')), {sorted(_SOUGHT.split())})) / 3.0, 6) AS rr FROM f1),
+f3 AS (SELECT doc_id, loc, p, 0.6 * CASE WHEN max(rr) OVER () > min(rr) OVER () THEN (rr - min(rr) OVER ()) / (max(rr) OVER () - min(rr) OVER ()) ELSE 1 END + 0.4 * CASE WHEN max(x) OVER () > min(x) OVER () THEN (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) ELSE 1 END AS score FROM f2 WHERE p <= 60)
+SELECT doc_id, loc, round(score, 4) AS score FROM f3 ORDER BY f3.score DESC, p LIMIT 10""")
+def engine_file_search(spark, d):
+    """A search by words alone (its embedder is away) under a filter, through all stages; no two chunks are held to be alike without vectors."""
+    e = _engine(spark, d)
 
+    def away(_):
+        raise RuntimeError("no model")
 
-@query(f"SELECT {_ID} AS doc_id, 'add' AS action FROM documents ORDER BY 1 DESC LIMIT 1000")
+    alone = Engine(spark, e.root, embedder=away)
+    got = alone.file_search(_SOUGHT, 10, source_type="PDF", now=None)
+    assert got["diagnostics"]["degraded"] and got["total"] == len(got["results"])
+    return _frame(spark, got["results"], "doc_id string, loc string, score double")
+
+
+@query(f"SELECT {_ID} AS doc_id, 'add' AS action, row_number() OVER (ORDER BY {_ID})::BIGINT AS id FROM documents")
 def engine_audit(spark, d):
-    """The log of the runs: every document added once; the second run changed nothing."""
-    log = _engine(spark, d).audit.read()
-    assert log.select("id").distinct().count() == log.count()
-    return log.select("doc_id", "action").orderBy(F.desc("doc_id")).limit(1000)
+    """The log of the runs: every document added once and numbered; the second run changed nothing."""
+    return _engine(spark, d).audit.read().select("doc_id", "action", "id")
 
 
 @query("SELECT r_name AS line FROM region UNION ALL SELECT 'r_name'")
@@ -121,10 +152,9 @@ def engine_exact_dedupe(spark, d):
     return e.changes.read().select("doc_id")
 
 
-@query(f"SELECT {_ID} AS doc_id, 1::BIGINT AS chunks FROM documents WHERE doc_id = 4 AND length(text) < 100000000")
+@query(f"WITH {_CHUNKS} SELECT doc_id, count(*) AS chunks FROM ch WHERE doc_id = (SELECT {_ID} FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1) GROUP BY 1")
 def engine_index_document(spark, d):
-    e = Engine(spark, shared_folder(spark))
-    rec = _records(spark, d).withColumn("text", F.lit("one short text"))
-    r = table(spark, d, "documents").where("doc_id = 4").first()
-    key = f"{r.source}::4"
+    """The longest document by itself."""
+    e, rec = Engine(spark, shared_folder(spark)), _records(spark, d)
+    key = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").select(F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("k")).first().k
     return spark.createDataFrame([(key, e.file_index_document(rec, key)["chunks"])], "doc_id string, chunks long")

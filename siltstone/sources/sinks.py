@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import archive_name
+from siltstone.operators.numbering import numbered
+
+
+class Log:
+    """Rows that are only ever added, numbered through: a run appends its files and touches no others."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def append(self, rows: DataFrame, order: list[str]) -> None:
+        """Adds rows with an id each: the next whole numbers, in order."""
+        last = self.read().agg(F.max("id")).first()[0] if self.exists() else None
+        numbers = numbered(rows, order, name="id")
+        numbers.withColumn("id", F.col("id") + F.lit((last or 0) + 1)).select("id", *rows.columns).write.mode("append").parquet(self.path)
 
 
 def archive_duplicates(elected: DataFrame, path: str) -> None:

@@ -56,6 +56,81 @@ def test_degraded_search_is_by_keywords(spark, tmp_path):
     assert got["diagnostics"]["degraded"] and got["results"][0]["doc_id"] == "a"
 
 
+def test_postings_follow_the_chunks(spark, tmp_path):
+    """Searches read postings and, of the chunks, rows by key; where the chunks have another version, texts are scanned."""
+    from siltstone.operators import search
+
+    e = Engine(spark, f"file://{tmp_path}")
+    row = lambda k, text, mark="1": (k, text, f"x/{k}.md", "md", "documents", 1.0, mark)
+    rows = [row(f"d{k}", f"word{k % 5} and cats {'purr' * (k % 2)}") for k in range(20)]
+    e.file_index_update(vault(spark, rows))
+    assert e.postings.version == e.chunks.current() == 1
+    rows[3] = row("d3", "only zebras here", "2")
+    e.file_index_update(vault(spark, rows[:19]))  # one changed, one gone
+    assert e.postings.version == e.chunks.current() and [r.kind for r in e.postings._rows()] == ["segment", "gone", "segment"]
+    assert [r["doc_id"] for r in e.file_search("zebras")["results"]][0] == "d3"
+    now = lambda: e.chunks.read().withColumn("id", F.col("chunk_uid"))
+    read = now()
+    by_words = lambda q: [tuple(r) for r in e._keyword(now())(q, 50, None).select("id", F.round("score", 9)).collect()]
+    scan = lambda q: [tuple(r) for r in search.bm25(now(), q, 50).select("id", F.round("score", 9)).collect()]
+    assert all(by_words(q) == scan(q) for q in ("cats purr", "word3 zebras", "purrpurr", "nothing"))
+    plan = search.rows_of(read, e._keyword(read)("purr", 5, None))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(chunk_uid" in plan
+    assert all("/postings/" in f for f in e._keyword(read)("purr", 5, None).inputFiles())
+    e.chunks.restore(1)
+    assert e.postings.version != e.chunks.current() and e.file_search("zebras")["results"][0]["doc_id"] != "d3"
+    e.file_index_update(vault(spark, rows))
+    assert e.postings.version == e.chunks.current() and by_words("cats") == scan("cats")
+
+
+def test_phrases_of_a_search(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.file_index_update(vault(spark, [("a", "banana fruit tropical", "a.md", "md", "documents", 1.0, "1"), ("b", "banana tropical and so on", "b.md", "md", "documents", 1.0, "1"), ("c", "tropical banana", "c.md", "md", "documents", 1.0, "1")]))
+    hits = lambda q: [r.id for r in e._keyword(e.chunks.read().withColumn("id", F.col("chunk_uid")))(q, 5, None).collect()]
+    assert hits('"banana tropical"') == ["b::c:0"] and sorted(hits('"fruit banana"')) == ["a::c:0", "b::c:0", "c::c:0"]
+
+
+def test_a_failing_list_is_tried_again_and_then_left_out(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.file_index_update(vault(spark, [("a", "cats purr", "a.md", "md", "documents", 1.0, "1")]))
+    calls, good = [], e.postings.keyword_search
+
+    def failing(times):
+        def run(*a):
+            calls.append(1)
+            if len(calls) <= times:
+                raise TimeoutError("busy")
+            return good(*a)
+
+        return run
+
+    monkeypatch.setattr(e.postings, "keyword_search", failing(2))
+    got = e.file_search("purr")
+    assert got["total"] == 1 and not got["diagnostics"]["degraded"] and len(calls) == 3
+    calls.clear()
+    monkeypatch.setattr(e.postings, "keyword_search", failing(99))
+    got = e.file_search("purr")
+    assert got["total"] == 1 and got["diagnostics"]["keyword_search_active"] is False and len(calls) == 3
+
+
+def test_recent_minds_case(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.file_index_update(vault(spark, [("a", "x", "a.md", "md", "documents", 1.0, "1"), ("b", "y", "b.pdf", "pdf", "documents", 2.0, "1")]))
+    assert [r["doc_id"] for r in e.file_recent(5, source_type="md")] == ["a"] and e.file_recent(5, source_type="MD") == [] and [r["doc_id"] for r in e.file_recent(5, source_name="DOCUMENTS")] == ["b", "a"]
+
+
+def test_audit_numbers_over_many_partitions(spark, tmp_path):
+    from siltstone.sources.sinks import Log
+
+    log = Log(spark, f"file://{tmp_path}/log")
+    assert not log.exists()
+    rows = spark.range(400).repartition(400).select(F.col("id").cast("string").alias("doc_id"), F.lit("add").alias("action"))
+    log.append(rows, ["doc_id"])
+    before = {p.name for p in (tmp_path / "log").iterdir()}
+    log.append(rows.limit(3), ["doc_id"])
+    assert sorted(r.id for r in log.read().collect()) == list(range(1, 404)) and before < {p.name for p in (tmp_path / "log").iterdir()}
+
+
 def test_enrichment(spark):
     answers = ['```json\n{"summary": "s", "topics": ["a", " b ", "..."], "importance": "2", "key_facts": ["x", ""]}\n``` bye', '<think>{</think>{"summary": "cut, off", "topics": ["a", "b', "no json", None, '{"a": [1, {"b": "c"']
     df = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").withColumn("j", enrichment.extract_json(F.col("a")))
