@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,20 +17,23 @@ from pyspark.sql.types import StringType
 #: Fields of a record, of which lists are comma-lists but for facts, which are JSON.
 LISTS = ("doc_type", "entities_people", "entities_places", "entities_orgs", "entities_dates", "topics", "keywords", "suggested_tags")
 TEXTS = ("summary", "suggested_folder")
-#: Terms of the repair rules.
-PAYMENT = "balance|bill|due|failed payment|fee|invoice|ledger|overdue|payment|rent|tenantcloud|unpaid"
-LEASE = "agreement|lease|renewal|sign|signature"
-INQUIRY = "application question|rental|renter|showing|tour|zillow rental manager"
-LISTING = "coming soon|listing|open house|price cut|saved search"
-LEGAL = "court|eviction|legal|notice to quit|summons"
-DELIVERY = "delivery|package|pickup|shipping|tracking|ups|usps"
-ESTIMATE = "estimate|proposal|quote|scope of work"
-ACTION = "action required|appointment|call|deadline|due|failed|follow up|must|overdue|request|requested|requires|schedule|sign|tour"
-GENERIC_TYPES = "document email image message note notification text".split()
-GENERIC_FACTS = "document contains important information|contains important information|important information|document is about|document discusses|document provides|no specific"
-FACT_STOP = "a an and are as at be by for from has in is it of on or the this to was with".split()
-NEARBY = "nearby context|provided context|nearby message|nearby messages|context identifies|as indicated by context|as indicated by nearby|based on context|from context"
-AMBIGUOUS = "ambiguous|ambiguity|conflict|conflicting|correction|might|not sure|possibly|uncertain"
+#: Terms of the repair rules, which count wherever they stand in a text.
+PAYMENT = ["balance", "bill", "due", "failed payment", "fee", "invoice", "ledger", "overdue", "payment", "rent", "tenantcloud", "unpaid"]
+LEASE = ["agreement", "lease", "renewal", "sign", "signature"]
+INQUIRY = ["application question", "rental", "renter", "showing", "tour", "zillow rental manager"]
+LISTING = ["coming soon", "listing", "open house", "price cut", "saved search"]
+LEGAL = ["court", "eviction", "legal", "notice to quit", "summons"]
+DELIVERY = ["delivery", "package", "pickup", "shipping", "tracking", "ups", "usps"]
+ESTIMATE = ["estimate", "proposal", "quote", "scope of work"]
+ACTION = ["action required", "appointment", "call", "deadline", "due", "failed", "follow up", "must", "overdue", "request", "requested", "requires", "schedule", "sign", "tour"]
+GENERIC_TYPES = ["document", "email", "image", "message", "note", "notification", "text"]
+GENERIC_FACTS = ["document contains important information", "contains important information", "important information", "document is about", "document discusses", "document provides", "no specific"]
+FACT_STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "the", "this", "to", "was", "with"]
+NEARBY = ["nearby context", "provided context", "nearby message", "nearby messages", "context identifies", "as indicated by context", "as indicated by nearby", "based on context", "from context"]
+AMBIGUOUS = ["ambiguous", "ambiguity", "conflict", "conflicting", "correction", "might", "not sure", "possibly", "uncertain"]
+MONEY = r"\$\s?\d[\d,]*(?:\.\d{2})?"
+DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
+FACT_TOKEN = r"[a-z0-9$,.#/-]+"
 
 
 def _object(text: str | None) -> str | None:
@@ -114,8 +118,9 @@ def document_text(text: Column) -> Column:
     return F.trim(F.split_part(after, F.lit("NEARBY SAME-CHANNEL CONTEXT CANDIDATES"), F.lit(1)))
 
 
-def _has(corpus: Column, terms: str) -> Column:
-    return corpus.rlike(rf"\b(?:{terms})\b")
+def _has(corpus: Column, terms: Sequence[str]) -> Column:
+    """Whether a text has one of the terms anywhere, also within a word."""
+    return corpus.rlike("|".join(terms))
 
 
 def repaired_type(current: Column, corpus: Column) -> Column:
@@ -123,7 +128,7 @@ def repaired_type(current: Column, corpus: Column) -> Column:
     values = F.filter(F.transform(F.split(F.coalesce(current, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     telling = F.exists(values, lambda x: ~F.lower(x).isin(GENERIC_TYPES))
     rules = [
-        ("legal notice", _has(corpus, LEGAL)), ("payment notice", _has(corpus, PAYMENT) & _has(corpus, "failed|due|overdue|balance|payment")), ("lease administration", _has(corpus, LEASE)),
+        ("legal notice", _has(corpus, LEGAL)), ("payment notice", _has(corpus, PAYMENT) & _has(corpus, ["failed", "due", "overdue", "balance", "payment"])), ("lease administration", _has(corpus, LEASE)),
         ("listing report", corpus.contains("zillow") & _has(corpus, LISTING)), ("rental inquiry", _has(corpus, INQUIRY)), ("delivery notification", _has(corpus, DELIVERY)), ("estimate", _has(corpus, ESTIMATE)),
     ]
     guess = F.coalesce(*[F.when(c, F.lit(k)) for k, c in rules])
@@ -134,18 +139,43 @@ def repaired_importance(current: Column, corpus: Column) -> Column:
     """The larger of what is said and what the text's words suggest, to two places."""
     said = F.coalesce(_clamped(current), F.lit(0.5))
     guess = (
-        F.when(_has(corpus, LEGAL), 0.9).when(_has(corpus, "failed|overdue|unpaid") & _has(corpus, PAYMENT), 0.85).when(_has(corpus, LEASE) & _has(corpus, "due|must|sign|renewal"), 0.8)
-        .when(_has(corpus, PAYMENT) & (corpus.rlike(r"\$\s?\d") | corpus.contains("due")), 0.75).when(_has(corpus, ACTION), 0.7).when(_has(corpus, f"{ESTIMATE}|{DELIVERY}"), 0.6).otherwise(0.5)
+        F.when(_has(corpus, LEGAL), 0.9).when(_has(corpus, ["failed", "overdue", "unpaid"]) & _has(corpus, PAYMENT), 0.85).when(_has(corpus, LEASE) & _has(corpus, ["due", "must", "sign", "renewal"]), 0.8)
+        .when(_has(corpus, PAYMENT) & (corpus.rlike(MONEY) | corpus.contains("due")), 0.75).when(_has(corpus, ACTION), 0.7).when(_has(corpus, ESTIMATE + DELIVERY), 0.6).otherwise(0.5)
     )
     return F.round(F.greatest(said, guess), 2).cast("string")
 
 
-def repaired_facts(facts: Column, corpus: Column, most: int = 6, width: int = 160) -> Column:
-    """A JSON list of the facts that say something and whose words are in the text."""
-    words = lambda x: F.array_except(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9$,.#/-]+"), F.lit(0)), F.array(*[F.lit(w) for w in FACT_STOP]))
-    held = lambda x: F.size(F.filter(words(x), lambda w: F.contains(corpus, w))) >= F.lit(0.6) * F.size(words(x))
-    good = F.filter(_items(facts), lambda x: ~F.lower(x).rlike(GENERIC_FACTS) & (F.size(words(x)) > 0) & held(x))
-    return F.to_json(F.slice(F.transform(good, lambda x: F.substring(x, 1, width)), 1, most))
+def repaired_facts(facts: Column, corpus: Column, most: int = 6, width: int = 180) -> Column:
+    """A JSON list of the facts that say something: ones with an amount or a date, or with two telling words that the text has."""
+    v = F.trim(F.coalesce(facts, F.lit("")))
+    parsed = F.when(v.startswith("["), F.from_json(v, "array<string>"))
+    every = F.filter(F.transform(F.coalesce(parsed, F.array(v)), lambda x: F.trim(x)), lambda x: x != "")
+    stop = F.array(*[F.lit(w) for w in FACT_STOP])
+    words = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(FACT_TOKEN), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    shared = lambda x: F.size(F.filter(words(x), lambda w: F.contains(corpus, w)))
+    good = F.filter(every, lambda x: ~_has(F.lower(x), GENERIC_FACTS) & (x.rlike(MONEY) | x.rlike(DATE) | (shared(x) >= 2)))
+    single = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    cut = lambda x: F.when(F.length(x) > width, F.concat(F.rtrim(F.substring(x, 1, width - 3)), F.lit("..."))).otherwise(x)
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    return F.concat(F.lit("["), F.array_join(F.transform(F.slice(good, 1, most), lambda x: quoted(cut(single(x)))), ", "), F.lit("]"))
+
+
+#: Fields of which the words speak for a kind, beside the title, the source's type and the text.
+CORPUS = ("enr_summary", "enr_doc_type", "enr_topics", "enr_keywords", "enr_suggested_tags", "enr_suggested_folder")
+RULES = ("importance", "doc_type", "key_facts")
+
+
+def repaired(record: dict[str, Column], text: Column, title: Column, source_type: Column, rules: Sequence[str] = RULES) -> dict[str, Column]:
+    """Fields of a record with those of the rules repaired; their words are sought in all that is known of the document."""
+    said = F.concat_ws(" ", *[F.coalesce(record[c], F.lit("")) if c in record else F.lit("") for c in CORPUS])
+    filled = lambda c: F.when(c != "", c)
+    corpus = F.lower(F.concat_ws("\n", filled(title), filled(source_type), filled(document_text(text)), filled(said)))
+    of = lambda c: record.get(c, F.lit(""))
+    new = {"doc_type": lambda: {"enr_doc_type": repaired_type(of("enr_doc_type"), corpus)}, "importance": lambda: {"enr_importance": repaired_importance(of("enr_importance"), corpus)}, "key_facts": lambda: {"enr_key_facts": repaired_facts(of("enr_key_facts"), corpus)}}
+    out = dict(record)
+    for r in rules:
+        out |= new[r]()
+    return out
 
 
 def from_context(values: Column, primary: Column, context: Column) -> Column:
@@ -154,9 +184,9 @@ def from_context(values: Column, primary: Column, context: Column) -> Column:
 
 
 def mentions_context(text: Column) -> Column:
-    return F.lower(text).rlike(NEARBY)
+    return _has(F.lower(text), NEARBY)
 
 
 def consistent_confidence(confidence: Column, said: Column) -> Column:
     """High confidence beside words of doubt is ambiguous."""
-    return F.when((F.lower(confidence) == "high") & F.lower(said).rlike(AMBIGUOUS), "ambiguous").otherwise(confidence)
+    return F.when((F.lower(confidence) == "high") & _has(F.lower(said), AMBIGUOUS), "ambiguous").otherwise(confidence)

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siltstone.functions.text import clip, key_facts, phone_keys
-from siltstone.functions.text import query_tokens
+from siltstone.functions.text import clip, key_facts, phone_keys, query_tokens
 
 #: Words that ask for a call, words that are no evidence, thresholds of shared words.
-CALL_WORDS = "call called calling calls callback phone voicemail vm missed ring rang dial dialed message messages text texted sms hangup".split()
-COMMON_WORDS = "the and for with from about into that this have has was were are our their his her who what when where why how any all did does".split()
+CALL_WORDS = ["call", "called", "calling", "calls", "callback", "phone", "voicemail", "vm", "missed", "ring", "rang", "dial", "dialed", "message", "messages", "text", "texted", "sms", "hangup"]
+COMMON_WORDS = ["the", "and", "for", "with", "from", "about", "into", "that", "this", "have", "has", "was", "were", "are", "our", "their", "his", "her", "who", "what", "when", "where", "why", "how", "any", "all", "did", "does"]
 LEAST_SHARE, LEAST_WORDS, STRONG_SHARE = 0.34, 2, 0.6
 
 

@@ -719,12 +719,44 @@ def enrichment_records(spark, d):
     return _part(spark, d).select("p_partkey", n["enr_topics"].alias("topics"), n["enr_summary"].alias("summary"), n["enr_importance"].alias("importance"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'email, payment notice' WHEN 1 THEN 'lease' WHEN 2 THEN 'note, legal notice' ELSE 'note' END AS types, CASE p_partkey % 4 WHEN 0 THEN '0.85' WHEN 1 THEN '0.5' WHEN 2 THEN '0.9' ELSE '0.95' END AS importance FROM part")
+#: Texts that tell words from parts of words, and rules from each other.
+_SAID = ["payments", "two renters", "billing", "signage", "cups and plates", "we recall it", "the rent has failed", "courtyard", "a quote", "estimated", "zillow: listings", "zillow", "Open House", "tours", "overdue fees", "due $ 5", "fee of $1,200.50", "must sign", "shipping", "rescheduled", "nothing of note", "legalese", "unpaid ledger", "showing"]
+_TYPES = ["", "email", "Note, text", "report", "email, Plan", " , message"]
+_GUESS = ["", "0.2", "0.95", "bad", "7", "-1"]
+_FACTS = ['["{n}", "important information here", "{t}"]', "{n} {t}", '["paid $ 12 then", "12/31/2024", "x of the"]', '["{t}  {t}", ""]', "", "{\"a\": 1}", '["' + "steel " * 40 + '2024-01-02"]']
+
+
+def _pick(items: list[str]) -> str:
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+    return f"([{quoted}])[p_partkey % {len(items)} + 1]"
+
+
+def _any(c: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
+
+
+_E = enrichment
+_REPAIRS = f"""WITH s AS (SELECT p_partkey, lower(concat('Title', chr(10), 'md', chr(10), {_pick(_SAID)}, chr(10), p_type, ' ', {_pick(_TYPES)}, '    ')) AS c, {_pick(_TYPES)} AS t, {_pick(_GUESS)} AS g, replace(replace({_pick(_FACTS)}, '{{n}}', p_name), '{{t}}', lower(p_type)) AS f FROM part),
+x AS (SELECT *, list_filter(list_transform(string_split(t, ','), lambda v: trim(v)), lambda v: v <> '') AS v, CASE WHEN {_any('c', _E.LEGAL)} THEN 'legal notice' WHEN {_any('c', _E.PAYMENT)} AND {_any('c', ['failed', 'due', 'overdue', 'balance', 'payment'])} THEN 'payment notice' WHEN {_any('c', _E.LEASE)} THEN 'lease administration'
+WHEN contains(c, 'zillow') AND {_any('c', _E.LISTING)} THEN 'listing report' WHEN {_any('c', _E.INQUIRY)} THEN 'rental inquiry' WHEN {_any('c', _E.DELIVERY)} THEN 'delivery notification' WHEN {_any('c', _E.ESTIMATE)} THEN 'estimate' END AS kind,
+CASE WHEN {_any('c', _E.LEGAL)} THEN 0.9 WHEN {_any('c', ['failed', 'overdue', 'unpaid'])} AND {_any('c', _E.PAYMENT)} THEN 0.85 WHEN {_any('c', _E.LEASE)} AND {_any('c', ['due', 'must', 'sign', 'renewal'])} THEN 0.8
+WHEN {_any('c', _E.PAYMENT)} AND (regexp_matches(c, '\\$\\s?\\d') OR contains(c, 'due')) THEN 0.75 WHEN {_any('c', _E.ACTION)} THEN 0.7 WHEN {_any('c', _E.ESTIMATE + _E.DELIVERY)} THEN 0.6 ELSE 0.5 END AS h,
+CASE WHEN f LIKE '[%' THEN from_json(f, '["VARCHAR"]') WHEN f = '' THEN []::VARCHAR[] ELSE [f] END AS fs FROM s)
+SELECT p_partkey, array_to_string(list_slice(CASE WHEN kind IS NULL OR len(list_filter(v, lambda y: lower(y) NOT IN ('document', 'email', 'image', 'message', 'note', 'notification', 'text'))) > 0 THEN v ELSE list_append(v, kind) END, 1, 5), ', ') AS types,
+round(greatest(CASE WHEN try_cast(g AS DOUBLE) IS NULL THEN 0.5 ELSE greatest(0, least(1, try_cast(g AS DOUBLE))) END, h), 2)::DOUBLE AS importance,
+list_transform(list_filter(list_filter(fs, lambda y: trim(y) <> ''), lambda y: NOT {_any('lower(y)', _E.GENERIC_FACTS)} AND (regexp_matches(y, '\\$\\s?\\d') OR regexp_matches(y, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}})\\b')
+OR len(list_filter(regexp_extract_all(lower(y), '[a-z0-9$,.#/-]+'), lambda w: NOT list_contains({_E.FACT_STOP}, w) AND contains(c, w))) >= 2)),
+lambda y: CASE WHEN length(regexp_replace(trim(y), '\\s+', ' ', 'g')) > 180 THEN concat(rtrim(left(regexp_replace(trim(y), '\\s+', ' ', 'g'), 177)), '...') ELSE regexp_replace(trim(y), '\\s+', ' ', 'g') END)[1:6] AS facts FROM x"""
+
+
+@query(_REPAIRS)
 def enrichment_repairs(spark, d):
-    k = F.col("p_partkey") % 4
-    said = F.when(k == 0, "the rent payment has failed").when(k == 1, F.col("p_type")).when(k == 2, "an eviction notice from the court").otherwise("nothing of note")
-    kind, imp = F.when(k == 0, "email").when(k == 1, "lease").otherwise("note"), F.when(k == 3, "0.95").when(k == 2, "bad").otherwise("0.1")
-    return _part(spark, d).select("p_partkey", enrichment.repaired_type(kind, F.lower(said)).alias("types"), enrichment.repaired_importance(imp, F.lower(said)).alias("importance"))
+    pick = lambda items: F.element_at(F.array(*[F.lit(x) for x in items]), (F.col("p_partkey") % len(items) + 1).cast("int"))
+    facts = F.replace(F.replace(pick(_FACTS), F.lit("{n}"), F.col("p_name")), F.lit("{t}"), F.lower("p_type"))
+    record = {"enr_summary": F.col("p_type"), "enr_doc_type": pick(_TYPES), "enr_importance": pick(_GUESS), "enr_key_facts": facts}
+    text = F.concat(F.lit("prompt Document text:\n "), pick(_SAID), F.lit("\nNEARBY SAME-CHANNEL CONTEXT CANDIDATES eviction"))
+    r = enrichment.repaired(record, text, F.lit("Title"), F.lit("md"))
+    return _part(spark, d).select("p_partkey", r["enr_doc_type"].alias("types"), r["enr_importance"].cast("double").alias("importance"), F.from_json(r["enr_key_facts"], "array<string>").alias("facts"))
 
 
 @query("SELECT p_partkey, p_brand AS only_there, p_partkey % 2 = 0 AS mentions, CASE WHEN p_partkey % 2 = 0 THEN 'ambiguous' ELSE 'high' END AS confidence FROM part")

@@ -139,5 +139,5 @@ def test_enrichment(spark):
     assert json.loads(got[1].j) == {"summary": "cut, off", "topics": ["a", "b"]} and got[2].j is None and got[3].j is None
     assert json.loads(got[4].j) == {"a": [1, {"b": "c"}]} or json.loads(got[4].j)["a"][0] == 1
     text = F.lit("the eviction notice says rent of $500 is overdue")
-    r = spark.range(1).select(enrichment.repaired_type(F.lit("email"), text), enrichment.repaired_type(F.lit("lease"), text), enrichment.repaired_importance(F.lit("0.2"), text), enrichment.repaired_facts(F.lit('["rent of $500 is overdue", "important information", "moon cheese"]'), text), enrichment.from_context(F.lit("Ann, Bob"), F.lit("ann"), F.lit("Ann and Bob")), enrichment.consistent_confidence(F.lit("High"), F.lit("might be"))).first()
-    assert list(r) == ["email, legal notice", "lease", "0.9", '["rent of $500 is overdue"]', "Bob", "ambiguous"]
+    r = spark.range(1).select(enrichment.repaired_type(F.lit("email"), text), enrichment.repaired_type(F.lit("lease"), text), enrichment.repaired_importance(F.lit("0.2"), text), enrichment.repaired_facts(F.lit('["rent of $500 is overdue", "important information", "moon cheese", "the eviction says so"]'), text), enrichment.from_context(F.lit("Ann, Bob"), F.lit("ann"), F.lit("Ann and Bob")), enrichment.consistent_confidence(F.lit("High"), F.lit("might be"))).first()
+    assert list(r) == ["email, legal notice", "lease", "0.9", '["rent of $500 is overdue", "the eviction says so"]', "Bob", "ambiguous"]
