@@ -58,6 +58,85 @@ def nearest(df: DataFrame, query: Sequence[float], k: int = 50, metric: str = "c
     return some.mapInArrow(run, f"key {kind}, score double").orderBy(F.desc("score"), "key").limit(k).withColumnRenamed("key", key)
 
 
+#: Bytes of query vectors that go to every task at once, and cells of a product that are held at once.
+QUERY_BYTES, CELLS = 64 << 20, 4 << 20
+
+
+def nearest_join(queries: DataFrame, table: DataFrame, k: int = 10, metric: str = "cosine", vector: str = "vector", key: str = "id", others: bool = False) -> DataFrame:
+    """(query, key, score, rank): for each query vector its k nearest rows, exactly; others leaves a row out for the query of its own key.
+
+    Queries go out in blocks of QUERY_BYTES, so there is a pass over the rows for each block, in which no row is shuffled. A task multiplies its batches with the
+    block as matrices and keeps the k best for each query; these are ranked once more over all tasks, where again each task passes on k at most. Equal scores
+    are ranked by key. Vectors that are null or of another dimension than the query are left out.
+    """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    asked = queries.where(F.size(vector) > 0).select(F.col(key).alias("query"), F.size(vector).alias("dim"), F.col(vector).cast("array<double>").alias("v"))
+    kind, own = asked.schema["query"].dataType.simpleString(), table.schema[key].dataType.simpleString()
+    sizes = {r.dim: r["count"] for r in asked.groupBy("dim").count().collect()}
+    found = table.sparkSession.createDataFrame([], f"query {kind}, key {own}, score double")
+    for dim, n in sizes.items():
+        blocks = -(-n * dim * 8 // QUERY_BYTES)
+        rows = table.where(F.size(vector) == dim).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        for b in range(blocks):
+            block = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).collect()  # about QUERY_BYTES
+            if block:
+                found = found.unionByName(rows.mapInArrow(_best_of([r.query for r in block], np.array([r.v for r in block]), k, metric, others), found.schema))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
+def _best_of(names: list, q: np.ndarray, k: int, metric: str, others: bool):
+    """Batches (key, v) to (query, key, score): the k best of all batches for each query."""
+    length = np.sqrt((q * q).sum(axis=1))
+
+    def exact(x, at, to):
+        """Scores of pairs; equal vectors have equal ones, which a product of matrices does not grant."""
+        a, b = x[at], q[to]
+        if metric == "l2":
+            return 1 - ((a - b) ** 2).sum(axis=1)
+        norm = np.sqrt((a * a).sum(axis=1)) * length[to]
+        return np.divide((a * b).sum(axis=1), norm, out=np.zeros(len(at)), where=norm > 0)
+
+    def rough(x):
+        dot = x @ q.T
+        if metric == "l2":
+            return 1 - (x * x).sum(axis=1)[:, None] - (length * length)[None, :] + 2 * dot
+        norm = np.sqrt((x * x).sum(axis=1))[:, None] * length[None, :]
+        return np.divide(dot, norm, out=np.zeros(dot.shape), where=norm > 0)
+
+    def run(batches):
+        to, keys, score = np.zeros(0, np.int64), None, np.zeros(0)
+        least = np.full(len(q), -np.inf)
+        step = max(1, CELLS // len(q))
+        order = {n: i for i, n in enumerate(names)}
+        for b in batches:
+            every = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, q.shape[1])
+            own = np.array(b.column(0).to_pylist())
+            for start in range(0, len(every), step):
+                x, name = every[start : start + step], own[start : start + step]
+                s = rough(x)
+                if others:
+                    for i, n in enumerate(name.tolist()):
+                        if n in order:
+                            s[i, order[n]] = -np.inf
+                bar = np.maximum(least, np.partition(s, -k, axis=0)[-k]) if len(x) >= k else least
+                at, hit = np.nonzero((s >= bar - 1e-9 * (1 + np.abs(bar))) & (s > -np.inf))
+                to, score = np.concatenate([to, hit]), np.concatenate([score, exact(x, at, hit)])
+                keys = name[at] if keys is None else np.concatenate([keys, name[at]])
+                best = np.lexsort((keys, -score, to))
+                to, keys, score = to[best], keys[best], score[best]
+                first = np.searchsorted(to, np.arange(len(q)))
+                kept = np.arange(len(to)) - first[to] < k
+                full = np.flatnonzero(np.bincount(to, minlength=len(q)) >= k)
+                to, keys, score = to[kept], keys[kept], score[kept]
+                least[full] = score[np.searchsorted(to, full) + k - 1]
+        if len(to):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in to]), pa.array(keys.tolist()), pa.array(score)], ["query", "key", "score"])
+
+    return run
+
+
 def vectors_of(df: DataFrame, ids: Sequence, key: str = "id", vector: str = "vector") -> DataFrame:
     """Vectors of given keys."""
     return df.where(F.col(key).isin(list(ids))).select(key, vector)

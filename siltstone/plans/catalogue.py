@@ -217,6 +217,14 @@ def knn_prefiltered(spark, d):
     return search.nearest(_vectors(spark, d).where(F.col("label").isin(1, 3)), _query_vector(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
+@query("""SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::INT AS rank
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 10""")
+def knn_join(spark, d):
+    """The ten nearest others of each vector."""
+    v = _vectors(spark, d)
+    return search.nearest_join(v, v, 10, others=True).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id AS id, embedding AS vector FROM embeddings WHERE vec_id IN (1, 5, 7, 11)")
 def vectors_by_ids(spark, d):
     return search.vectors_of(_vectors(spark, d), [1, 5, 7, 11])

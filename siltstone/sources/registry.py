@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from siltstone.functions.text import base62
+from siltstone.operators.numbering import numbered
 
 
 def upsert(registry: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +36,8 @@ def retire(registry: DataFrame, retired: DataFrame, keys: DataFrame) -> tuple[Da
 def mint(new: DataFrame, registry: DataFrame, retired: DataFrame, start: int, order: str = "path") -> DataFrame:
     """Adds doc_id: counter values in base 62 that nothing has or had; new documents, in order.
 
-    Ids come from a run of numbers as long as all that could be in the way, so one anti-join leaves enough. The rank goes over the new
-    documents of one run.
+    Ids come from a run of numbers as long as all that could be in the way, so one anti-join leaves enough. Both the new documents and the free ids are
+    numbered by ranges, so no task sees all of them.
     """
     n = new.count()
     spark = new.sparkSession
@@ -48,8 +48,8 @@ def mint(new: DataFrame, registry: DataFrame, retired: DataFrame, start: int, or
         if free.count() >= n:
             break
         width *= 2
-    ids = free.select("id", F.row_number().over(W.orderBy("num")).alias("_r"))
-    return new.withColumn("_r", F.row_number().over(W.orderBy(order))).join(ids.withColumnRenamed("id", "doc_id"), "_r").drop("_r")
+    ids = numbered(free, ["num"], name="_r").select("_r", F.col("id").alias("doc_id")).where(F.col("_r") < n)
+    return numbered(new, [order], name="_r").join(ids, "_r").drop("_r")
 
 
 def mappings(registry: DataFrame, source: str | None = None) -> DataFrame:

@@ -111,3 +111,30 @@ def test_lookup_verdicts(spark):
     assert ask("alice jones")["verdict"] == "found" and ask("alice jones")["top"] == 2
     assert ask("alice xenia bob zoe tim")["verdict"] == "not_found"
     assert lookup.question("call 4847358527 or +1 (484) 735 8527")["phones"] == ["4847358527"]
+
+
+def test_nearest_join_against_plain_code(spark, monkeypatch):
+    """Ties, zero and missing vectors, other dimensions, several blocks of queries, batches shorter than k."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    some = rng.integers(-2, 3, (90, 4)).astype(float).tolist()
+    rows = [(k, v) for k, v in enumerate(some)] + [(900, None), (901, [1.0, 2.0]), (902, [0.0] * 4), (903, [1.0, 2.0]), (904, [])]
+    table = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    asked = table.where("id % 3 = 0 or id > 890")
+    for metric, size in (("cosine", 64 << 20), ("l2", 200)):
+        monkeypatch.setattr(search, "QUERY_BYTES", size)
+        for others in (False, True):
+            got = search.nearest_join(asked, table, 7, metric, others=others).collect()
+            for q, v in [(i, v) for i, v in rows if v and (i % 3 == 0 or i > 890)]:
+                def score(x, v=v):
+                    a, b = np.array([x]), np.array([v])
+                    if metric == "l2":
+                        return float(1 - ((a - b) ** 2).sum(axis=1)[0])
+                    n = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+                    return float((a * b).sum(axis=1)[0] / n[0]) if n[0] else 0.0
+
+                want = sorted(((score(x), i) for i, x in rows if x and len(x) == len(v) and not (others and i == q)), key=lambda r: (-r[0], r[1]))[:7]
+                assert [(r.score, r.id) for r in sorted((r for r in got if r.query == q), key=lambda r: r["rank"])] == want
+    words = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, vector array<double>")
+    assert [(r.query, r.id, r["rank"]) for r in search.nearest_join(words, words, 2).orderBy("query", "rank").collect()] == [("a", "a", 1), ("a", "b", 2), ("b", "a", 1), ("b", "b", 2), ("c", "c", 1), ("c", "a", 2)]
