@@ -15,6 +15,7 @@ from siltstone.operators import browse, dedupe, evaluate, filters, incremental,
 from siltstone.plans.registered import query
 from siltstone.session import table
 from siltstone.sources import extract, files, protocol, registry, sinks, tables
+from siltstone.sources.buckets import BucketTable
 from siltstone.sources.snapshots import SnapshotTable, shared_folder
 from siltstone.streaming import index as streams
 
@@ -55,6 +56,21 @@ def compare_and_set(spark, d):
     return t.read()
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 40 = 7 THEN 'new' WHEN doc_id = 5 THEN 'changed' WHEN doc_id % 9 = 1 THEN 'added' ELSE source END AS v, CASE WHEN doc_id % 40 = 7 THEN lang ELSE '' END AS w FROM documents WHERE doc_id % 40 = 7 OR doc_id = 5 OR doc_id % 30 <> 2""")
+def bucket_writes(spark, d):
+    """Upserts with a new column, rows that are added once, deletes, one row changed if it is as expected; each rewrites its buckets alone."""
+    docs = _docs(spark, d).select("doc_id", "source", "lang")
+    t = BucketTable(spark, f"{shared_folder(spark)}/buckets", buckets=16)
+    t.replace(docs.where("doc_id % 9 <> 1").select("doc_id", F.col("source").alias("v")))
+    for _ in range(2):
+        t.insert_missing(docs.where("doc_id % 9 < 4").select("doc_id", F.when(F.col("doc_id") % 9 == 1, "added").otherwise("lost").alias("v")))
+    t.delete(docs.where("doc_id % 30 = 2 and doc_id <> 5").select("doc_id"))
+    t.upsert(docs.where("doc_id % 40 = 7").select("doc_id", F.lit("new").alias("v"), F.col("lang").alias("w")))
+    was = t.rows([5]).first()["v"]
+    assert t.compare_and_set(5, F.col("v") == was, {"v": F.lit("changed")}) and not t.compare_and_set(5, F.col("v") == was, {"v": F.lit("lost")})
+    return t.read().withColumn("w", F.coalesce("w", F.lit("")))
+
+
 @query("SELECT doc_id FROM documents WHERE lang <> 'fr'")
 def delete_by_ids(spark, d):
     t = _fresh(spark, "t")

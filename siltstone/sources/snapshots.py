@@ -139,14 +139,14 @@ class SnapshotTable:
         if self.current() is None:
             return self.replace(new)
         old = self.read().join(new.select(key).distinct(), key, "left_anti")
-        return self.replace(_evolved(old, new))
+        return self.replace(evolved(old, new))
 
     def insert_missing(self, new: DataFrame, key: str = "doc_id") -> int:
         """Rows of documents that are not there yet; a second time adds nothing."""
         if self.current() is None:
             return self.replace(new)
         old = self.read()
-        return self.replace(_evolved(old, new.join(old.select(key).distinct(), key, "left_anti")))
+        return self.replace(evolved(old, new.join(old.select(key).distinct(), key, "left_anti")))
 
     def delete(self, keys: DataFrame, key: str = "doc_id") -> int:
         return self.replace(self.read().join(keys.select(key).distinct(), key, "left_anti"))
@@ -185,7 +185,7 @@ class SnapshotTable:
         return self.replace(self.read().coalesce(files))
 
 
-def _evolved(old: DataFrame, new: DataFrame) -> DataFrame:
+def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both with all columns; text that a side lacks is empty, not null."""
     both = old.unionByName(new, allowMissingColumns=True)
     kinds = dict(both.dtypes)
