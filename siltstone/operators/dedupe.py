@@ -26,6 +26,43 @@ def elect(df: DataFrame, order: Sequence[str], key: str = "doc_id") -> DataFrame
     return joined.select(*df.columns, canon.alias("canonical_doc_id"), F.when(canon == F.col(key), "canonical").otherwise("duplicate").alias("dedupe_status"))
 
 
+COHORT = ["size_bytes", "content_hash"]
+
+
+def stranding_writes(elected: DataFrame, writes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of writes (key, size_bytes, content_hash): a canonical document with duplicates may not move to another identity, as they would point to nothing.
+
+    Refused ones can go through reelected(), which gives the duplicates that stay behind a canonical of their own.
+    """
+    led = elected.where("dedupe_status = 'duplicate'").select(F.col("canonical_doc_id").alias("_c")).distinct()
+    old = elected.join(led, elected[key] == F.col("_c"), "left_semi").select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in COHORT])
+    moved = ~(F.col("_size_bytes").eqNullSafe(F.col("size_bytes")) & F.col("_content_hash").eqNullSafe(F.col("content_hash")))
+    strands = (writes[key] == F.col("_k")) & moved
+    return writes.join(old, strands, "left_anti"), writes.join(old, strands, "left_semi")
+
+
+def reelected(elected: DataFrame, changes: DataFrame, order: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """What an election has to be changed by: rows of elect() with `op` (put or delete), for documents that are written (op put: key, size_bytes, content_hash, order) or deleted.
+
+    Only the cohorts that a change leaves or joins vote again, and only rows with another outcome are given back. A canonical document that is still
+    there stays canonical, whoever joins; where it has gone, the first of the others in order follows.
+    """
+    place = list(dict.fromkeys([*order, key]))
+    new = changes.where("op = 'put'")
+    left = elected.join(changes.select(key), key, "left_semi").select(*COHORT)
+    touched = left.unionByName(new.select(*COHORT)).where("content_hash is not null").distinct()
+    stays = elected.join(touched, COHORT, "left_semi").join(changes.select(key), key, "left_anti").select(*place, *COHORT, F.col("canonical_doc_id").alias("_c"), F.col("dedupe_status").alias("_s"))
+    members = stays.unionByName(new.select(*place, *COHORT), allowMissingColumns=True)
+    lead = F.when(F.col("_s") == "canonical", 0).otherwise(1)
+    first = members.where("content_hash is not null").groupBy(*COHORT).agg(F.min(F.struct(lead.alias("lead"), *place)).alias("first"))
+    canon = F.coalesce(F.col(f"first.{key}"), F.col(key))
+    status = F.when(canon == F.col(key), "canonical").otherwise("duplicate")
+    voted = members.join(first, COHORT, "left").select(*place, *COHORT, canon.alias("canonical_doc_id"), status.alias("dedupe_status"), "_c", "_s")
+    differs = ~(F.col("_c").eqNullSafe(F.col("canonical_doc_id")) & F.col("_s").eqNullSafe(F.col("dedupe_status")))
+    gone = elected.join(changes.where("op = 'delete'").select(key), key, "left_semi").select(*place, *COHORT, "canonical_doc_id", "dedupe_status", F.lit("delete").alias("op"))
+    return voted.where(differs).drop("_c", "_s").withColumn("op", F.lit("put")).unionByName(gone)
+
+
 def duplicate_refs(elected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Canonical documents with their duplicates, in order."""
     return elected.where("dedupe_status = 'duplicate'").groupBy("canonical_doc_id").agg(F.array_sort(F.collect_list(key)).alias("duplicates"), F.count(F.lit(1)).alias("n"))

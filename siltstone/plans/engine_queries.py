@@ -96,7 +96,7 @@ def engine_keyword_list(spark, d):
 
 @query(f"""WITH {_CHUNKS}, {search_sql.bm25(_SOUGHT.split(), 'b', "kind = 'pdf'", 50)}, r AS (SELECT ch.*, b.score AS s, row_number() OVER (ORDER BY b.score DESC, id) AS r FROM b JOIN ch USING (id)),
 f1 AS (SELECT *, CASE WHEN length(text) > 800 THEN 1 / (60 + r) / (1 + 0.5 * log2(length(text) / 800.0)) ELSE 1 / (60 + r) END AS x FROM r),
-f2 AS (SELECT *, row_number() OVER (ORDER BY x DESC, r) AS p, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(left(text, 4000)), '\s+')), {sorted(_SOUGHT.split())})) / 3.0, 6) AS rr FROM f1),
+f2 AS (SELECT *, row_number() OVER (ORDER BY x DESC, r) AS p, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(left(text, 4000)), '\\s+')), {sorted(_SOUGHT.split())})) / 3.0, 6) AS rr FROM f1),
 f3 AS (SELECT doc_id, loc, p, 0.6 * CASE WHEN max(rr) OVER () > min(rr) OVER () THEN (rr - min(rr) OVER ()) / (max(rr) OVER () - min(rr) OVER ()) ELSE 1 END + 0.4 * CASE WHEN max(x) OVER () > min(x) OVER () THEN (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) ELSE 1 END AS score FROM f2 WHERE p <= 60)
 SELECT doc_id, loc, round(score, 4) AS score FROM f3 ORDER BY f3.score DESC, p LIMIT 10""")
 def engine_file_search(spark, d):

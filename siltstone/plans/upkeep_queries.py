@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import enrichment, providers
 from siltstone.functions import text as T
-from siltstone.operators import browse, dedupe, evaluate, filters, incremental, lookup, sqlguard, taxonomy, upkeep
+from siltstone.operators import browse, dedupe, evaluate, filters, incremental, lookup, sketches, sqlguard, taxonomy, upkeep
 from siltstone.plans.registered import query
 from siltstone.session import table
 from siltstone.sources import extract, files, protocol, registry, sinks, tables
@@ -213,6 +213,48 @@ def broken_elections(spark, d):
     return broken.select("doc_id", F.when(F.col("doc_id") == F.col("canonical_doc_id"), "itself").otherwise("stranded").alias("problem"))
 
 
+_MOVED = """e AS (SELECT doc_id, sha256(text) AS h FROM documents), o AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS c FROM e WHERE doc_id % 13 <> 5),
+m AS (SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN sha256(concat('moved ', doc_id % 4)) ELSE h END AS h, doc_id % 11 <> 3 AND doc_id % 13 <> 5 AND doc_id = c AS led FROM e LEFT JOIN (SELECT doc_id, c FROM o) USING (doc_id) WHERE doc_id % 7 <> 0 OR doc_id % 11 = 3 OR doc_id % 13 = 5)"""
+
+
+def _changed(spark, d):
+    """An election of documents, and changes: some go, some get another text, some are new."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    elected = dedupe.elect(dedupe.with_identity(docs.where("doc_id % 13 <> 5"), "text"), ["doc_id"]).drop("text")
+    other = F.when(F.col("doc_id") % 11 == 3, F.concat(F.lit("moved "), (F.col("doc_id") % 4).cast("string"))).otherwise(F.col("text"))
+    put = dedupe.with_identity(docs.where("doc_id % 11 = 3 or doc_id % 13 = 5").withColumn("text", other), "text").drop("text").withColumn("op", F.lit("put"))
+    gone = elected.where("doc_id % 7 = 0 and doc_id % 11 <> 3 and doc_id % 13 <> 5").select("doc_id", "size_bytes", "content_hash", F.lit("delete").alias("op"))
+    return elected, put.select("doc_id", "size_bytes", "content_hash", "op").unionByName(gone)
+
+
+@query(f"WITH {_MOVED} SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY NOT coalesce(led, false), doc_id) AS canonical FROM m")
+def election_upkeep(spark, d):
+    """An election that is kept up: only what has another outcome is given back and put in place."""
+    elected, changes = _changed(spark, d)
+    delta = dedupe.reelected(elected, changes, ["doc_id"])
+    kept = elected.join(delta.select("doc_id"), "doc_id", "left_anti")
+    return kept.unionByName(delta.where("op = 'put'").drop("op")).select("doc_id", F.col("canonical_doc_id").alias("canonical"))
+
+
+@query(f"WITH {_MOVED} SELECT doc_id, EXISTS (SELECT 1 FROM o WHERE o.c = e.doc_id AND o.doc_id <> e.doc_id) AND doc_id % 11 = 3 AND doc_id % 13 <> 5 AS refused FROM e WHERE doc_id % 11 = 3 OR doc_id % 13 = 5")
+def stranding_writes(spark, d):
+    """Writes that would leave duplicates without their canonical document are refused."""
+    elected, changes = _changed(spark, d)
+    good, bad = dedupe.stranding_writes(elected, changes.where("op = 'put'"))
+    return good.select("doc_id", F.lit(False).alias("refused")).unionByName(bad.select("doc_id", F.lit(True).alias("refused")))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near, true AS p95_near FROM events GROUP BY 1")
+def stored_sketches(spark, d):
+    """Sketches by type and day, stored and merged by type, are as near to the exact numbers as they promise."""
+    e, path = table(spark, d, "events"), f"{shared_folder(spark)}/sketches"
+    sketches.sketches(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value").write.parquet(path)
+    got = sketches.merged(spark.read.parquet(path), ["event_type"]).select("event_type", F.col("n").alias("m"), sketches.distinct_count("distinct_sketch").alias("u"), sketches.quantile("value_sketch", 0.5).alias("q50"), sketches.quantile("value_sketch", 0.95).alias("q95"))
+    below = lambda q: F.sum((F.col("value") <= F.col(q)).cast("int")) / F.count(F.lit(1))
+    x = e.join(F.broadcast(got), "event_type").groupBy("event_type").agg(F.first("m").alias("n"), F.count_distinct("user_id").alias("users"), F.first("u").alias("u"), below("q50").alias("r50"), below("q95").alias("r95"))
+    return x.select("event_type", "n", "users", (F.abs(F.col("u") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("users_near"), (F.abs(F.col("r50") - 0.5) <= 0.025).alias("median_near"), (F.abs(F.col("r95") - 0.95) <= 0.025).alias("p95_near"))
+
+
 # ---- records, sinks, hits -----------------------------------------------------------------------------------------
 
 
