@@ -68,11 +68,16 @@ def _object(text: str | None) -> str | None:
             ends.append((k + 1, tuple(stack)))
         elif c == ",":
             ends.append((k, tuple(stack)))
-    whole = [(s[start:], '"' if quoted else "", tuple(stack))] + [(s[start:k], "", open_) for k, open_ in reversed(ends[-60:])]
+    whole = [(s[start:], '"' if quoted else "", tuple(stack))] + [(s[start:k], "", open_) for k, open_ in reversed(ends)]
+    reach = len(s)
     for part, close, open_ in whole:
+        if len(part) > reach:  # it holds the place where a longer one was found to be broken
+            continue
+        own = part.rstrip().rstrip(",")
         try:
-            got = json.loads(part.rstrip().rstrip(",") + close + "".join(reversed(open_)))
-        except json.JSONDecodeError:
+            got = json.loads(own + close + "".join(reversed(open_)))
+        except json.JSONDecodeError as e:
+            reach = min(reach, e.pos) if e.pos < len(own) else reach
             continue
         return json.dumps(got, ensure_ascii=False) if isinstance(got, dict) else None
     return None

@@ -277,6 +277,18 @@ def bm25_topk(spark, d):
     return _words(spark, d, WORDS, 50).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT count(*) AS texts, sum(len(t))::BIGINT AS tokens, (SELECT count(DISTINCT x) FROM (SELECT unnest({search_sql.TERM}) AS x FROM documents)) AS terms FROM (SELECT {search_sql.TERM} AS t FROM documents)")
+def postings_build(spark, d):
+    """An index of all documents, made anew."""
+    from siltstone.sources.snapshots import shared_folder
+
+    index = Postings(spark, shared_folder(spark))
+    index.build(_docs(spark, d).select(F.col("id").alias("key"), "text"))
+    rows = index._rows()
+    n, total = index.size(rows)
+    return index._open(rows[0].path).where("term <> ''").agg(F.lit(n).cast("long").alias("texts"), F.lit(total).cast("long").alias("tokens"), F.count_distinct("term").alias("terms"))
+
+
 _PHRASES = ("And attion TO", "the the the")
 
 

@@ -124,10 +124,17 @@ def engine_sor_query(spark, d):
     return spark.createDataFrame([(x,) for x in _engine(spark, d).sor_query("SELECT r_name FROM region").split("\n")], "line string")
 
 
-@query("SELECT 'region(r_regionkey int, r_name string)' AS line")
+_NAMES = ("region", "nation", "customer", "supplier")
+
+
+@query(f"""SELECT concat(table_name, '(', string_agg(concat(column_name, ' ', CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END), ', ' ORDER BY ordinal_position), ')') AS line
+FROM information_schema.columns WHERE table_name IN {_NAMES} GROUP BY table_name""")
 def engine_sor_schema(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("region")
-    return spark.createDataFrame([(x,) for x in _engine(spark, d).sor_schema().split("\n") if x.startswith("region(")], "line string")
+    """The columns of the tables that statements may use."""
+    for n in _NAMES:
+        table(spark, d, n).createOrReplaceTempView(n)
+    lines = _engine(spark, d).sor_schema().split("\n")
+    return spark.createDataFrame([(x,) for x in lines if x.split("(")[0] in _NAMES], "line string")
 
 
 @query("SELECT concat('tag:', n_name) AS id, n_name AS name, CASE WHEN n_nationkey = 1 THEN 'retired' ELSE 'active' END AS status FROM nation WHERE n_nationkey <> 2")

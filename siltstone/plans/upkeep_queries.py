@@ -97,12 +97,12 @@ def shadow_and_promote(spark, d):
     return before.unionByName(t.read().agg(F.lit("after").alias("state"), F.count(F.lit(1)).alias("n")))
 
 
-@query("SELECT * FROM (VALUES ('tagged', 1::BIGINT), ('kept', 2), ('pruned', 1), ('restored', (SELECT count(*) FROM documents WHERE doc_id < 10))) t(what, n)")
+@query("SELECT * FROM (VALUES ('tagged', 1::BIGINT), ('kept', 2), ('pruned', 1), ('restored', (SELECT count(*) FROM documents WHERE lang <> 'de'))) t(what, n)")
 def tags_and_prune(spark, d):
-    t, docs = _fresh(spark, "t"), _docs(spark, d).select("doc_id")
-    t.replace(docs.where("doc_id < 10"))
+    t, docs = _fresh(spark, "t"), _docs(spark, d).select("doc_id", "lang")
+    t.replace(docs.where("lang <> 'de'"))
     t.tag("daily")
-    t.replace(docs.where("doc_id < 20"))
+    t.replace(docs.where("lang = 'en'"))
     t.replace(docs)
     gone = t.prune(0.0)
     kept, tags = t.versions(), t.tags()
@@ -125,12 +125,14 @@ def recover_newest_readable(spark, d):
     return t.recover()
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, 5 AS files_before, 1 AS files FROM documents GROUP BY 1")
 def compact_files(spark, d):
     t = _fresh(spark, "t")
+    files_of = lambda: len(t.read().inputFiles())
     t.replace(_docs(spark, d).select("doc_id", "lang").repartition(5))
+    before = files_of()
     t.compact(1)
-    return t.read().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return t.read().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumns({"files_before": F.lit(before), "files": F.lit(files_of())})
 
 
 # ---- registry -----------------------------------------------------------------------------------------------------
@@ -278,10 +280,10 @@ def normalized_messages(spark, d):
     return protocol.build_source(spark, config).scan().select("doc_id", "text")
 
 
-@query("SELECT CASE WHEN lang = 'en' THEN doc_id::VARCHAR ELSE concat(lang, '::', doc_id) END AS doc_id, CASE WHEN lang = 'en' THEN 'documents' ELSE lang END AS source_name FROM documents WHERE lang IN ('en', 'de', 'fr')")
+@query("SELECT CASE WHEN lang = 'en' THEN doc_id::VARCHAR ELSE concat(lang, '::', doc_id) END AS doc_id, CASE WHEN lang = 'en' THEN 'documents' ELSE lang END AS source_name FROM documents")
 def union_of_sources(spark, d):
     own = lambda lang: _docs(spark, d).where(F.col("lang") == lang).select(F.col("doc_id").cast("string").alias("doc_id"))
-    return files.union_sources({"documents": own("en"), "de": own("de"), "fr": own("fr").withColumn("extra", F.lit(1))}).select("doc_id", "source_name")
+    return files.union_sources({"documents": own("en"), "de": own("de"), "fr": own("fr").withColumn("extra", F.lit(1)), "es": own("es").withColumn("other", F.lit("x"))}).select("doc_id", "source_name")
 
 
 @query("SELECT concat('t%2F', c) AS canonical, count(*) AS n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS c FROM documents) WHERE doc_id <> c GROUP BY 1")
@@ -332,10 +334,11 @@ def listed_documents(spark, d):
     return browse.listed_documents(rows).select("doc_id", "mtime_iso", F.array_join("tags", "|").alias("tags"))
 
 
-@query("SELECT p_partkey, 'brand' AS keys FROM part")
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 3 > 0 THEN concat('brand=', p_brand) END, CASE WHEN p_size % 3 < 2 THEN concat('x_', p_size, '=', p_type) END) AS entries FROM part")
 def public_metadata(spark, d):
-    m = F.create_map(F.lit("brand"), "p_brand", F.lit("_secret"), "p_name")
-    return _part(spark, d).select("p_partkey", F.array_join(F.map_keys(browse.public_metadata(m)), ",").alias("keys"))
+    private = lambda c, name: F.concat(F.when(c, "_").otherwise(""), name)
+    m = F.create_map(private(F.col("p_size") % 3 == 0, F.lit("brand")), "p_brand", private(F.col("p_size") % 3 == 2, F.concat(F.lit("x_"), "p_size")), "p_type", F.lit("_secret"), "p_name")
+    return _part(spark, d).select("p_partkey", F.array_join(F.transform(F.map_entries(browse.public_metadata(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("entries"))
 
 
 @query("SELECT turn FROM conversations WHERE conv_id = 1 ORDER BY turn::VARCHAR")
@@ -760,10 +763,13 @@ def pdf_pages(spark, d):
     return x.select("p_partkey", "p.page", "p.text", "p.was_ocr")
 
 
-@query("SELECT doc_id, text AS page_content, concat('doc_id,lang') AS keys FROM documents")
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 5 > 0 THEN text END, '') AS page_content, concat('doc_id=', doc_id, CASE WHEN doc_id % 3 > 0 THEN concat(',lang=', lang) ELSE '' END, CASE WHEN lang <> 'en' THEN concat(',source=', source) ELSE '' END) AS metadata FROM documents")
 def retrieved_documents(spark, d):
-    r = browse.retrieved(_docs(spark, d).select("doc_id", "lang", "text"))
-    return r.select(F.col("metadata")["doc_id"].cast("long").alias("doc_id"), "page_content", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
+    """Fields that are null or empty are not among a document's metadata."""
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), F.when(F.col("lang") == "en", "").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("text"))
+    r = browse.retrieved(rows)
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return r.select(F.col("metadata")["doc_id"].cast("long").alias("doc_id"), "page_content", F.array_join(entries, ",").alias("metadata"))
 
 
 # ---- enrichment and evaluation ------------------------------------------------------------------------------------
