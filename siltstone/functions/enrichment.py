@@ -195,3 +195,63 @@ def mentions_context(text: Column) -> Column:
 def consistent_confidence(confidence: Column, said: Column) -> Column:
     """High confidence beside words of doubt is ambiguous."""
     return F.when((F.lower(confidence) == "high") & _has(F.lower(said), AMBIGUOUS), "ambiguous").otherwise(confidence)
+
+
+#: Fields that say what of a record comes from its context.
+CONTEXT = ("entities_people", "entities_places", "entities_orgs", "entities_dates", "topics", "key_facts", "relationship", "confidence", "source_message_ids", "warning")
+#: Fields whose words may give away that a context was used.
+MENTIONING = ("summary", "key_facts", "entities_people", "entities_places", "entities_orgs", "entities_dates", "topics", "keywords", "suggested_tags", "suggested_folder")
+#: What a repaired record says of its context.
+USED = "llm_used_nearby_context"
+OMITTED = "LLM used nearby context in non-context fields but omitted structured context fields; provenance inferred from prompt context."
+DOUBTFUL = "Nearby context is ambiguous or conflicting; verify before relying on it."
+
+
+def _values(value: Column) -> Column:
+    """Items of a JSON list or of a comma-list."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    parsed = F.when(v.startswith("["), F.from_json(v, "array<string>"))
+    return F.filter(F.transform(F.coalesce(parsed, F.split(v, ",")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def message_ids(text: Column) -> Column:
+    """Ids of messages (`message_id=…` or `source_message_id=…`, up to a bracket or blank) in a prompt's context."""
+    return F.regexp_extract_all(text, F.lit(r"\b(?:source_message_id|message_id)=([^\]\s]+)"), F.lit(1))
+
+
+def context_sources(context: Column, values: Column) -> Column:
+    """Ids of the context's lines that have one of the values, in order; where none has, all ids."""
+    low = F.transform(values, lambda v: F.lower(v))
+    telling = F.filter(F.split(context, r"\r\n|\n|\r"), lambda x: (F.size(low) == 0) | F.exists(low, lambda v: F.contains(F.lower(x), v)))
+    found = F.array_distinct(F.flatten(F.transform(telling, message_ids)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(message_ids(context)))
+
+
+def repaired_context(record: dict[str, Column], primary: Column, context: Column) -> dict[str, Column]:
+    """A record that used its context but does not say so: what only the context has is named as such, with where it is from and a warning; then confidence and doubt agree.
+
+    Nothing is repaired without a context, or where the record has fields of its own about it and nothing was copied.
+    """
+    of = lambda k: F.coalesce(record.get(f"enr_{k}", F.lit("")), F.lit(""))
+    there = F.trim(F.coalesce(context, F.lit(""))) != ""
+    own, near = F.lower(F.coalesce(primary, F.lit(""))), F.lower(F.coalesce(context, F.lit("")))
+    out, copied = {f"enr_{k}": F.coalesce(c, F.lit("")) for k, c in ((k.removeprefix("enr_"), c) for k, c in record.items())}, []
+    for k in ("people", "places", "orgs", "dates"):
+        only = F.filter(_values(of(f"entities_{k}")), lambda v: F.contains(near, F.lower(v)) & ~F.contains(own, F.lower(v)))
+        only = F.when(there & (of(f"context_entities_{k}") == ""), only).otherwise(F.array().cast("array<string>"))
+        copied.append(only)
+        out[f"enr_context_entities_{k}"] = F.when(F.size(only) > 0, F.array_join(only, ", ")).otherwise(of(f"context_entities_{k}"))
+    values = F.concat(*copied)
+    mentioned = _has(F.lower(F.concat_ws(" ", *[of(k) for k in MENTIONING])), NEARBY)
+    said = F.lit(False)
+    for k in CONTEXT:
+        said = said | (of(f"context_{k}") != "")
+    repair = there & ((F.size(values) > 0) | (mentioned & ~said))
+    fill = lambda k, v: F.when(repair & (of(f"context_{k}") == ""), v).otherwise(of(f"context_{k}"))
+    relationship, warning, confidence = fill("relationship", F.lit(USED)), fill("warning", F.lit(OMITTED)), fill("confidence", F.lit("medium"))
+    out["enr_context_source_message_ids"] = fill("source_message_ids", F.array_join(context_sources(F.trim(F.coalesce(context, F.lit(""))), values), ", "))
+    doubt = there & (F.lower(confidence) == "high") & _has(F.lower(F.concat_ws(" ", relationship, warning)), AMBIGUOUS)
+    out["enr_context_relationship"] = relationship
+    out["enr_context_confidence"] = F.when(doubt, "ambiguous").otherwise(confidence)
+    out["enr_context_warning"] = F.when(doubt & (warning == ""), DOUBTFUL).otherwise(warning)
+    return out

@@ -830,6 +830,29 @@ def context_repairs(spark, d):
     return _part(spark, d).select("p_partkey", enrichment.from_context(values, primary, ctx).alias("only_there"), enrichment.mentions_context(said).alias("mentions"), enrichment.consistent_confidence(F.lit("high"), said).alias("confidence"))
 
 
+@query(f"""WITH r AS (SELECT p_partkey, [p_brand, 'Ann'] AS people, CASE WHEN p_size % 2 = 0 THEN concat('ann wrote of ', p_name) ELSE p_name END AS own, CASE WHEN p_size % 3 = 0 THEN 'From Context it seems' ELSE p_type END AS summary,
+CASE WHEN p_size % 5 = 0 THEN 'rent' ELSE '' END AS topics, CASE WHEN p_size % 7 = 0 THEN 'High' ELSE '' END AS conf, CASE WHEN p_size % 4 = 0 THEN 'possibly a reply' ELSE '' END AS rel,
+CASE WHEN p_size % 11 > 0 THEN [concat('[message_id=m', p_partkey, '] ', CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END), concat('[source_message_id=s', p_size, '] hello ', CASE WHEN p_partkey % 3 = 0 THEN 'ann' ELSE 'bob' END), 'no id'] ELSE [] END AS ctx FROM part),
+x AS (SELECT *, list_filter(people, lambda v: contains(lower(array_to_string(ctx, chr(10))), lower(v)) AND NOT contains(lower(own), lower(v))) AS solely FROM r),
+y AS (SELECT *, len(ctx) > 0 AND (len(solely) > 0 OR (p_fits AND topics = '' AND conf = '' AND rel = '')) AS mend, list_filter(ctx, lambda c: len(solely) = 0 OR len(list_filter(solely, lambda v: contains(lower(c), lower(v)))) > 0) AS telling FROM (SELECT *, summary = 'From Context it seems' AS p_fits FROM x)),
+z AS (SELECT *, CASE WHEN conf <> '' THEN conf WHEN mend THEN 'medium' ELSE '' END AS c, CASE WHEN mend THEN '{enrichment.OMITTED}' ELSE '' END AS w, CASE WHEN rel <> '' THEN rel WHEN mend THEN '{enrichment.USED}' ELSE '' END AS l FROM y)
+SELECT p_partkey, array_to_string(solely, ', ') AS people, l AS relationship, CASE WHEN len(ctx) > 0 AND c = 'High' AND contains(l, 'possibly') THEN 'ambiguous' ELSE c END AS confidence,
+CASE WHEN len(ctx) > 0 AND c = 'High' AND contains(l, 'possibly') AND w = '' THEN '{enrichment.DOUBTFUL}' ELSE w END AS warning,
+CASE WHEN mend THEN array_to_string(list_filter(list_transform(telling, lambda c: regexp_extract(c, 'message_id=([^\\]\\s]+)', 1)), lambda i: i <> ''), ', ') ELSE '' END AS ids FROM z""")
+def context_omissions(spark, d):
+    """Records that used their context without saying so, and others that said so, had none or doubt."""
+    n, when = F.col("p_size"), lambda c, v: F.when(c, v).otherwise(F.lit(""))
+    own = F.concat(when(n % 2 == 0, F.lit("ann wrote of ")), "p_name")
+    lines = [F.concat(F.lit("[message_id=m"), F.col("p_partkey").cast("string"), F.lit("] "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type"))), F.concat(F.lit("[source_message_id=s"), n.cast("string"), F.lit("] hello "), F.when(F.col("p_partkey") % 3 == 0, "ann").otherwise("bob")), F.lit("no id")]
+    record = {
+        "enr_entities_people": F.concat("p_brand", F.lit(", Ann")), "enr_summary": F.when(n % 3 == 0, "From Context it seems").otherwise(F.col("p_type")), "enr_context_topics": when(n % 5 == 0, F.lit("rent")),
+        "enr_context_confidence": when(n % 7 == 0, F.lit("High")), "enr_context_relationship": when(n % 4 == 0, F.lit("possibly a reply")),
+    }
+    r = enrichment.repaired_context(record, own, F.when(n % 11 > 0, F.concat_ws("\n", *lines)))
+    named = {"people": "entities_people", "relationship": "relationship", "confidence": "confidence", "warning": "warning", "ids": "source_message_ids"}
+    return _part(spark, d).select("p_partkey", *[r[f"enr_context_{v}"].alias(k) for k, v in named.items()])
+
+
 def _weighted(cols):
     return evaluate.case_score({"doc_type": cols["a"], "topics": cols["b"], "summary": F.lit(None).cast("double")})
 
