@@ -98,7 +98,16 @@ def test_nested_quotes_against_a_plain_walk(spark):
     rng.shuffle(rows)
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.turn): (r.reply_to, r.thread, r.n_quoted, r.n_linked) for r in got} == want
-    assert [(r.conv_id, r.thread, r.turn) for r in got] == sorted((r.conv_id, r.thread, r.turn) for r in got)
+    order = []
+
+    def walk(conv, turn):
+        order.append((conv, turn))
+        for t in sorted(t for (c, t), v in want.items() if c == conv and v[0] == turn):
+            walk(conv, t)
+
+    for conv, turn in sorted(k for k, v in want.items() if v[0] is None):
+        walk(conv, turn)
+    assert [(r.conv_id, r.turn) for r in got] == order and any(a[0] == b[0] and a[1] > b[1] for a, b in zip(order, order[1:], strict=False))
     assert not any(line.startswith(">") for r in got for line in r.text.split("\n"))
 
 
@@ -109,3 +118,13 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert len(got) == 5 and sorted((r.turn, r.thread) for r in got if r.conv_id == 1 and r.turn is not None) == [(0, 0), (1, 0), (1, 0)]
     assert {r["row"].thread for r in quotes.link_quotes(docs).collect()} == {"x", "y", "z"}
     assert quotes.conversations(docs.limit(0)).collect() == []
+
+
+def test_replies_stand_behind_what_they_answer(spark):
+    rows = [(1, 0, "a", "root line"), (1, 1, "b", "> root line\nfirst"), (1, 2, "c", "> root line\nsecond"), (1, 3, "d", "> first\nthird"), (1, 4, "e", "> third\nfourth"), (1, 5, "f", "> second\nfifth"), (1, 6, "g", "alone")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.turn, r.thread, r.place) for r in got] == [(0, 0, 0), (1, 0, 1), (3, 0, 2), (4, 0, 3), (2, 0, 4), (5, 0, 5), (6, 6, 0)]
+    long = "\n".join(f"> line {k}" for k in range(40_000))
+    many = [(1, 0, "a", "\n".join(f"line {k}" for k in range(40_000)))] + [(1, k, "b", f"> line {k}\nanswer {k}") for k in range(1, 400)] + [(1, 400, "c", long)]
+    got = quotes.conversations(spark.createDataFrame(many, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.turn, r.place) for r in got] == [(k, k) for k in range(401)] and got[-1].n_linked == 40_000
