@@ -123,6 +123,17 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", "base", apart.alias("loose"))
 
 
+#: What may stand between a label and an identifier without a blank.
+_GLUE = r"[:=(<\[\"'|;,]"
+
+
+def left_words(text: Column) -> Column:
+    """All that may be a left word in a text, in lower case: its words, and of words that go on behind a sign what stands up to the first one."""
+    words = F.split(F.lower(text), r"[\x09-\x0D\x20]+")
+    both = lambda w: F.when(w.rlike(_GLUE), F.filter(F.array(w, F.regexp_extract(w, rf"^(.*?{_GLUE}).", 1)), lambda x: x != "")).otherwise(F.array(w))
+    return F.flatten(F.transform(words, both))
+
+
 def trusted(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, left, inst) of the candidates to add, by scoring the graph of patterns and identifiers."""
     seen = found.select(F.explode("base").alias("s"), F.lit(1.0).alias("seed")).union(found.select(F.explode("loose").alias("s"), F.lit(0.0)))
@@ -131,7 +142,7 @@ def trusted(found: DataFrame, docs: DataFrame) -> DataFrame:
     met = edges.groupBy("kind", "left").agg(F.sum("n").alias("n"), F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("others"))
     # Patterns that only seeds have change no score, as those of seeds are fixed.
     met = stored(met.where(F.col("others") > 0))
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x09-\x0D\x20]+")).alias("left")).groupBy("left").agg(F.count(F.lit(1)).alias("all"))
+    words = docs.select(F.explode(left_words(F.col("text").cast("string"))).alias("left")).groupBy("left").agg(F.count(F.lit(1)).alias("all"))
     good = met.join(words, "left").withColumn("specific", F.least(F.col("n") / F.col("all"), F.lit(1.0))).where(F.col("specific") >= CONFIDENCE)
     graph = stored(edges.join(good.select("kind", "left", "specific"), ["kind", "left"]))
     known = stored(graph.groupBy("kind", "inst").agg(F.max("seed").alias("score")))

@@ -158,3 +158,15 @@ def test_repeated_rows_and_missing_ids(spark):
     t = "write to me@host.org"
     got = pii.personal_data(spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == sorted([(1, "email:9:20"), (1, "email:9:20"), (None, "email:9:20")], key=repr)
+
+
+def test_identifiers_that_touch_their_label(spark):
+    """A label without a blank behind it is a pattern as well, and one that stands before all sorts of words is none."""
+    rows = [(k, f"please see mailbox:user{k}@host.org soon") for k in range(40)] + [(100 + k, f"write to mailbox:jane{k}(at)host{k}(dot)org today") for k in range(4)]
+    rows += [(200 + k, f"odd note:user{k}@host.org") for k in range(5)] + [(300 + k, f"odd note:plain{k}") for k in range(60)] + [(400, "odd note:kim(at)host(dot)org")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(4):
+        text = rows[40 + k][1]
+        start = text.index("jane")
+        assert got[100 + k] == f"email:{start}:{text.index(' today')}"
+    assert got[400] == "" and got[0].startswith("email:")
