@@ -22,15 +22,20 @@ def check(sql: str | None) -> str | None:
     return None if s.lower().startswith(("select", "with")) else "only a single SELECT or WITH query is allowed"
 
 
-def guarded(spark: SparkSession, sql: str, limit: int = 50) -> tuple[DataFrame, int]:
-    """The rows of a query, one more than the limit at most, and the limit.
+def whole(spark: SparkSession, sql: str) -> DataFrame:
+    """All rows of a query, for those who do not bring them to the driver.
 
     The query stands in parentheses, where the parser takes nothing but a query.
     """
     if why := check(sql):
         raise ValueError(why)
+    return spark.sql(f"SELECT * FROM (\n{_inner(sql)}\n) AS _sub")
+
+
+def guarded(spark: SparkSession, sql: str, limit: int = 50) -> tuple[DataFrame, int]:
+    """The rows of a query, one more than the limit at most, and the limit."""
     most = max(1, min(int(limit), MOST_ROWS))
-    return spark.sql(f"SELECT * FROM (\n{_inner(sql)}\n) AS _sub LIMIT {most + 1}"), most
+    return whole(spark, sql).limit(most + 1), most
 
 
 def cell(c: Column, width: int = CELL) -> Column:

@@ -101,6 +101,18 @@ def test_sql_answers(spark):
     with pytest.raises(Exception):  # noqa: B017
         sqlguard.guarded(spark, "select 1) as a; drop table x; select (1", 5)[0].collect()
 
+def test_registered_sql_has_all_its_rows(spark, tmp_path):
+    """The cap of answers is not one of tables."""
+    from siltstone.plans import catalogue
+
+    n = sqlguard.MOST_ROWS + 500
+    for t in ["region", "nation", "customer", "supplier", "orders", "events", "documents"]:
+        spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.range(n).selectExpr("id as p_partkey", "'b' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(n).selectExpr("id as l_partkey", "50.0D as l_quantity", "0.0D as l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalogue.QUERIES["sor_semi_anti"](spark, str(tmp_path)).count() == n
+    assert sqlguard.guarded(spark, f"select * from range({n})", n)[0].count() == sqlguard.MOST_ROWS + 1
+
 
 def test_lookup_verdicts(spark):
     docs = spark.createDataFrame([(1, "Alice Cooper callback at (484) 735-8527", 0.5), (2, "Alice Jones", 0.9), (3, "nothing", 0.99)], "id int, text string, score double")
