@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -181,3 +182,16 @@ def test_reports_and_seeds(spark, tmp_path):
         c.execute("insert into tags values ('ml', 'learning', 'ai, machine learning')")
     got = taxonomy.read_sqlite(spark, str(tmp_path / "t.db"), "select name, description, aliases from tags", "tag").first()
     assert (got.id, got.aliases) == ("tag:ml", ["ai", "machine learning"])
+
+
+def test_a_date_is_read_in_the_format_it_has_the_outline_of(spark):
+    """Every outline lets through what its format reads, and texts of other outlines are not tried."""
+    from siltstone.operators import evaluate
+
+    told = {
+        "2024-3-5": "2024-03-05", "2024/03/05": "2024-03-05", "3/5/2024": "2024-03-05", "3-5-2024": "2024-03-05", "March 5th, 2024": "2024-03-05", "MAR 5 2024": "2024-03-05",
+        "5 march 2024": "2024-03-05", "5th Mar, 2024": "2024-03-05", "2/30/2024": "2/30/2024", "13/1/2024": "13/1/2024", "soon": "soon", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in told], "t string").select("t", evaluate.iso_date(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in rows} == told
+    assert [f for f in evaluate.DATE_FORMATS if re.search(evaluate._outline(f), "3/5/2024")] == ["M/d/yyyy"]
