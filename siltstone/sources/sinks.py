@@ -32,10 +32,14 @@ class Log:
         numbers.withColumn("id", F.col("id") + F.lit((last or 0) + 1)).select("id", *rows.columns).write.mode("append").parquet(self.path)
 
 
+#: Folders of an archive: their number is fixed, so that files do not grow with the documents that have duplicates.
+FOLDERS = 16
+
+
 def archive_duplicates(elected: DataFrame, path: str) -> None:
-    """Rows of duplicates as JSON below the name of their canonical document."""
-    dups = elected.where("dedupe_status = 'duplicate'")
-    dups.withColumn("canonical", archive_name(F.col("canonical_doc_id").cast("string"))).write.mode("append").partitionBy("canonical").json(path)
+    """Rows of duplicates as JSON with the name of their canonical document, in folders by its hash."""
+    dups = elected.where("dedupe_status = 'duplicate'").withColumn("canonical", archive_name(F.col("canonical_doc_id").cast("string")))
+    dups.withColumn("folder", F.pmod(F.xxhash64("canonical"), F.lit(FOLDERS))).write.mode("append").partitionBy("folder").json(path)
 
 
 def report(tables: dict[str, DataFrame], path: str) -> None:

@@ -159,3 +159,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/arch").first().canonical == "t%2F1"
     sinks.run_metadata(spark, f"file://{tmp_path}/meta", {"docs": 3})
     assert json.loads(spark.read.text(f"file://{tmp_path}/meta").first()[0]) == {"docs": 3}
+
+
+def test_an_archive_has_no_file_for_each_document(spark, tmp_path):
+    n = 200
+    e = spark.range(n).coalesce(1).selectExpr("id as doc_id", "'duplicate' as dedupe_status", "concat('t/', id) as canonical_doc_id")
+    sinks.archive_duplicates(e, f"file://{tmp_path}/arch")
+    back = spark.read.json(f"file://{tmp_path}/arch")
+    assert {r.canonical for r in back.collect()} == {f"t%2F{k}" for k in range(n)}
+    assert len(list((tmp_path / "arch").rglob("*.json"))) <= sinks.FOLDERS
