@@ -128,3 +128,29 @@ def test_equal_texts_score_alike_whatever_the_order_of_postings(spark, tmp_path)
     df = spark.createDataFrame(posts, "key int, term string, tf int, dl int").coalesce(1)
     scores = {r.score for r in index._scored(df, idf, 5.3).collect()}
     assert len(scores) == 1
+
+
+def test_counts_and_ranges_of_a_batch_against_plain_code(spark):
+    """Rows are packed by ranges of (term, falling impact, hash of the key); what is counted of texts that are gone is combined before it is shuffled."""
+    import pyarrow as pa
+
+    rows = [("a", "Ünit the the 7"), ("b", None), ("c", "-- the!!"), ("d", "")]
+    got = {r.term: (r.n, r.dl) for r in postings.term_counts(frame(spark, rows)).collect()}
+    assert got == {"": (4, 5), "ünit": (1, 4), "the": (2, 5), "7": (1, 4)}
+    terms, impact, kh = ["a", "b", "b", "b", "b", "c", "𝒳"], [1.0, 3.0, 2.0, 2.0, 1.0, 9.0, 1.0], [5, 5, 6, 8, 0, 0, 0]
+    bounds = [("b", 2.5, 0), ("b", 2.0, 7), ("ｂ", 1.0, 0)]
+    at = postings._ranges(pa.array(terms), *map(postings.np.array, (impact, kh)), bounds)
+    assert at.tolist() == [sum((t, -i, h) >= (bt, -bi, bh) for bt, bi, bh in bounds) for t, i, h in zip(terms, impact, kh, strict=True)] == [0, 0, 1, 2, 2, 2, 3]
+
+
+def test_a_segment_is_packed_before_its_shuffle(spark, tmp_path, monkeypatch):
+    """A task has a row for each range of what it counts, not one for each text and word; an update by no texts adds no segment."""
+    index, seen = Postings(spark, f"file://{tmp_path}/index"), []
+    whole = type(frame(spark, [])).repartitionById
+    monkeypatch.setattr(type(frame(spark, [])), "repartitionById", lambda df, n, by: (seen.append((n, df.count(), df.rdd.getNumPartitions())), whole(df, n, by))[1])
+    rows = drawn(5000, 9)
+    index.update(frame(spark, rows))
+    ((n, packed, tasks),) = seen
+    assert n > 1 and packed <= n * tasks
+    index.update(frame(spark, []))
+    assert len(index._rows()) == 1 and ranked(index.search("cat ünit", 30)) == plain_rank(spark, rows, "cat ünit", 30)
