@@ -33,19 +33,25 @@ def error(code: str, message: str, fix: str) -> dict:
     return {"error": True, "code": code, "message": message, "fix": fix}
 
 
+def hash_embeddings(texts: Sequence[str | None], size: int = 64) -> list[np.ndarray]:
+    """Deterministic unit vectors from the words of texts, in place of a model. A word is hashed once, however often the texts have it."""
+    split = [(t or "").lower().split() for t in texts]
+    known: dict[str, int] = {}
+    code = np.fromiter((known.setdefault(w, len(known)) for words in split for w in words), np.int64)
+    h = np.frombuffer(b"".join(hashlib.sha256(w.encode()).digest()[:5] for w in known), np.uint8).reshape(-1, 5)
+    at, sign = h[:, :4].copy().view(">u4").ravel().astype(np.int64) % size, np.where(h[:, 4] & 1, 1.0, -1.0)
+    row = np.repeat(np.arange(len(split)), [len(words) for words in split])
+    sums = np.bincount(row * size + at[code], sign[code], len(split) * size).astype(float).reshape(len(split), size)
+    return [v / n if (n := np.sqrt((v * v).sum())) else v for v in sums]
+
+
 def hash_embedding(text: str, size: int = 64) -> list[float]:
-    """A deterministic unit vector from a text's words, in place of a model."""
-    v = np.zeros(size)
-    for w in (text or "").lower().split():
-        h = hashlib.sha256(w.encode()).digest()
-        v[int.from_bytes(h[:4], "big") % size] += 1 if h[4] & 1 else -1
-    n = np.sqrt((v * v).sum())
-    return (v / n if n else v).tolist()
+    return hash_embeddings([text], size)[0].tolist()
 
 
 def embed(text: Column, size: int = 64) -> Column:
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hash_embedding(t, size))
+        return pd.Series(hash_embeddings(s.tolist(), size), index=s.index, dtype=object)
 
     return F.pandas_udf(run, ArrayType(FloatType()))(text)
 

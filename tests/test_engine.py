@@ -178,3 +178,26 @@ def test_events_reach_their_sink_in_batches_and_without_private_keys(spark, tmp_
     batches = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
     assert sorted(map(len, batches)) == [2, 6, 6]  # the batch that holds 13 is lost with a warning, and no other
     assert {e["name"] for b in batches for e in b} == {"odd"} and all(set(e["payload"]) == {"n"} for b in batches for e in b)
+
+
+def test_words_of_a_batch_are_hashed_once_and_vectors_are_those_of_plain_code(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from siltstone import engine
+
+    texts = ["a B a  \u00c9t\u00e9", None, "", "b a " * 300, "x\u3000y"]
+
+    def plain(t, size=64):
+        v = np.zeros(size)
+        for w in (t or "").lower().split():
+            h = hashlib.sha256(w.encode()).digest()
+            v[int.from_bytes(h[:4], "big") % size] += 1 if h[4] & 1 else -1
+        n = np.sqrt((v * v).sum())
+        return (v / n if n else v).tolist()
+
+    want, calls, real = [plain(t) for t in texts], [], hashlib.sha256
+    monkeypatch.setattr(engine.hashlib, "sha256", lambda w: (calls.append(w), real(w))[1])
+    assert [v.tolist() for v in engine.hash_embeddings(texts)] == want and len(calls) == 5
+    assert [engine.hash_embedding(t) for t in texts] == want and engine.hash_embeddings([]) == []
