@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -219,12 +219,19 @@ def message_ids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b(?:source_message_id|message_id)=([^\]\s]+)"), F.lit(1))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column of a value that is computed once a row, however often the body names it, also within its lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def context_sources(context: Column, values: Column) -> Column:
     """Ids of the context's lines that have one of the values, in order; where none has, all ids."""
-    low = F.transform(values, lambda v: F.lower(v))
-    telling = F.filter(F.split(context, r"\r\n|\n|\r"), lambda x: (F.size(low) == 0) | F.exists(low, lambda v: F.contains(F.lower(x), v)))
-    found = F.array_distinct(F.flatten(F.transform(telling, message_ids)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(message_ids(context)))
+
+    def told(low):
+        telling = F.filter(F.split(context, r"\r\n|\n|\r"), lambda x: (F.size(low) == 0) | _once(F.lower(x), lambda line: F.exists(low, lambda v: F.contains(line, v))))
+        return F.array_distinct(F.flatten(F.transform(telling, message_ids)))
+
+    return _once(_once(F.transform(values, lambda v: F.lower(v)), told), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array_distinct(message_ids(context))))
 
 
 def repaired_context(record: dict[str, Column], primary: Column, context: Column) -> dict[str, Column]:
@@ -233,25 +240,39 @@ def repaired_context(record: dict[str, Column], primary: Column, context: Column
     Nothing is repaired without a context, or where the record has fields of its own about it and nothing was copied.
     """
     of = lambda k: F.coalesce(record.get(f"enr_{k}", F.lit("")), F.lit(""))
-    there = F.trim(F.coalesce(context, F.lit(""))) != ""
-    own, near = F.lower(F.coalesce(primary, F.lit(""))), F.lower(F.coalesce(context, F.lit("")))
-    out, copied = {f"enr_{k}": F.coalesce(c, F.lit("")) for k, c in ((k.removeprefix("enr_"), c) for k, c in record.items())}, []
-    for k in ("people", "places", "orgs", "dates"):
-        only = F.filter(_values(of(f"entities_{k}")), lambda v: F.contains(near, F.lower(v)) & ~F.contains(own, F.lower(v)))
-        only = F.when(there & (of(f"context_entities_{k}") == ""), only).otherwise(F.array().cast("array<string>"))
-        copied.append(only)
-        out[f"enr_context_entities_{k}"] = F.when(F.size(only) > 0, F.array_join(only, ", ")).otherwise(of(f"context_entities_{k}"))
-    values = F.concat(*copied)
-    mentioned = _has(F.lower(F.concat_ws(" ", *[of(k) for k in MENTIONING])), NEARBY)
-    said = F.lit(False)
-    for k in CONTEXT:
-        said = said | (of(f"context_{k}") != "")
-    repair = there & ((F.size(values) > 0) | (mentioned & ~said))
-    fill = lambda k, v: F.when(repair & (of(f"context_{k}") == ""), v).otherwise(of(f"context_{k}"))
-    relationship, warning, confidence = fill("relationship", F.lit(USED)), fill("warning", F.lit(OMITTED)), fill("confidence", F.lit("medium"))
-    out["enr_context_source_message_ids"] = fill("source_message_ids", F.array_join(context_sources(F.trim(F.coalesce(context, F.lit(""))), values), ", "))
-    doubt = there & (F.lower(confidence) == "high") & _has(F.lower(F.concat_ws(" ", relationship, warning)), AMBIGUOUS)
-    out["enr_context_relationship"] = relationship
-    out["enr_context_confidence"] = F.when(doubt, "ambiguous").otherwise(confidence)
-    out["enr_context_warning"] = F.when(doubt & (warning == ""), DOUBTFUL).otherwise(warning)
-    return out
+    kinds = ("people", "places", "orgs", "dates")
+    read = {f"context_{k}": of(f"context_{k}") for k in CONTEXT} | {f"entities_{k}": of(f"entities_{k}") for k in kinds}
+    read |= {"own": F.lower(F.coalesce(primary, F.lit(""))), "near": F.lower(F.coalesce(context, F.lit(""))), "context": F.trim(F.coalesce(context, F.lit("")))}
+    read["mentioned"] = _has(F.lower(F.concat_ws(" ", *[of(k) for k in MENTIONING])), NEARBY)
+
+    def copied(x):
+        """What only the context has, by kind."""
+
+        def only(k):
+            found = F.filter(_values(x[f"entities_{k}"]), lambda v: F.contains(x["near"], F.lower(v)) & ~F.contains(x["own"], F.lower(v)))
+            return F.when((x["context"] != "") & (x[f"context_entities_{k}"] == ""), found).otherwise(F.array().cast("array<string>"))
+
+        return _once(F.struct(*[only(k).alias(k) for k in kinds]), lambda c: judged(x, c))
+
+    def judged(x, c):
+        said = F.lit(False)
+        for k in CONTEXT:
+            said = said | (x[f"context_{k}"] != "")
+        values = F.concat(*[c[k] for k in kinds])
+        repair = (x["context"] != "") & ((F.size(values) > 0) | (x["mentioned"] & ~said))
+        return _once(F.struct(values.alias("values"), repair.alias("repair")), lambda r: filled(x, c, r))
+
+    def filled(x, c, r):
+        fill = lambda k, v: F.when(r["repair"] & (x[f"context_{k}"] == ""), v).otherwise(x[f"context_{k}"]).alias(k)
+        ids = F.array_join(context_sources(x["context"], r["values"]), ", ")
+        entities = [F.when(F.size(c[k]) > 0, F.array_join(c[k], ", ")).otherwise(x[f"context_entities_{k}"]).alias(f"entities_{k}") for k in kinds]
+        return F.struct(*entities, fill("source_message_ids", ids), fill("relationship", F.lit(USED)), fill("warning", F.lit(OMITTED)), fill("confidence", F.lit("medium")), x["context"].alias("context"))
+
+    def agreed(m):
+        doubt = (m["context"] != "") & (F.lower(m["confidence"]) == "high") & _has(F.lower(F.concat_ws(" ", m["relationship"], m["warning"])), AMBIGUOUS)
+        kept = [m[k].alias(k) for k in (*(f"entities_{k}" for k in kinds), "source_message_ids", "relationship")]
+        return F.struct(*kept, F.when(doubt, "ambiguous").otherwise(m["confidence"]).alias("confidence"), F.when(doubt & (m["warning"] == ""), DOUBTFUL).otherwise(m["warning"]).alias("warning"))
+
+    made = _once(_once(F.struct(*[c.alias(k) for k, c in read.items()]), copied), agreed)
+    out = {f"enr_{k}": F.coalesce(c, F.lit("")) for k, c in ((k.removeprefix("enr_"), c) for k, c in record.items())}
+    return out | {f"enr_context_{k}": made[k] for k in (*(f"entities_{k}" for k in kinds), "source_message_ids", "relationship", "confidence", "warning")}

@@ -195,3 +195,16 @@ def test_a_date_is_read_in_the_format_it_has_the_outline_of(spark):
     rows = spark.createDataFrame([(k,) for k in told], "t string").select("t", evaluate.iso_date(F.col("t")).alias("d")).collect()
     assert {r.t: r.d for r in rows} == told
     assert [f for f in evaluate.DATE_FORMATS if re.search(evaluate._outline(f), "3/5/2024")] == ["M/d/yyyy"]
+
+
+def test_a_context_is_read_once_for_each_field_of_its_repair(spark):
+    """Values that a repair names often are made once a row: the context is named twice in a field's expression, not once for each use."""
+    from siltstone.functions import enrichment
+
+    rows = [("1", "bob wrote", "[message_id=m1] Ann came\n[message_id=m2] bob", "Ann, Bob", ""), ("2", "x", "", "Ann", ""), ("3", None, "[message_id=m3] possibly ann", "ann", "High")]
+    df = spark.createDataFrame(rows, "id string, own string, ctx string, people string, conf string")
+    r = enrichment.repaired_context({"enr_entities_people": F.col("people"), "enr_context_confidence": F.col("conf")}, F.col("own"), F.col("ctx"))
+    for field in ("confidence", "source_message_ids", "warning"):
+        assert df.select(r[f"enr_context_{field}"].alias("x"))._jdf.queryExecution().analyzed().toString().split("\n")[0].count("ctx#") <= 2
+    got = df.select("id", *[r[f"enr_context_{k}"].alias(k) for k in ("entities_people", "source_message_ids", "confidence")]).collect()
+    assert [tuple(x) for x in got] == [("1", "Ann", "m1", "medium"), ("2", "", "", ""), ("3", "ann", "m3", "High")]
