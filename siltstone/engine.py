@@ -63,6 +63,7 @@ class Engine:
         self.audit = Log(spark, f"{root}/audit")
         self.postings = Postings(spark, f"{root}/postings")
         self.changes = SnapshotTable(spark, f"{root}/changes")
+        self.bare = SnapshotTable(spark, f"{root}/bare")  # documents of which no chunk is made
 
     # ---- search
 
@@ -176,12 +177,12 @@ class Engine:
         return [r.asDict() for r in browse.document_chunks(self.chunks.read().drop("vector"), doc_id).collect()]
 
     def file_list_documents(self, limit: int = 50, offset: int = 0, **named: str | None) -> list[dict]:
-        docs = filters.where(self.chunks.read(), filters.named_filters(**named)).groupBy("doc_id").agg(F.max("mtime").alias("mtime"), F.max("rel_path").alias("rel_path"))
+        docs = filters.where(self._listed(), filters.named_filters(**named)).groupBy("doc_id").agg(F.max("mtime").alias("mtime"), F.max("rel_path").alias("rel_path"))
         return [r.asDict() for r in browse.page(docs, [F.col("doc_id")], limit, offset).collect()]
 
     def file_recent(self, limit: int = 20, source_type: str | None = None, folder: str | None = None, **named: str | None) -> list[dict]:
         """The newest documents; source_type and folder mind case, other filters are those of a search."""
-        some = filters.where(self.chunks.read(), filters.named_filters(**named))
+        some = filters.where(self._listed(), filters.named_filters(**named))
         some = filters.where(some, filters.recent_filter(source_type, folder))
         fields = [c for c in ("rel_path", "source_type", "source_name", "title") if c in some.columns]
         return [r.asDict() for r in browse.listed_documents(browse.recent_documents(some, fields, limit)).collect()]
@@ -256,6 +257,17 @@ class Engine:
         """Adds (doc_id, action) rows to the audit log."""
         self.audit.append(rows.select(F.current_timestamp().alias("ts"), "doc_id", "action"), ["doc_id", "action"])
 
+    def _listed(self) -> DataFrame:
+        """The chunks without texts and vectors, and a row without a place for each document that has none: every document is among them."""
+        chunks = self.chunks.read().drop("text", "vector")
+        if self.bare.current() is None:
+            return chunks
+        return chunks.unionByName(self.bare.read().join(chunks.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True)
+
+    def _keep_bare(self, fresh: DataFrame, changed: DataFrame) -> None:
+        """Keeps those of the fresh records of which no chunk is made, in place of what was kept of all changed documents (doc_id)."""
+        self.bare.upsert(fresh.where(~files.has_chunks(F.col("text"))).drop("text").withColumn("loc", F.lit("")), gone=changed)
+
     def _index_words(self, before: int | None, after: int, docs: DataFrame) -> None:
         """Brings the postings from one version of the chunks to a later one, between which only chunks of docs (doc_id) have changed."""
         of = lambda v, some: self.chunks.read(v).join(some, "doc_id", "left_semi").select(F.col("chunk_uid").alias("key"), "text")
@@ -281,7 +293,7 @@ class Engine:
         if self.chunks.current() is None:
             changes = texts.select("doc_id", F.lit("add").alias("change"))
         else:
-            stored = self.chunks.read().groupBy("doc_id").agg(F.max("change_hash").alias("change_hash"), F.max("mtime").alias("mtime"))
+            stored = self._listed().groupBy("doc_id").agg(F.max("change_hash").alias("change_hash"), F.max("mtime").alias("mtime"))
             changes = incremental.guarded_deletes(incremental.diff(texts, stored), stored)
         self.changes.replace(changes)
         changes = self.changes.read()
@@ -290,11 +302,13 @@ class Engine:
         cut = files.chunks(fresh, size, overlap).join(fresh.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
         before = after = self.chunks.current()
         if counts.get("add") or counts.get("update"):
-            after = self.chunks.upsert(cut)
+            after = self.chunks.upsert(cut, gone=changes.where("change in ('add', 'update')"))
         if counts.get("delete"):
             after = self.chunks.delete(changes.where("change = 'delete'"))
         if after is not None and self.postings.version != after:
             self._index_words(before, after, changes.where("change <> 'same'").select("doc_id"))
+        if any(counts.get(c) for c in ("add", "update", "delete")):
+            self._keep_bare(fresh, changes.where("change in ('add', 'update', 'delete')"))
         self._log(changes.where("change <> 'same'").select("doc_id", F.col("change").alias("action")))
         return counts | ({"duplicate": counts_dup} if counts_dup else {})
 
@@ -304,6 +318,7 @@ class Engine:
         if one.limit(1).count() == 0:
             return error("not_found", doc_id, "scan its source first")
         cut = files.chunks(one).join(one.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
-        before, version = self.chunks.current(), self.chunks.upsert(cut)
+        before, version = self.chunks.current(), self.chunks.upsert(cut, gone=one)
         self._index_words(before, version, one.select("doc_id"))
+        self._keep_bare(one, one)
         return {"version": version, "chunks": self.chunks.read(version).where(F.col("doc_id") == doc_id).count()}

@@ -137,6 +137,11 @@ def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_
     return rows.select(key, loc.alias("loc"), "c.section", "c.text", F.concat_ws("::", F.col(key).cast("string"), loc).alias("chunk_uid"))
 
 
+def has_chunks(text: Column) -> Column:
+    """Whether `chunks` makes anything of a text, which it does of all that is not white space."""
+    return F.coalesce(F.rlike(text, F.lit(r"\S")), F.lit(False))
+
+
 def collapse_repetition(df: DataFrame, text: str = "text", most: int = 3) -> DataFrame:
     """Runs of a repeated unit (1 to 30 lines, or words in a line of more than 12) cut to `most` times.
 

@@ -201,3 +201,32 @@ def test_words_of_a_batch_are_hashed_once_and_vectors_are_those_of_plain_code(mo
     monkeypatch.setattr(engine.hashlib, "sha256", lambda w: (calls.append(w), real(w))[1])
     assert [v.tolist() for v in engine.hash_embeddings(texts)] == want and len(calls) == 5
     assert [engine.hash_embedding(t) for t in texts] == want and engine.hash_embeddings([]) == []
+
+
+def with_bare(spark, tmp_path):
+    """An index of two documents with text and three without."""
+    e = Engine(spark, f"file://{tmp_path}")
+    rows = [("pg::1", "cats purr", "x/1.md", "md", "pg", 1.0, "1"), ("pg::2", "", "x/2.pdf", "pdf", "pg", 0.0, "1"), ("b", None, "y/b.md", "md", "documents", 0.0, "1"), ("c::3", " \n\t ", "c.md", "md", "c", 3.0, "1"), ("a", "dogs", "y/a.md", "md", "documents", 2.0, "1")]
+    assert e.file_index_update(vault(spark, rows)) == {"add": 5}
+    return e, rows
+
+
+def test_documents_without_text_are_added_once(spark, tmp_path):
+    e, rows = with_bare(spark, tmp_path)
+    assert e.file_index_update(vault(spark, rows)) == {"same": 5}
+    assert sorted((r["doc_id"], r["action"], r["id"]) for r in e.file_audit_log()) == [(k, "add", n + 1) for n, k in enumerate(["a", "b", "c::3", "pg::1", "pg::2"])]
+    assert [(r["doc_id"], r["total"]) for r in e.file_list_documents(2, 1)] == [("b", 5), ("c::3", 5)]
+    assert [r["doc_id"] for r in e.file_recent(5)] == ["c::3", "a", "pg::1", "b", "pg::2"]
+    rows[0], rows[1] = (*rows[0][:1], "", *rows[0][2:6], "2"), (*rows[1][:1], "birds", *rows[1][2:6], "2")
+    assert e.file_index_update(vault(spark, [rows[0], rows[1], rows[2], rows[4]])) == {"update": 2, "same": 2, "delete": 1}
+    assert e.file_index_update(vault(spark, [rows[0], rows[1], rows[2], rows[4]])) == {"same": 4}
+    assert e.file_get_doc_chunks("pg::1") == [] and e.file_search("cats purr", source="pg")["results"][0]["doc_id"] == "pg::2"
+    assert e.file_index_document(vault(spark, rows), "pg::1")["chunks"] == 0 and e.postings.version == e.chunks.current()
+    assert sorted(r["doc_id"] for r in e.file_list_documents()) == ["a", "b", "pg::1", "pg::2"]
+
+
+def test_a_vault_without_any_text(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    rows = [("b", "", "y/b.md", "md", "documents", 0.0, "1")]
+    assert e.file_index_update(vault(spark, rows)) == {"add": 1} and e.file_index_update(vault(spark, rows)) == {"same": 1}
+    assert [r["doc_id"] for r in e.file_list_documents()] == ["b"]
