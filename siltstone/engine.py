@@ -189,7 +189,7 @@ class Engine:
 
     def file_facets(self, fields: Sequence[str]) -> dict:
         """Values with counts by field, most frequent first."""
-        rows = browse.facets(self.chunks.read(), fields).orderBy("field", F.desc("n"), "value").collect()
+        rows = browse.facets(self._listed(), fields).orderBy("field", F.desc("n"), "value").collect()
         return {f: [{"value": r.value, "count": r.n} for r in rows if r.field == f] for f in fields}
 
     def file_folders(self) -> list[dict]:

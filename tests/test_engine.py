@@ -230,3 +230,8 @@ def test_a_vault_without_any_text(spark, tmp_path):
     rows = [("b", "", "y/b.md", "md", "documents", 0.0, "1")]
     assert e.file_index_update(vault(spark, rows)) == {"add": 1} and e.file_index_update(vault(spark, rows)) == {"same": 1}
     assert [r["doc_id"] for r in e.file_list_documents()] == ["b"]
+
+
+def test_facets_count_documents_without_text(spark, tmp_path):
+    e, _ = with_bare(spark, tmp_path)
+    assert e.file_facets(["source_type", "source_name"]) == {"source_type": [{"value": "md", "count": 4}, {"value": "pdf", "count": 1}], "source_name": [{"value": "documents", "count": 2}, {"value": "pg", "count": 2}, {"value": "c", "count": 1}]}
