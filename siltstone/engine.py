@@ -193,7 +193,7 @@ class Engine:
         return {f: [{"value": r.value, "count": r.n} for r in rows if r.field == f] for f in fields}
 
     def file_folders(self) -> list[dict]:
-        docs = self.chunks.read().select("doc_id", "rel_path").distinct()
+        docs = self._listed().select("doc_id", "rel_path").distinct()
         return [r.asDict() for r in browse.folder_counts(docs, "rel_path").collect()]
 
     def file_status(self) -> dict:

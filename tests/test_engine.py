@@ -235,3 +235,8 @@ def test_a_vault_without_any_text(spark, tmp_path):
 def test_facets_count_documents_without_text(spark, tmp_path):
     e, _ = with_bare(spark, tmp_path)
     assert e.file_facets(["source_type", "source_name"]) == {"source_type": [{"value": "md", "count": 4}, {"value": "pdf", "count": 1}], "source_name": [{"value": "documents", "count": 2}, {"value": "pg", "count": 2}, {"value": "c", "count": 1}]}
+
+
+def test_folders_count_documents_without_text(spark, tmp_path):
+    e, _ = with_bare(spark, tmp_path)
+    assert e.file_folders() == [{"folder": ".", "n": 1}, {"folder": "x", "n": 2}, {"folder": "y", "n": 2}]
