@@ -199,7 +199,7 @@ class Engine:
     def file_status(self) -> dict:
         """Counts by source, with the version that is read, and the health of the sources and of all."""
         table = self.chunks.read()
-        by = browse.counts_by(table.select("doc_id").distinct(), source_name(F.col("doc_id")), "source_name")
+        by = browse.counts_by(self._listed().select("doc_id").distinct(), source_name(F.col("doc_id")), "source_name")
         known = self.registry.read().groupBy("source_name").agg(F.count(F.lit(1)).alias("registered")) if self.registry.current() else by.withColumnRenamed("n", "registered")
         rows = by.join(known, "source_name", "full_outer").select("source_name", F.coalesce("n", F.lit(0)).alias("indexed"), "registered", F.lit(0).alias("not_extractable"), F.lit(True).alias("configured"), F.lit(None).cast("string").alias("last_run"))
         state = upkeep.source_health(rows)

@@ -240,3 +240,9 @@ def test_facets_count_documents_without_text(spark, tmp_path):
 def test_folders_count_documents_without_text(spark, tmp_path):
     e, _ = with_bare(spark, tmp_path)
     assert e.file_folders() == [{"folder": ".", "n": 1}, {"folder": "x", "n": 2}, {"folder": "y", "n": 2}]
+
+
+def test_status_counts_documents_without_text(spark, tmp_path):
+    e, _ = with_bare(spark, tmp_path)
+    s = e.file_status()
+    assert s["sources"] == {"c": 1, "documents": 2, "pg": 2} and (s["documents"], s["chunks"]) == (5, 2)
