@@ -257,6 +257,11 @@ class Engine:
         """Adds (doc_id, action) rows to the audit log."""
         self.audit.append(rows.select(F.current_timestamp().alias("ts"), "doc_id", "action"), ["doc_id", "action"])
 
+    def _cut(self, records: DataFrame, size: int = 1800, overlap: int = 200) -> DataFrame:
+        """The chunks of records with their fields and vectors; each is made from its record's row, so none is shuffled."""
+        kept = [c for c in records.columns if c not in ("doc_id", "text")]
+        return files.chunks(records, size, overlap, keep=kept).withColumn("vector", self.embed_column(F.col("text")))
+
     def _listed(self) -> DataFrame:
         """The chunks without texts and vectors, and a row without a place for each document that has none: every document is among them."""
         chunks = self.chunks.read().drop("text", "vector")
@@ -298,9 +303,10 @@ class Engine:
         self.changes.replace(changes)
         changes = self.changes.read()
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
-        fresh = texts.join(changes.where("change in ('add', 'update')"), "doc_id", "left_semi")
-        cut = files.chunks(fresh, size, overlap).join(fresh.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
         before = after = self.chunks.current()
+        # Where nothing is stored yet, all are new; or else texts are shuffled to be held against the changes.
+        fresh = texts if before is None else texts.join(changes.where("change in ('add', 'update')"), "doc_id", "left_semi")
+        cut = self._cut(fresh, size, overlap)
         if counts.get("add") or counts.get("update"):
             after = self.chunks.upsert(cut, gone=changes.where("change in ('add', 'update')"))
         if counts.get("delete"):
@@ -317,7 +323,7 @@ class Engine:
         one = texts.where(F.col("doc_id") == doc_id)
         if one.limit(1).count() == 0:
             return error("not_found", doc_id, "scan its source first")
-        cut = files.chunks(one).join(one.drop("text"), "doc_id").withColumn("vector", self.embed_column(F.col("text")))
+        cut = self._cut(one)
         before, version = self.chunks.current(), self.chunks.upsert(cut, gone=one)
         self._index_words(before, version, one.select("doc_id"))
         self._keep_bare(one, one)

@@ -123,8 +123,8 @@ def topics(body: Column, embed: Callable[[Column], Column], percentile: float =
     return F.element_at(F.transform(F.array(F.struct(said.alias("s"), embed(said).alias("v"))), cut), 1)
 
 
-def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_id", text: str = "text", by_heading: bool = True, split: Callable[[Column], Column] | None = None) -> DataFrame:
-    """key, loc (`c:{i}`), section, text and chunk_uid (`doc::loc`): pieces of the sections of each text, numbered through.
+def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_id", text: str = "text", by_heading: bool = True, split: Callable[[Column], Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, loc (`c:{i}`), section, text and chunk_uid (`doc::loc`), and the columns `keep` of the text's row: pieces of the sections of each text, numbered through.
 
     split makes an array of pieces of a section (pieces of `size` characters that overlap, if not given). All of a text is cut and numbered in one expression
     on its row, so no chunk is shuffled.
@@ -132,9 +132,9 @@ def chunks(df: DataFrame, size: int = 1800, overlap: int = 200, key: str = "doc_
     cut = split or (lambda body: pieces(body, size, overlap))
     section = headings(F.col(text)) if by_heading else F.array(F.struct(F.lit("").alias("breadcrumb"), F.col(text).alias("body")))
     numbered = F.flatten(F.transform(section, lambda s: F.transform(cut(s["body"]), lambda x: F.struct(s["breadcrumb"].alias("section"), x.alias("text")))))
-    rows = df.select(key, F.posexplode_outer(numbered).alias("i", "c")).where(F.trim("c.text") != "")
+    rows = df.select(key, *keep, F.posexplode_outer(numbered).alias("i", "c")).where(F.trim("c.text") != "")
     loc = F.concat(F.lit("c:"), F.col("i").cast("string"))
-    return rows.select(key, loc.alias("loc"), "c.section", "c.text", F.concat_ws("::", F.col(key).cast("string"), loc).alias("chunk_uid"))
+    return rows.select(key, loc.alias("loc"), "c.section", "c.text", F.concat_ws("::", F.col(key).cast("string"), loc).alias("chunk_uid"), *keep)
 
 
 def has_chunks(text: Column) -> Column:

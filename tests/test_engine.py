@@ -246,3 +246,23 @@ def test_status_counts_documents_without_text(spark, tmp_path):
     e, _ = with_bare(spark, tmp_path)
     s = e.file_status()
     assert s["sources"] == {"c": 1, "documents": 2, "pg": 2} and (s["documents"], s["chunks"]) == (5, 2)
+
+
+def test_chunks_are_made_where_their_texts_are(spark, tmp_path):
+    """Neither texts nor chunks are shuffled, and packed postings are smaller than what they hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.operators import postings
+
+    e = Engine(spark, f"file://{tmp_path}")
+    plan = e._cut(vault(spark, [("a", "cats", "a.md", "md", "documents", 1.0, "1")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    schema = pa.schema([("term", pa.string()), ("key", pa.string()), ("tf", pa.int32()), ("dl", pa.int32()), ("positions", pa.list_(pa.int32()))])
+    rows = pa.table({"term": ["a", "b"] * 500, "key": [f"k{i // 2}" for i in range(1000)], "tf": [1, 2] * 500, "dl": [3] * 1000, "positions": [[0], [1, 2]] * 500}, schema=schema).combine_chunks().to_batches()[0]
+    packed = postings._packed(rows.append_column("kh", pa.array(np.arange(1000))), 3.0, [("b", 9.0, 0)], schema)
+    assert packed.column("part").to_pylist() == [0, 1]
+    back = [postings._unpacked([(r["size"], packed.column("rows")[i])], 3.0, schema) for i, r in enumerate(packed.to_pylist())]
+    assert sorted(map(repr, (x for t in back for x in t.drop(["impact"]).to_pylist()))) == sorted(map(repr, rows.to_pylist()))
+    assert sum(len(r["rows"]) for r in packed.to_pylist()) < rows.nbytes / 2
+    assert np.allclose(back[0].column("impact").to_numpy(), postings._impact(back[0].column("tf").to_numpy(), back[0].column("dl").to_numpy(), 3.0))
